@@ -7,14 +7,64 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_sources
 from .neardup import near_duplicates
 from .substring_dedup import remove_repeated
+from .token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rk
+  FROM sized GROUP BY source),
+w AS (
+  SELECT *, CASE rk % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS weight, source_size * 2e0 AS cap FROM src),
+lv AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5e0
+             - (sum(cap) OVER (ORDER BY cap / weight, rk ROWS UNBOUNDED PRECEDING) - cap))
+            / (sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, rk ROWS UNBOUNDED PRECEDING) + weight) AS level
+  FROM w),
+pick AS (SELECT level FROM lv WHERE cap >= level * weight ORDER BY cap / weight, rk LIMIT 1),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN (SELECT count(*) FROM pick) = 0 THEN cap ELSE least(cap, (SELECT level FROM pick) * weight) END AS target
+  FROM lv),
+b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
+run AS (
+  SELECT s.doc_id, s.size, b.source_size, b.target, b.passes,
+         CAST(floor(b.target) AS BIGINT) - b.passes * b.source_size AS rest,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before
+  FROM sized s JOIN b ON s.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM run
+"""
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -26,7 +76,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_files": op4_token_files,
     "op7_minhash_neardup": op7_minhash_neardup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": MIX_SQL,
+}
