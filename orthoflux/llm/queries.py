@@ -11,6 +11,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .substring_dedup import remove_repeated
 from .token_files import read_token_files, write_token_files
+from .warc import normalize_archives, read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
 
 
+def op6_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(normalize_archives(write_archives(_table(spark, sf_dir, "pages"))))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
+    "op6_warc_members": op6_warc_members,
     "op7_minhash_neardup": op7_minhash_neardup,
 }
 ORACLE_SQL: dict[str, str] = {
