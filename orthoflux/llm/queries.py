@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import find_overlaps
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .substring_dedup import remove_repeated
@@ -66,6 +67,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(normalize_archives(write_archives(_table(spark, sf_dir, "pages"))))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
+    "op5_decontaminate": op5_decontaminate,
     "op6_warc_members": op6_warc_members,
     "op7_minhash_neardup": op7_minhash_neardup,
 }
