@@ -11,6 +11,7 @@ from .decontam import find_overlaps
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .substring_dedup import remove_repeated
+from . import toxicity
 from .token_files import read_token_files, write_token_files
 from .warc import normalize_archives, read_archives, write_archives
 
@@ -85,6 +86,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = toxicity.fit_from_tables(docs, labels.where(fold != 2))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_substring_dedup": op3_substring_dedup,
@@ -92,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_warc_members": op6_warc_members,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": MIX_SQL,
