@@ -30,8 +30,9 @@ from .text import U, chunks, mix, words_of
 
 SHINGLE, BINS, ROWS = 5, 256, 6
 BANDS = BINS // ROWS
-#: Bits of 256 in which one-bit sketches of linked sets of at least SKETCH_MIN shingles may differ: 32 are expected, 80 are over six deviations above.
-SKETCH_BITS, SKETCH_MIN = 80, 256
+#: Bits of 256 in which one-bit sketches of linked sets of at least SKETCH_MIN shingles may differ: 32 are expected at the
+#: threshold with a deviation of 6.5 at most (measured for sets of 12 to 600), so 72 is over six deviations above.
+SKETCH_BITS, SKETCH_MIN = 72, 12
 
 
 def shingle_sets(texts: pa.Array, length: int = SHINGLE):
@@ -120,6 +121,15 @@ def confirm_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(_confirm, "a long, b long").distinct()
 
 
+def _alike(x: str, y: str) -> F.Column:
+    """Whether sizes and sketches of rows x and y allow a link."""
+    apart = F.bit_count(F.expr(f"{x}.sketch[0] ^ {y}.sketch[0]"))
+    for i in range(1, 4):
+        apart = apart + F.bit_count(F.expr(f"{x}.sketch[{i}] ^ {y}.sketch[{i}]"))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (n * 4 >= m * 3) & (m * 4 >= n * 3) & ((F.least(n, m) < SKETCH_MIN) | (apart <= SKETCH_BITS))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)``, one row for each row of ``docs``.
 
@@ -141,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = reps.select("id", "n", "sketch", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("top")).where("center < top")
     members = materialize(entries.join(buckets, "bucket").select("bucket", "id", "n", "sketch", "center"), "members")
-    stars = members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    m, c = members.where("id <> center").alias("m"), members.where("id = center").alias("c")
+    stars = materialize(m.join(c, (F.col("m.bucket") == F.col("c.bucket")) & _alike("m", "c")).select(F.col("m.id").alias("a"), F.col("c.id").alias("b")).distinct(), "stars")
     wanted = members.select("id").distinct()
     texts = materialize(base.join(wanted, "id").distinct(), "texts")
     links = materialize(confirm_links(stars, texts), "links")
@@ -152,11 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     open_ = materialize(placed.join(split, "bucket").select("bucket", "id", "n", "sketch", "c"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    apart = sum((F.bit_count(F.expr(f"x.sketch[{i}] ^ y.sketch[{i}]")) for i in range(1, 4)), F.bit_count(F.expr("x.sketch[0] ^ y.sketch[0]")))
-    ratio = (F.col("x.n") * 4 >= F.col("y.n") * 3) & (F.col("y.n") * 4 >= F.col("x.n") * 3)
-    near = (F.least("x.n", "y.n") < SKETCH_MIN) | (apart <= SKETCH_BITS)
     cross = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & ratio & near)
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _alike("x", "y"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
