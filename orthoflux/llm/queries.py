@@ -11,7 +11,7 @@ from .decontam import find_overlaps
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .substring_dedup import remove_repeated
-from . import toxicity
+from . import langid, toxicity
 from .token_files import read_token_files, write_token_files
 from .warc import normalize_archives, read_archives, write_archives
 
@@ -86,6 +86,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = langid.fit_from_table(docs.where(fold != 1))
+    return langid.predict_languages(docs.select("doc_id", "text"), model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_warc_members": op6_warc_members,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {

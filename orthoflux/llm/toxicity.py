@@ -23,10 +23,10 @@ from .subwords import Tokens, token_chunks
 from .text import U
 
 BITS, DIM, LENGTHS = 18, 8, (3, 4, 5)
-SEGMENT, LEAST = 32, 12
+SEGMENT, LEAST = 20, 8
 #: Labelled rows used for fitting, at most so many of each label (by hash order of the id).
-SAMPLE = {1: 1800, 0: 2700}
-EPOCHS, ROUNDS, RATE, DECAY = 18, 3, 0.08, 2e-5
+SAMPLE = {1: 1500, 0: 2200}
+EPOCHS, ROUNDS, RATE, DECAY = 18, 3, 0.15, 5e-6
 THRESHOLD = 0.3
 
 
@@ -52,6 +52,12 @@ def _segments(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seg, text, np.maximum(LEAST, np.bincount(seg, minlength=len(text)))
 
 
+def _distinct(seg: np.ndarray, index: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and word of every distinct pair: a word repeated over and over says no more than once."""
+    key = np.unique(seg * n + index)
+    return key // n, key % n
+
+
 class ToxicityModel:
     """Bucket scores, bias and calibration."""
 
@@ -67,7 +73,8 @@ class ToxicityModel:
             word, bucket = _bags(t)
             of_word = np.bincount(word, self.scores[bucket], len(t.hashes)) / np.bincount(word, minlength=len(t.hashes))
             seg, text, size = _segments(t.offs)
-            logit = np.bincount(seg, of_word[t.index], len(text)) / size + self.bias
+            seg, index = _distinct(seg, t.index, len(t.hashes))
+            logit = np.bincount(seg, of_word[index], len(text)) / size + self.bias
             lead = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
             top[first + text[lead]] = np.maximum.reduceat(logit, lead)
             count[first:last] = np.bincount(text, minlength=last - first)
@@ -126,6 +133,7 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, seed: int = 7
     order = np.argsort(word, kind="stable")
     word, local = word[order], local[order]
     seg, seg_doc, size = _segments(t.offs)
+    seg, index = _distinct(seg, t.index, len(t.hashes))
     y_seg = y_doc[seg_doc]
     emb = np.zeros((len(used), DIM), np.float32)
     soft = rng.choice([-1.0, 1.0], (DIM, 2)).astype(np.float32)
@@ -137,7 +145,7 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, seed: int = 7
 
     def forward():
         vec = np.stack([np.bincount(word, emb[local, d], len(t.hashes)) for d in range(DIM)], 1) / n_sub[:, None]
-        h = np.stack([np.bincount(seg, vec[t.index, d], len(seg_doc)) for d in range(DIM)], 1) / size[:, None]
+        h = np.stack([np.bincount(seg, vec[index, d], len(seg_doc)) for d in range(DIM)], 1) / size[:, None]
         z = h @ soft + bias
         p = np.exp(z - z.max(1, keepdims=True))
         return h, z, p / p.sum(1, keepdims=True)
@@ -151,7 +159,7 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, seed: int = 7
             g[np.arange(len(g)), y_seg.astype(int)] -= 1
             g *= w[:, None]
             dh = (g @ soft.T) / size[:, None]
-            dvec = np.stack([np.bincount(t.index, dh[seg, d], len(t.hashes)) for d in range(DIM)], 1) / n_sub[:, None]
+            dvec = np.stack([np.bincount(index, dh[seg, d], len(t.hashes)) for d in range(DIM)], 1) / n_sub[:, None]
             demb = np.stack([np.bincount(local, dvec[word, d], len(used)) for d in range(DIM)], 1) + DECAY * emb
             step += 1
             for par, grad, (m, v) in zip((emb, soft, bias), (demb, h.T @ g, g.sum(0)), state, strict=True):
