@@ -18,7 +18,7 @@ from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in one sorted range.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Weights dealt to the sources in code-point order, again and again.
 WEIGHTS = (3, 1, 2)
 
