@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import find_overlaps
+from .pii import pseudonymize
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .substring_dedup import remove_repeated
@@ -80,6 +81,12 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a parameter of the operator; a fixed one here, so reruns agree."""
+    out = pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=b"test tables only")
+    return out.select("doc_id", F.size("pii").cast("long").alias("n_found"), "clean_text")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated(_table(spark, sf_dir, "documents"), window=50)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
@@ -103,6 +110,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
     "op5_decontaminate": op5_decontaminate,
