@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .substring_dedup import remove_repeated
 from . import langid, toxicity
+from .audio import align_recordings, fingerprint_media, render_melodies
 from .token_files import read_token_files, write_token_files
 from .warc import normalize_archives, read_archives, write_archives
 
@@ -100,6 +101,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs.select("doc_id", "text"), model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio: every embedding is rendered as a melody, stored as WAV bytes and read from those."""
+    media = render_melodies(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return align_recordings(fingerprint_media(media, "id", "media"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_members": op6_warc_members,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_language_id": op8_language_id,
+    "op9_chroma_align": op9_chroma_align,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -7,6 +7,8 @@ cluster uses (``file:``, ``hdfs:``, ``s3:``) works the same way.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -48,12 +50,27 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def sweep(spark: SparkSession, keep: int = 0) -> None:
-    """Delete scratch folders made so far (but the last ``keep``); call once results are stored."""
+def made() -> list[str]:
+    """Scratch folders of this process, oldest first."""
+    return list(_made)
+
+
+def drop(spark: SparkSession, uris: list[str]) -> None:
+    """Delete scratch folders; call once nothing that reads them will run again."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_made) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop(0))
+    for uri in uris:
+        path = jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(conf).delete(path, True)
+        if uri in _made:
+            _made.remove(uri)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for uri in _made:
+        with contextlib.suppress(Exception):  # the store may be gone by now
+            fs, path = _fs(uri)
+            fs.delete_dir(path)
 
 
 def _fs(uri: str):
