@@ -1,10 +1,8 @@
-"""Registered queries and their DuckDB SQL."""
+"""All registered queries of the engine and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_scalar  # noqa: F401  registers
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
