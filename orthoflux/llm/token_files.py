@@ -10,8 +10,10 @@ and a scan of few words and no table of 64-bit offsets exists.
 
 from __future__ import annotations
 
+import array
 import os
 import struct
+import sys
 import zlib
 from functools import lru_cache
 
@@ -29,7 +31,7 @@ SAMPLE = 256
 #: Ids of one file; a longer document makes one longer file.
 FILE_IDS = 1 << 24
 #: Words and word parts remembered by one worker; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 class EliasFano:
@@ -171,51 +173,58 @@ class WordEncoder:
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["add_prefix_space"]
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec.get("added_tokens", [])) or r"(?!)")
         if self.by_word:
             self.parts = regex.compile(pre[0]["pattern"]["Regex"])
             self.space = regex.compile(r"\s")
             self.letters = _byte_letters()
+            self.model = self.tok.model
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array.array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            as_bytes = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(as_bytes)]
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        as_bytes = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        got = self.pieces[piece] = self._bytes([t.id for t in self.model.tokenize(as_bytes)])
         return got
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if any(s in text for s in self.special):
-            ids = self._whole(text)
+        if self.special.search(text):
+            return self._whole(text)
+        if text.isascii():
+            low = text.lower()
+            if low.isalpha():
+                return self.pieces.get(low) or self._piece(low)
         else:
-            text = text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text)
-            if not text.isascii() and self.space.search(text) or not text.isprintable():
-                ids = self._whole(word.decode())
-            else:
-                ids = [i for p in self.parts.findall(text) for i in self._piece(p)]
-        return np.array(ids, self.dtype).tobytes()
+            low = self.tok.normalizer.normalize_str(text)
+            if self.space.search(low):
+                return self._whole(text)
+        if not low.isprintable():
+            return self._whole(text)
+        pieces = self.pieces
+        return b"".join([pieces.get(p) or self._piece(p) for p in self.parts.findall(low)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian bytes."""
         if not text:
             return b""
         if not self.by_word:
-            return np.array(self._whole(text), self.dtype).tobytes()
-        words, out = self.words, []
-        for w in text.encode().split():
-            ids = words.get(w)
-            if ids is None:
-                if len(words) >= CACHE_WORDS or len(self.pieces) >= CACHE_WORDS:
-                    words.clear()
-                    self.pieces.clear()
-                ids = words[w] = self._word(w)
-            out.append(ids)
+            return self._whole(text)
+        known, words = self.words, text.encode().split()
+        if len(known) >= CACHE_WORDS or len(self.pieces) >= CACHE_WORDS:
+            known.clear()
+            self.pieces.clear()
+        out = list(map(known.get, words))
+        if None in out:
+            for w in {w for w, o in zip(words, out, strict=True) if o is None}:
+                known[w] = self._word(w)
+            out = list(map(known.__getitem__, words))
         return b"".join(out)
 
 
