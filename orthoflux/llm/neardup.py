@@ -8,12 +8,14 @@ are linked when ``100 * |A & B| >= 75 * |A | B|``.
    go on as one row.
 2. One hash per shingle fills ``BINS`` bins; empty bins borrow from a bin probed by
    a universal hash of (bin, attempt) until a filled one is met.
-3. ``BANDS`` bands of ``ROWS`` bins make buckets.  Each bucket gives a star: every
-   member is compared with the least member only, so a bucket of n gives n - 1 pairs.
-4. Stars are confirmed on full sets and turned into components.  What a star may
-   have missed are links between members of one bucket that are in different
-   components: exactly these are compared in a second round (a size-ratio and a
-   one-bit sketch distance, six standard deviations wide, thin them inside the join).
+3. ``BANDS`` bands of ``ROWS`` bins make buckets.  Each bucket gives two stars: every
+   member is compared with the least member and with the hub, the member that shares
+   most buckets with others, so a bucket of n gives less than 2n pairs.
+4. Stars are confirmed on full sets and turned into components.  What a star may have
+   missed are links between members of one bucket that are in different components:
+   all members of such buckets go through a prefix-filter join in a second round.  In
+   both rounds a size ratio and the agreement of four-bit sketches, over four standard
+   deviations wide, thin the pairs inside the join.
 5. The components of all confirmed links are returned.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -30,9 +33,9 @@ from .text import U, chunks, mix, words_of
 
 SHINGLE, BINS, ROWS = 5, 256, 6
 BANDS = BINS // ROWS
-#: Bits of 256 in which one-bit sketches of linked sets of at least SKETCH_MIN shingles may differ: 32 are expected at the
-#: threshold with a deviation of 6.5 at most (measured for sets of 12 to 600), so 72 is over six deviations above.
-SKETCH_BITS, SKETCH_MIN = 72, 12
+#: Of 256 bins, how many must agree (in four bits each) in linked sets of at least SKETCH_MIN shingles: at the threshold
+#: 196 are expected with a deviation of 7 (measured for sets of 12 to 600), so 166 is over four deviations below.
+SKETCH_PLANES, SKETCH_AGREE, SKETCH_MIN = 4, 166, 12
 
 
 def shingle_sets(texts: pa.Array, length: int = SHINGLE):
@@ -75,9 +78,10 @@ def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
 
 
 def _sketch(sig: np.ndarray) -> np.ndarray:
-    """256 low bits of the mixed signature as four longs."""
-    bits = (mix(sig) & U(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
+    """Four bits of every mixed signature bin, as planes of 256 bits: sixteen longs."""
+    m = mix(sig)
+    planes = [np.packbits(((m >> U(p)) & U(1)).astype(np.uint8), axis=1).view(np.int64) for p in range(SKETCH_PLANES)]
+    return np.ascontiguousarray(np.hstack(planes))
 
 
 _SIGNED = "id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
@@ -123,11 +127,46 @@ def confirm_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _alike(x: str, y: str) -> F.Column:
     """Whether sizes and sketches of rows x and y allow a link."""
-    apart = F.bit_count(F.expr(f"{x}.sketch[0] ^ {y}.sketch[0]"))
-    for i in range(1, 4):
-        apart = apart + F.bit_count(F.expr(f"{x}.sketch[{i}] ^ {y}.sketch[{i}]"))
+    words = BINS // 64
+    apart = F.lit(0)
+    for i in range(words):
+        unequal = " | ".join(f"({x}.sketch[{p * words + i}] ^ {y}.sketch[{p * words + i}])" for p in range(SKETCH_PLANES))
+        apart = apart + F.bit_count(F.expr(unequal))
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (n * 4 >= m * 3) & (m * 4 >= n * 3) & ((F.least(n, m) < SKETCH_MIN) | (apart <= SKETCH_BITS))
+    return (n * 4 >= m * 3) & (m * 4 >= n * 3) & ((F.least(n, m) < SKETCH_MIN) | (apart <= BINS - SKETCH_AGREE))
+
+
+def _shingle_rows(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = list(shingle_sets(part.column(1)))
+            offs = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+            values = np.concatenate([*sets, np.zeros(0, U)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offs, values)], names=["id", "shingles"])
+
+
+def prefix_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b)``: all pairs of ``rows(id, n, sketch, c)`` with different c that may be linked, without loss.
+
+    With all shingles in one order, rarest first, linked sets of n and m shingles
+    share one among the first n - ceil(0.75 n) + 1 of the one and the like of the
+    other.  What many texts share comes last in that order, so a common passage or a
+    text with many distant copies proposes no pairs.  Shingles of a single document
+    only shorten its prefix and are not joined.
+    """
+    flat = texts.join(rows.select("id"), "id").mapInArrow(_shingle_rows, "id long, shingles array<long>").select("id", F.explode("shingles").alias("s"))
+    flat = materialize(flat.distinct(), "shingles")
+    common = flat.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = flat.join(common, "s").join(rows, "id")
+    mine = W.partitionBy("id")
+    length = F.col("n") - F.ceil(F.col("n") * 0.75) + 1
+    unique = F.col("n") - F.count(F.lit(1)).over(mine)
+    ranked = shared.withColumn("rank", F.row_number().over(mine.orderBy("f", "s")) + unique).where(F.col("rank") <= length)
+    prefix = materialize(ranked.select("id", "s", "n", "sketch", "c"), "prefixes")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _alike("x", "y")
+    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,12 +186,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("id = rep")
         .select("id", F.col("n_shingles").alias("n"), "bands", "sketch")
     )
-    # one least member and size for each bucket: a partial aggregate of 16 bytes a bucket
+    # size and least member of each bucket: a partial aggregate of a few longs a bucket
     entries = reps.select("id", "n", "sketch", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("top")).where("center < top")
-    members = materialize(entries.join(buckets, "bucket").select("bucket", "id", "n", "sketch", "center"), "members")
-    m, c = members.where("id <> center").alias("m"), members.where("id = center").alias("c")
-    stars = materialize(m.join(c, (F.col("m.bucket") == F.col("c.bucket")) & _alike("m", "c")).select(F.col("m.id").alias("a"), F.col("c.id").alias("b")).distinct(), "stars")
+    buckets = entries.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("center < top").drop("top")
+    members = materialize(entries.join(buckets, "bucket"), "members")
+    # a second centre: the member that shares most buckets with others, as the text does that others were made from
+    degrees = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    hubs = members.join(degrees, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("h")).select("bucket", (-F.col("h.order")).alias("hub"))
+    centers = buckets.select("bucket", F.col("center").alias("c")).unionByName(hubs.select("bucket", F.col("hub").alias("c"))).distinct()
+    c = members.select("bucket", "id", "n", "sketch").join(centers, ["bucket"]).where("id = c").drop("c").alias("c")
+    m = members.alias("m")
+    pair = F.col("m.id"), F.col("c.id")
+    stars = m.join(c, (F.col("m.bucket") == F.col("c.bucket")) & (pair[0] != pair[1]) & _alike("m", "c")).select(F.greatest(*pair).alias("a"), F.least(*pair).alias("b")).distinct()
+    stars = materialize(stars, "stars")
     wanted = members.select("id").distinct()
     texts = materialize(base.join(wanted, "id").distinct(), "texts")
     links = materialize(confirm_links(stars, texts), "links")
@@ -161,14 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # round two: members of one bucket that the stars left in different components
     placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    open_ = materialize(placed.join(split, "bucket").select("bucket", "id", "n", "sketch", "c"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _alike("x", "y"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    alone = placed.join(split, "bucket").select("id", "n", "sketch", "c").distinct()
+    cross = prefix_pairs(materialize(alone, "open"), texts).join(stars, ["a", "b"], "left_anti")
     more = materialize(confirm_links(cross, texts), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
