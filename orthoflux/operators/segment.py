@@ -56,26 +56,52 @@ def watershed_image(pixels: DataFrame, image: str = "image") -> DataFrame:
     return pixels.select(image, "prow", "pcol", F.col("cost").cast("double").alias("cost"), F.col("marker").cast("long").alias("marker"), F.col("mask").cast("boolean").alias("mask")).groupBy(image).applyInPandas(run, f"{image} long, prow long, pcol long, label long")
 
 
-def watershed(pixels: DataFrame) -> DataFrame:
+def _relax(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Best (level, steps, label) of every inner pixel of a tile, given its halo: Dijkstra over four neighbours."""
+    state = {(r, c): (lv, st, lb) for r, c, lv, st, lb in zip(pdf.prow, pdf.pcol, pdf.level, pdf.steps, pdf.label, strict=True) if lb > 0}
+    cost = dict(zip(zip(pdf.prow, pdf.pcol, strict=True), pdf.cost, strict=True))
+    inner = pdf[~pdf.halo]
+    mine = set(zip(inner.prow, inner.pcol, strict=True))
+    heap = [(*v, k) for k, v in state.items()]
+    heapq.heapify(heap)
+    while heap:
+        lv, st, lb, (r, c) = heapq.heappop(heap)
+        if state[r, c] != (lv, st, lb):
+            continue
+        for k in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+            if k in mine:
+                level = max(lv, cost[k])
+                new = (level, 0 if level > lv else st + 1, lb)
+                if k not in state or new < state[k]:
+                    state[k] = new
+                    heapq.heappush(heap, (*new, k))
+    got = [state.get(k, (0.0, 0, 0)) for k in zip(inner.prow, inner.pcol, strict=True)]
+    out = inner[["prow", "pcol", "cost"]].copy()
+    out["level"], out["steps"], out["label"] = zip(*got, strict=True) if got else ((), (), ())
+    return out
+
+
+def watershed(pixels: DataFrame, tile: int = 256) -> DataFrame:
     """``pixels(prow, pcol, cost, marker, mask)`` -> ``(prow, pcol, label)`` for rasters of any size.
 
     Every masked pixel takes the marker reached over the path whose greatest cost is
-    least, then by fewest steps at that level, then least marker: a relaxation over
-    four-neighbour joins, a written table per round, until nothing changes.  Basins
-    agree with the flood wherever that path is unique.
+    least, then by fewest steps at that level, then least marker.  Tiles are solved
+    on their own with the best of the pixels around them, round by round, until no
+    tile changes; a round is one written table.  Basins agree with the flood wherever
+    that path is unique.
     """
-    base = materialize(pixels.where("mask").select("prow", "pcol", F.col("cost").cast("double").alias("cost"), F.col("marker").cast("long").alias("marker")), "ws")
-    best = F.when(F.col("marker") > 0, F.struct(F.col("cost").alias("level"), F.lit(0).alias("steps"), F.col("marker").alias("label")))
-    cur, before = materialize(base.select("prow", "pcol", "cost", best.alias("best")), "ws"), None
+    seed = F.col("marker") > 0
+    cur = pixels.where("mask").select("prow", "pcol", F.col("cost").cast("double").alias("cost"), F.when(seed, F.col("cost")).otherwise(0.0).cast("double").alias("level"), F.lit(0).cast("long").alias("steps"), F.when(seed, F.col("marker")).otherwise(0).cast("long").alias("label"))
+    schema, before = "prow long, pcol long, cost double, level double, steps long, label long", None
+    cur = materialize(cur, "ws")
+    at = lambda c, d=0: F.floor((F.col(c) + d) / tile)
     while True:
-        moves = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
-        sent = cur.where("best IS NOT NULL").select("prow", "pcol", "best", moves.alias("m")).select((F.col("prow") + F.col("m.dr")).alias("prow"), (F.col("pcol") + F.col("m.dc")).alias("pcol"), "best")
-        got = sent.groupBy("prow", "pcol").agg(F.min("best").alias("got"))
-        joined = cur.join(got, ["prow", "pcol"], "left")
-        level = F.greatest("cost", "got.level")
-        offer = F.when(F.col("got").isNotNull(), F.struct(level.alias("level"), F.when(level > F.col("got.level"), 0).otherwise(F.col("got.steps") + 1).alias("steps"), F.col("got.label").alias("label")))
-        cur = materialize(joined.select("prow", "pcol", "cost", F.when((F.col("best").isNotNull()) & (F.col("best.steps") == 0) & (F.col("best.level") == F.col("cost")) & F.col("got").isNull(), F.col("best")).otherwise(F.least("best", offer)).alias("best")), "ws")
-        now = tuple(cur.agg(F.count("best"), F.sum(F.xxhash64("best.level", "best.label").cast("decimal(38,0)"))).first())
+        own = cur.select("*", at("prow").alias("tr"), at("pcol").alias("tc"), F.lit(False).alias("halo"))
+        around = [cur.where((at("prow", a) != at("prow")) | (at("pcol", b) != at("pcol"))).where("label > 0").select("*", at("prow", a).alias("tr"), at("pcol", b).alias("tc"), F.lit(True).alias("halo")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+        for x in around:
+            own = own.unionByName(x)
+        cur = materialize(own.groupBy("tr", "tc").applyInPandas(_relax, schema), "ws")
+        now = tuple(cur.agg(F.count_if(F.col("label") > 0), F.sum(F.xxhash64("prow", "pcol", "level", "steps", "label").cast("decimal(38,0)"))).first())
         if now == before:
-            return cur.select("prow", "pcol", F.coalesce("best.label", F.lit(0)).alias("label"))
+            return cur.select("prow", "pcol", "label")
         before = now

@@ -105,8 +105,8 @@ query("a16_mean_at_points", sql("SELECT class, round(avg(p_tree), 6) AS mean_p F
 _SQ = "abs(p.x - q.x) < q.side / 2e0 AND abs(p.y - q.y) < q.side / 2e0"
 _HO = "NOT (q.holes = 1 AND abs(p.x - q.x) < q.side / 4e0 AND abs(p.y - q.y) < q.side / 4e0)"
 # quarter-unit shift: no point lies on an edge
-query("j3_g15_points_in_polygons", sql(f"SELECT DISTINCT p.pid FROM sh p JOIN poly q ON {_SQ} AND {_HO} WHERE q.gid < 200", "poly", "sh AS (SELECT pid, x + 0.037e0 AS x, y + 0.041e0 AS y FROM pts)"))(
-    lambda s, d: J.points_in_polygons(fx.pts(s, d).select("pid", (F.col("x") + 0.037).alias("x"), (F.col("y") + 0.041).alias("y")), fx.poly(s, d).where("gid < 200").select("gid", "rings"), 20.0).select("pid")
+query("j3_g15_points_in_polygons", sql(f"SELECT DISTINCT p.pid FROM sh p JOIN poly q ON {_SQ} AND {_HO}", "poly", "sh AS (SELECT pid, x + 0.037e0 AS x, y + 0.041e0 AS y FROM pts)"))(
+    lambda s, d: J.points_in_polygons(fx.pts(s, d).select("pid", (F.col("x") + 0.037).alias("x"), (F.col("y") + 0.041).alias("y")), fx.poly(s, d).select("gid", "rings"), 20.0).select("pid")
 )
 query("j9_radius_pairs", sql("SELECT a.pid AS a, b.pid AS b FROM pts a JOIN pts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16e0", "pts"))(lambda s, d: J.within_radius(fx.pts(s, d), 4.0).select("a", "b"))
 query("a20_local_outliers", sql("SELECT p.pid FROM pts p JOIN (SELECT a.pid, median(b.z) AS med, stddev_pop(b.z) AS sd FROM pts a JOIN pts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64e0 GROUP BY a.pid) n ON p.pid = n.pid WHERE p.z <= med + sd * 1.5e0", "pts"))(lambda s, d: J.local_outliers(fx.pts(s, d), 8.0).select("pid"))
@@ -169,7 +169,7 @@ query("g6_f22_clean_polygons", sql(f"SELECT gid, holes - {_KEPT} AS holes_remove
 query("a18_holes_removed", sql(f"SELECT CAST(sum(holes - {_KEPT}) AS BIGINT) AS removed FROM poly WHERE side * side - {_KEPT} * side * side / 4e0 <= 312.5e0", "poly"))(lambda s, d: G.clean_polygons(fx.poly(s, d), 62.5, 312.5).agg(F.sum("holes_removed").alias("removed")))
 query("g9_contour_to_world", sql("SELECT gid, round((x - side / 2e0 + 0.5e0) * 2e0, 6) AS x0 FROM poly", "poly"))(lambda s, d: fx.poly(s, d).select("gid", F.transform(F.col("rings")[0], lambda p: (p["x"] + 0.5) * 2.0).alias("xs")).select("gid", r6(F.col("xs")[0]).alias("x0")))
 query("f26_valid_rings", sql("SELECT gid FROM poly", "poly"))(lambda s, d: fx.poly(s, d).where(G.valid_ring(F.col("rings")[0])).select("gid"))
-query("g14_convex_hull", sql("SELECT gid, round(side * side, 6) AS area FROM poly WHERE gid < 100", "poly"))(lambda s, d: fx.poly(s, d).where("gid < 100").select("gid", r6(G.ring_area(G.convex_hull(F.flatten("rings")))).alias("area")))
+query("g14_convex_hull", sql("SELECT gid, round(side * side, 6) AS area FROM poly", "poly"))(lambda s, d: fx.poly(s, d).select("gid", r6(G.ring_area(G.convex_hull(F.flatten("rings")))).alias("area")))
 query("g13_reproject")(lambda s, d: G.reproject(G.reproject(fx.pts(s, d).select("pid", (F.lit(-36.0) + F.col("x") / 100.0).alias("x"), (F.lit(-8.0) + F.col("y") / 100.0).alias("y")), 4326, 31985), 31985, 32725))
 
 @query("g12_inversion_swap", sql("SELECT id, round(CASE WHEN (SELECT avg(p_tree) FROM onpx JOIN prob ON prow = pr AND pcol = pc WHERE label = 1) < 0.5e0 THEN p_soil ELSE p_tree END, 6) AS p FROM prob", "train", "grd", "prob", _AT))
