@@ -38,8 +38,8 @@ def trace_rings(rows: np.ndarray, cols: np.ndarray) -> list[list[tuple[int, int]
             outs.remove(pick)
             if not outs:
                 del edges[at]
-            came = (pick[0] - at[0], pick[1] - at[1])
-            if len(ring) > 1 and (ring[-1][0] - ring[-2][0], ring[-1][1] - ring[-2][1]) == came:
+            before, came = came, (pick[0] - at[0], pick[1] - at[1])
+            if before == came:  # straight on
                 ring[-1] = pick
             else:
                 ring.append(pick)
