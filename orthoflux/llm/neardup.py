@@ -11,11 +11,11 @@ are linked when ``100 * |A & B| >= 75 * |A | B|``.
 3. ``BANDS`` bands of ``ROWS`` bins make buckets.  Each bucket gives two stars: every
    member is compared with the least member and with the hub, the member that shares
    most buckets with others, so a bucket of n gives less than 2n pairs.
-4. Stars are confirmed on full sets and turned into components.  What a star may have
-   missed are links between members of one bucket that are in different components:
-   all members of such buckets go through a prefix-filter join in a second round.  In
-   both rounds a size ratio and the agreement of four-bit sketches, over four standard
-   deviations wide, thin the pairs inside the join.
+4. Stars are confirmed on full sets and turned into components; a size ratio and the
+   agreement of four-bit sketches, over four standard deviations wide, thin the pairs
+   inside the join.  What a star may have missed are links between members of one
+   bucket that are in different components: all members of such buckets are compared
+   block by block inside bounded tasks, from which only links come out.
 5. The components of all confirmed links are returned.
 """
 
@@ -24,7 +24,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -36,6 +35,8 @@ BANDS = BINS // ROWS
 #: Of 256 bins, how many must agree (in four bits each) in linked sets of at least SKETCH_MIN shingles: at the threshold
 #: 196 are expected with a deviation of 7 (measured for sets of 12 to 600), so 166 is over four deviations below.
 SKETCH_PLANES, SKETCH_AGREE, SKETCH_MIN = 4, 166, 12
+#: Documents of one block in the second round.
+BLOCK = 512
 
 
 def shingle_sets(texts: pa.Array, length: int = SHINGLE):
@@ -136,37 +137,64 @@ def _alike(x: str, y: str) -> F.Column:
     return (n * 4 >= m * 3) & (m * 4 >= n * 3) & ((F.least(n, m) < SKETCH_MIN) | (apart <= BINS - SKETCH_AGREE))
 
 
-def _shingle_rows(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sets = list(shingle_sets(part.column(1)))
-            offs = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
-            values = np.concatenate([*sets, np.zeros(0, U)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offs, values)], names=["id", "shingles"])
-
-
-def prefix_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b)``: all pairs of ``rows(id, n, sketch, c)`` with different c that may be linked, without loss.
-
-    With all shingles in one order, rarest first, linked sets of n and m shingles
-    share one among the first n - ceil(0.75 n) + 1 of the one and the like of the
-    other.  What many texts share comes last in that order, so a common passage or a
-    text with many distant copies proposes no pairs.  Shingles of a single document
-    only shorten its prefix and are not joined.
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sketches (rows of sixteen longs) of each x and y agree in enough bins."""
+    words = BINS // 64
+    out = np.empty((len(x), len(y)), bool)
+    for i in range(len(x)):
+        unequal = x[i] ^ y
+        any_ = unequal[:, :words].copy()
+        for p in range(1, SKETCH_PLANES):
+            any_ |= unequal[:, p * words : (p + 1) * words]
+        out[i] = np.bitwise_count(any_.view(U)).sum(1, dtype=np.int64) <= BINS - SKETCH_AGREE
+    return out
+
+
+_BLOCK_ROW = "a long, b long"
+
+
+def _link_blocks(pdf):
+    """Links between the left and the right block of one group, by sketch and size first, then on full sets."""
+    import pandas as pd
+
+    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+    if not len(right):  # a block against itself
+        right = left
+    sk = [np.array(d.sketch.tolist(), np.int64).reshape(len(d), -1) for d in (left, right)]
+    n, m = left.n.to_numpy()[:, None], right.n.to_numpy()[None]
+    ids, jds = left.id.to_numpy(), right.id.to_numpy()
+    may = (_agreeing(*sk) | (np.minimum(n, m) < SKETCH_MIN)) & (4 * n >= 3 * m) & (4 * m >= 3 * n) & (left.c.to_numpy()[:, None] != right.c.to_numpy()[None])
+    if right is left:
+        may = np.triu(may, 1)
+    rows, cols = np.nonzero(may)
+    sets = [dict(zip(k.tolist(), shingle_sets(pa.array(d.text.iloc[k])), strict=True)) for d, k in ((left, np.unique(rows)), (right, np.unique(cols)))]
+    out = []
+    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+        a, b = sets[0][i], sets[1][j]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if 100 * both >= 75 * (len(a) + len(b) - both) and ids[i] != jds[j]:
+            out.append((max(ids[i], jds[j]), min(ids[i], jds[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def rest_links(rows: DataFrame, together: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b)``: links among ``rows(id, n, sketch, c)`` with different c that share a bucket, all of them.
+
+    ``together(bucket, id)`` ties rows into groups.  A group is cut into blocks of
+    ``BLOCK`` and every two blocks meet in one task of bounded size, which compares
+    them in memory; only links come out, so no pair of unlinked texts is ever a row.
+    A row is copied once for each block of its group.
     """
-    flat = texts.join(rows.select("id"), "id").mapInArrow(_shingle_rows, "id long, shingles array<long>").select("id", F.explode("shingles").alias("s"))
-    flat = materialize(flat.distinct(), "shingles")
-    common = flat.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    shared = flat.join(common, "s").join(rows, "id")
-    mine = W.partitionBy("id")
-    length = F.col("n") - F.ceil(F.col("n") * 0.75) + 1
-    unique = F.col("n") - F.count(F.lit(1)).over(mine)
-    ranked = shared.withColumn("rank", F.row_number().over(mine.orderBy("f", "s")) + unique).where(F.col("rank") <= length)
-    prefix = materialize(ranked.select("id", "s", "n", "sketch", "c"), "prefixes")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _alike("x", "y")
-    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    first = together.groupBy("bucket").agg(F.min("id").alias("root"))
+    ties = together.join(first, "bucket").where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
+    group = connected_components(ties)
+    mine = rows.join(group, rows.id == group.node).drop("node").withColumnRenamed("component", "g")
+    sizes = mine.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    at = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    placed = materialize(mine.join(sizes, "g").withColumn("blk", at).join(texts, "id"), "blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    each = placed.withColumn("o", other).select("g", "id", "n", "sketch", "c", "text", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), (F.col("blk") > F.col("o")).cast("int").alias("side"))
+    return each.groupBy("g", "lo", "hi").applyInPandas(_link_blocks, _BLOCK_ROW).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,9 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("id", F.col("n_shingles").alias("n"), "bands", "sketch")
     )
     # size and least member of each bucket: a partial aggregate of a few longs a bucket
-    entries = reps.select("id", "n", "sketch", F.explode("bands").alias("bucket"))
+    entries = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("center < top").drop("top")
-    members = materialize(entries.join(buckets, "bucket"), "members")
+    members = materialize(entries.join(buckets, "bucket").join(reps.select("id", "n", "sketch"), "id"), "members")
     # a second centre: the member that shares most buckets with others, as the text does that others were made from
     degrees = members.groupBy("id").agg(F.sum("size").alias("degree"))
     hubs = members.join(degrees, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("h")).select("bucket", (-F.col("h.order")).alias("hub"))
@@ -207,9 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # round two: members of one bucket that the stars left in different components
     placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    alone = placed.join(split, "bucket").select("id", "n", "sketch", "c").distinct()
-    cross = prefix_pairs(materialize(alone, "open"), texts).join(stars, ["a", "b"], "left_anti")
-    more = materialize(confirm_links(cross, texts), "links")
+    open_ = materialize(placed.join(split, "bucket").select("bucket", "id", "n", "sketch", "c"), "open")
+    more = materialize(rest_links(open_.drop("bucket").distinct(), open_.select("bucket", "id"), texts), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
 
