@@ -29,9 +29,9 @@ MAGIC = b"OFTOKEF1"
 HEADER = ("n_docs", "n_ids", "id_bytes", "n_null", "first_id", "ends_bytes", "docs_bytes")
 SAMPLE = 256
 #: Ids of one file; a longer document makes one longer file.
-FILE_IDS = 1 << 24
+FILE_IDS = 1 << 23
 #: Words and word parts remembered by one worker; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 class EliasFano:
