@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .joins import cell_size
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """``(qid, pid, z, d2, rank)`` of the min(k, n) nearest of ``points(pid, x, y, z)`` to ``queries(qid, x, y)``.
 
-    Null coordinates match nothing.  The rounds are joined by union; each holds only
-    the queries that the one before left open, and their number is bounded by the
-    logarithm of the extent over the cell.
+    Null coordinates match nothing; ``qid`` is unique.  Each round holds only the
+    queries that the one before left open and writes its result to the shared folder;
+    their number is bounded by the logarithm of the extent over the cell.
     """
     pts = points.where("x IS NOT NULL AND y IS NOT NULL").select("pid", "x", "y", "z")
     q = queries.where("x IS NOT NULL AND y IS NOT NULL").select("qid", "x", "y")
@@ -53,11 +54,12 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None
         edge = F.lit(size) + F.least(fx, F.lit(size) - fx, fy, F.lit(size) - fy)
         full = ranked.withColumn("__far", F.max("d2").over(W.partitionBy("qid"))).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("qid")))
         done = full if last else full.where((F.col("__n") >= k) & (F.col("__far") < edge * edge))
-        parts.append(done.select("qid", "pid", "z", "d2", "rank"))
+        done = materialize(done.select("qid", "pid", "z", "d2", "rank"), "knn")  # else every later round would find it again
+        parts.append(done)
         if last:
             break
-        open_ = open_.join(done.select("qid").distinct(), "qid", "left_anti")
-        if size >= cell * 4 and open_.isEmpty():
+        open_ = open_.join(done.where("rank = 1").select("qid"), "qid", "left_anti")
+        if open_.isEmpty():
             break
         size *= 2
     out = parts[0]
