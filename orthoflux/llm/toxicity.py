@@ -25,7 +25,7 @@ from .text import U
 BITS, DIM, LENGTHS = 18, 8, (3, 4, 5)
 SEGMENT, LEAST = 20, 8
 #: Labelled rows used for fitting, at most so many of each label (by hash order of the id).
-SAMPLE = {1: 1500, 0: 2200}
+SAMPLE = {1: 1200, 0: 1800}
 EPOCHS, ROUNDS, RATE, DECAY = 18, 3, 0.15, 5e-6
 THRESHOLD = 0.3
 
@@ -101,6 +101,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
+def _vocabulary(texts: list[str | None]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of distinct words, word of every token, offsets of texts, and word and bucket of every subword), a chunk of texts at a time."""
+    seen, hashes, tokens, counts, words, buckets, base = np.zeros(0, U), [], [], [], [], [], 0
+    for _, _, t in token_chunks(texts):
+        new = ~np.isin(t.hashes, seen)
+        w, b = _bags(t)
+        own = new[w]
+        words.append((w[own] + base).astype(np.int32))
+        buckets.append(b[own].astype(np.int32))
+        tokens.append((t.index + base).astype(np.int64))
+        hashes.append(t.hashes)
+        counts.append(np.diff(t.offs))
+        seen = np.union1d(seen, t.hashes)
+        base += len(t.hashes)
+    if not base:
+        return 0, *[np.zeros(0, np.int64)] * 4
+    _, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    return len(seen), number[np.concatenate(tokens)], np.r_[0, np.cumsum(np.concatenate(counts))], number[np.concatenate(words)], np.concatenate(buckets)
+
+
 def fit(texts: list[str | None], labels: np.ndarray, prior: float, seed: int = 7) -> ToxicityModel:
     """Train on texts with labels 0/1; ``prior`` is the share of ones to which scores refer.
 
@@ -117,23 +137,20 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, seed: int = 7
         aside[own[: len(own) // 4]] = True
     train = np.flatnonzero(~aside)
     y_doc = labels[train].astype(np.float32)
-    t = Tokens([texts[i] for i in train])
-    if not len(t.index):
+    n_words, index, offs, word, bucket = _vocabulary([texts[i] for i in train])
+    if not n_words:
         return flat
-    word, bucket = _bags(t)
     # words of one or two documents keep their n-grams only
-    doc = np.repeat(np.arange(len(train)), np.diff(t.offs))
-    pair = np.unique(t.index.astype(np.int64) * len(train) + doc)
-    rare = np.bincount(pair // len(train), minlength=len(t.hashes)) < 3
-    has_gram = np.bincount(word, minlength=len(t.hashes)) > 1
-    keep = ~((bucket < 1 << (BITS - 1)) & (rare & has_gram)[word])
-    n_sub = np.bincount(word, minlength=len(t.hashes)).astype(np.float32)
+    doc = np.repeat(np.arange(len(train)), np.diff(offs))
+    pair = np.unique(index * len(train) + doc)
+    rare = np.bincount(pair // len(train), minlength=n_words) < 3
+    n_sub = np.bincount(word, minlength=n_words).astype(np.float32)
+    keep = ~((bucket < 1 << (BITS - 1)) & (rare & (n_sub > 1))[word])
     word, bucket = word[keep], bucket[keep]
     used, local = np.unique(bucket, return_inverse=True)
-    order = np.argsort(word, kind="stable")
-    word, local = word[order], local[order]
-    seg, seg_doc, size = _segments(t.offs)
-    seg, index = _distinct(seg, t.index, len(t.hashes))
+    del doc, pair, bucket
+    seg, seg_doc, size = _segments(offs)
+    seg, index = _distinct(seg, index, n_words)
     y_seg = y_doc[seg_doc]
     emb = np.zeros((len(used), DIM), np.float32)
     soft = rng.choice([-1.0, 1.0], (DIM, 2)).astype(np.float32)
@@ -144,7 +161,7 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, seed: int = 7
     step = 0
 
     def forward():
-        vec = np.stack([np.bincount(word, emb[local, d], len(t.hashes)) for d in range(DIM)], 1) / n_sub[:, None]
+        vec = np.stack([np.bincount(word, emb[local, d], n_words) for d in range(DIM)], 1) / n_sub[:, None]
         h = np.stack([np.bincount(seg, vec[index, d], len(seg_doc)) for d in range(DIM)], 1) / size[:, None]
         z = h @ soft + bias
         p = np.exp(z - z.max(1, keepdims=True))
@@ -159,7 +176,7 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, seed: int = 7
             g[np.arange(len(g)), y_seg.astype(int)] -= 1
             g *= w[:, None]
             dh = (g @ soft.T) / size[:, None]
-            dvec = np.stack([np.bincount(index, dh[seg, d], len(t.hashes)) for d in range(DIM)], 1) / n_sub[:, None]
+            dvec = np.stack([np.bincount(index, dh[seg, d], n_words) for d in range(DIM)], 1) / n_sub[:, None]
             demb = np.stack([np.bincount(local, dvec[word, d], len(used)) for d in range(DIM)], 1) + DECAY * emb
             step += 1
             for par, grad, (m, v) in zip((emb, soft, bias), (demb, h.T @ g, g.sum(0)), state, strict=True):
