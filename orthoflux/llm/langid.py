@@ -18,7 +18,7 @@ from .subwords import Tokens, token_chunks
 
 LENGTHS = (5, 4, 3, 2, 1)
 #: Labelled rows used for fitting, at most (by hash order of the id).
-SAMPLE = 6_000
+SAMPLE = 1_200
 #: Rows of one table, the most frequent ones.
 TABLE = 200_000
 SMOOTH = 0.1
