@@ -50,6 +50,9 @@ def _surface(s):
 
 for _m, _name in (("kriging_ordinary", "i4_kriging"), ("kriging_universal", "i5_kriging_universal"), ("rbf", "i7_rbf"), ("linear", "i8_linear"), ("spline", "i10_spline")):
     query(_name)(lambda s, d, m=_m: I.interpolate(_surface(s), I.InterpolationConfig(method=m, resolution=50.0, outlier_method="none"), (0.0, 0.0, 1000.0, 1000.0)))
+# the same methods over the whole customer table
+for _m, _name in (("kriging_ordinary", "i4_kriging_points"), ("kriging_universal", "i5_kriging_universal_points"), ("rbf", "i7_rbf_points"), ("linear", "i8_linear_points"), ("spline", "i10_spline_points")):
+    query(_name)(lambda s, d, m=_m: I.interpolate(fx.pts(s, d), I.InterpolationConfig(method=m, resolution=10.0, outlier_method="none"), (0.0, 0.0, 200.0, 210.0)))
 query("i6_kriging_lags")(lambda s, d: I.empirical_variogram(fx.pts(s, d), 20, 500))
 
 

@@ -39,6 +39,15 @@ def test_surface(spark, sf_dir, name, cells, rmse):
     assert len(p) >= cells and e < rmse
 
 
+@pytest.mark.parametrize("name", ["i4_kriging_points", "i5_kriging_universal_points", "i7_rbf_points", "i8_linear_points", "i10_spline_points"])
+def test_methods_read_the_table(spark, sf_dir, duck, tmp_path, name):
+    """Ten times the heights of the table give ten times the values (linear in z), and every cell is one of the grid."""
+    duck.execute(f"COPY (SELECT * REPLACE (c_acctbal * 10 AS c_acctbal) FROM customer) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    a, b = (QUERIES[name](spark, str(d)).toPandas().sort_values(["prow", "pcol"]) for d in (sf_dir, tmp_path))
+    assert len(a) == 420 and a.value.notna().sum() > 350  # linear: cells within the hull of 150 points
+    assert np.allclose(10 * a.value, b.value, rtol=1e-4, atol=1e-2, equal_nan=True)
+
+
 def test_forest(spark, sf_dir):
     p = QUERIES["l1_l2_l3_forest"](spark, sf_dir).toPandas()
     assert np.allclose(p.p0 + p.p1, 1) and (p.label == p.prediction).mean() > 0.95
