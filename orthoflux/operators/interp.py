@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indices import idw_weight
 from ..grid import GridMeta
+from ..scratch import materialize
 from .knn import knn, nearest
 from .masks import drop_iqr_outliers, drop_zscore_outliers, usable
 from .sampling import sample_n
@@ -20,6 +21,8 @@ from .stencil import gaussian_with_gaps
 
 METHODS = ("idw", "nearest", "kriging_ordinary", "kriging_universal", "rbf", "linear", "spline")
 VARIOGRAMS = ("linear", "power", "gaussian", "spherical", "exponential", "hole-effect")
+#: Points of one block of the variogram.
+VARIOGRAM_BLOCK = 1024
 KERNELS = ("linear", "thin_plate_spline", "cubic", "quintic", "multiquadric", "inverse_multiquadric", "gaussian")
 
 
@@ -93,21 +96,52 @@ def variogram(kind: str, h: np.ndarray, p: tuple[float, ...]) -> np.ndarray:
     return np.where(h <= rng, psill * (1.5 * h / rng - h**3 / (2 * rng**3)), psill) + nugget
 
 
-def empirical_variogram(points: DataFrame, lags: int, max_points: int = 2000, seed: int = 42) -> DataFrame:
-    """``(lag, n, h, gamma)`` over pairs of a bounded sample: mean distance and half mean squared difference per equal-width lag.
+def _pair_blocks(pdf: pd.DataFrame):
+    """Distances and half squared differences of the pairs of two blocks of points, some rows at a time; a block with itself gives each pair once."""
+    for r in pdf.itertuples():
+        ax, ay, az, bx, by, bz = (np.asarray(v, float) for v in (r.ax, r.ay, r.az, r.bx, r.by, r.bz))
+        for at in range(0, len(ax), 256):
+            s = slice(at, at + 256)
+            keep = np.ones((len(ax[s]), len(bx)), bool) if r.i != r.j else np.arange(len(bx))[None] > np.arange(at, at + len(ax[s]))[:, None]
+            h = np.sqrt((ax[s, None] - bx) ** 2 + (ay[s, None] - by) ** 2)[keep]
+            if len(h):
+                yield h, ((az[s, None] - bz) ** 2 / 2.0)[keep]
 
-    The sample (a parameter) is crossed with itself only through an equality join on
-    blocks, and pairs are reduced map-side to one row per lag.
+
+def empirical_variogram(points: DataFrame, lags: int, max_points: int = InterpolationConfig.kriging_max_points, seed: int = 42) -> DataFrame:
+    """``(lag, n, h, gamma)`` over all pairs: mean distance and half mean squared difference per equal-width lag.
+
+    Points beyond ``max_points`` are sampled, as for the kriging itself.  Points go into
+    blocks of about ``VARIOGRAM_BLOCK``; every two blocks meet in one row, and their pairs
+    are reduced there, first to the ends of the distances and then to one row per lag.
     """
     s = sample_n(points.where(usable("z")), "pid", max_points, seed).select("pid", "x", "y", "z")
-    blocks = 16
-    a = s.select(F.col("pid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-    b = s.select("pid", "x", "y", "z", (F.pmod(F.xxhash64("pid"), F.lit(blocks))).cast("int").alias("blk"))
-    dx, dy = F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
-    pairs = a.join(b, "blk").where("a < pid").select(F.sqrt(dx * dx + dy * dy).alias("h"), ((F.col("az") - F.col("z")) * (F.col("az") - F.col("z")) / 2.0).alias("g"))
-    ends = pairs.agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    lag = F.least(F.lit(lags - 1), F.floor((F.col("h") - F.col("lo")) * lags / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)))
-    return pairs.crossJoin(F.broadcast(ends)).groupBy(lag.cast("int").alias("lag")).agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("h"), F.avg("g").alias("gamma"))
+    blocks = max(1, math.ceil(s.count() / VARIOGRAM_BLOCK))
+    held = s.groupBy(F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("i")).agg(F.array_sort(F.collect_list(F.struct("pid", "x", "y", "z"))).alias("p"))
+    held = materialize(held.select("i", *[F.col(f"p.{c}").alias(c) for c in "xyz"]), "variogram")
+    side = lambda i, c: held.select(F.col("i").alias(i), *[F.col(v).alias(c + v) for v in "xyz"])
+    met = side("i", "a").withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1)))).join(side("j", "b"), "j").repartition(min(blocks * (blocks + 1) // 2, 200), "i", "j")
+
+    def ends(frames):
+        for pdf in frames:
+            for h, _ in _pair_blocks(pdf):
+                yield pd.DataFrame({"lo": [h.min()], "hi": [h.max()]})
+
+    e = met.mapInPandas(ends, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    lo, width = e["lo"] or 0.0, (e["hi"] - e["lo"] if e["lo"] is not None and e["hi"] > e["lo"] else 1.0)
+
+    def sums(frames):
+        n, sh, sg = np.zeros(lags, np.int64), np.zeros(lags), np.zeros(lags)
+        for pdf in frames:
+            for h, g in _pair_blocks(pdf):
+                lag = np.minimum(lags - 1, np.floor((h - lo) * lags / width)).astype(int)
+                n += np.bincount(lag, minlength=lags)
+                sh += np.bincount(lag, h, lags)
+                sg += np.bincount(lag, g, lags)
+        yield pd.DataFrame({"lag": np.arange(lags, dtype=np.int32), "n": n, "h": sh, "g": sg})
+
+    total = met.mapInPandas(sums, "lag int, n long, h double, g double").groupBy("lag").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("g").alias("g"))
+    return total.where("n > 0").select("lag", "n", (F.col("h") / F.col("n")).alias("h"), (F.col("g") / F.col("n")).alias("gamma"))
 
 
 def fit_variogram(kind: str, h: np.ndarray, g: np.ndarray, weight: bool = True) -> tuple[float, ...]:
@@ -139,7 +173,9 @@ def fit_variogram(kind: str, h: np.ndarray, g: np.ndarray, weight: bool = True)
         shape = h**v if kind == "power" else variogram(kind, h, (1.0, v, 0.0))
         e, c = solve(shape)
         found.append((e, float(c[0]), float(v), float(c[1])))
-    return min(found)[1:]
+    least = min(found)[0]
+    # ranges below the first lag fit alike: the shortest, whatever the rounding of the sums
+    return min((f for f in found if f[0] <= least * (1 + 1e-9)), key=lambda f: f[2])[1:]
 
 
 def krige_weights(px: np.ndarray, py: np.ndarray, z: np.ndarray, qx: float, qy: float, kind: str, params: tuple[float, ...], drift: bool = False) -> float:
@@ -184,7 +220,7 @@ def _local(cells: DataFrame, points: DataFrame, k: int, solve) -> DataFrame:
 def kriging(cells: DataFrame, points: DataFrame, cfg: InterpolationConfig) -> DataFrame:
     """``(qid, value)`` from the nearest neighbours under one fitted variogram."""
     pts = sample_n(points.where(usable("z")), "pid", cfg.kriging_max_points, cfg.seed)
-    bins = [r for r in empirical_variogram(pts, cfg.kriging_lags, seed=cfg.seed).collect() if r["n"] > 0]  # one row per lag
+    bins = [r for r in empirical_variogram(pts, cfg.kriging_lags, cfg.kriging_max_points, cfg.seed).collect() if r["n"] > 0]  # one row per lag
     if not bins:
         return nearest_value(cells, points)
     params = fit_variogram(cfg.kriging_variogram, np.array([r["h"] for r in bins]), np.array([r["gamma"] for r in bins]), cfg.kriging_weight)

@@ -53,7 +53,8 @@ for _m, _name in (("kriging_ordinary", "i4_kriging"), ("kriging_universal", "i5_
 # the same methods over the whole customer table
 for _m, _name in (("kriging_ordinary", "i4_kriging_points"), ("kriging_universal", "i5_kriging_universal_points"), ("rbf", "i7_rbf_points"), ("linear", "i8_linear_points"), ("spline", "i10_spline_points")):
     query(_name)(lambda s, d, m=_m: I.interpolate(fx.pts(s, d), I.InterpolationConfig(method=m, resolution=10.0, outlier_method="none"), (0.0, 0.0, 200.0, 210.0)))
-query("i6_kriging_lags")(lambda s, d: I.empirical_variogram(fx.pts(s, d), 20, 500))
+query("i6_kriging_lags")(lambda s, d: I.empirical_variogram(fx.pts(s, d), 20))
+query("i6_kriging_t17")(lambda s, d: I.interpolate(fx.pts(s, d), I.InterpolationConfig(method="kriging_ordinary", resolution=10.0, outlier_method="none", kriging_max_points=50_000), (0.0, 0.0, 200.0, 210.0)))
 
 
 def _features(s, d, full):

@@ -122,6 +122,28 @@ def test_kriging_is_exact_at_points():
     assert I.rbf_value(x, y, z, x[7], y[7], "thin_plate_spline", 0.0, 1.0) == pytest.approx(z[7])
 
 
+def test_variogram_bins_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    p = rng.random((2300, 3)) * 100
+    i, j = np.triu_indices(len(p), 1)
+    h, g = np.hypot(*(p[i] - p[j])[:, :2].T), (p[i, 2] - p[j, 2]) ** 2 / 2
+    lag = np.minimum(19, np.floor((h - h.min()) * 20 / (h.max() - h.min())).astype(int))
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "pid long, x double, y double, z double")
+    got = I.empirical_variogram(df, 20).toPandas().sort_values("lag")
+    n = np.bincount(lag)
+    assert got.n.sum() == len(h) and (got.n.to_numpy() == n).all()
+    assert np.allclose(got.h, np.bincount(lag, h) / n) and np.allclose(got.gamma, np.bincount(lag, g) / n)
+    assert I.empirical_variogram(df.limit(0), 20).count() == I.empirical_variogram(df.limit(1), 20).count() == 0
+
+
+def test_variogram_query_reads_all(spark, sf_dir):
+    from orthoflux.plans.catalog import QUERIES
+
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert QUERIES["i6_kriging_lags"](spark, sf_dir).agg(F.sum("n")).first()[0] == n * (n - 1) // 2
+    assert QUERIES["i6_kriging_t17"](spark, sf_dir).where("value IS NOT NULL").count() == 420
+
+
 def test_delaunay_square():
     x, y = np.array([0.0, 1, 0, 1]), np.array([0.0, 0, 1, 1])
     assert I.delaunay_value(x, y, x + y, 0.3, 0.4) == pytest.approx(0.7)
