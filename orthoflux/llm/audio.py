@@ -3,8 +3,8 @@
 A recording becomes frames of twelve pitch-class energies.  Sixteen box filters,
 evaluated by an integral image over time and pitch class, give two bits each, packed
 into one 32-bit integer per frame.  Two recordings are aligned by the histogram of
-offsets between equal integers; the share of unequal bits along the best offset
-decides.
+offsets between equal integers, at all their places; of the offsets with enough votes
+the most-voted one with a small share of unequal bits is taken.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ LOW_HZ, HIGH_HZ = 110.0, 1800.0
 MIN_VOTES, MIN_FRAMES, MAX_ERROR = 3, 24, 0.25
 #: Query recordings held by a task at once.
 BLOCK = 4096
+#: Pairs of equal runs whose votes are counted at once.
+PAIRS = 1 << 20
 WIDTH = 12
 #: (shape, first pitch class, pitch classes, frames): shapes halve the box in time (0), in pitch (1), both ways (2) or take its middle (3).
 FILTERS = tuple((k % 4, (5 * k) % 8, 2 + 2 * (k % 2) + k // 8, (4, 6, 8, 12)[k // 4]) for k in range(16))
@@ -116,46 +118,76 @@ def fingerprint_media(media: DataFrame, id_col: str, media_col: str) -> DataFram
     return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, fp binary")
 
 
+def _runs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(integer, first place, length) of the stretches of one integer: a held tone is one row."""
+    at = np.flatnonzero(np.r_[np.ones(min(1, len(fp)), bool), fp[1:] != fp[:-1]])
+    return fp[at], at, np.diff(np.r_[at, len(fp)])
+
+
+def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys once, ascending, with the sums of their values."""
+    uniq, place = np.unique(key, return_inverse=True)
+    return uniq, np.bincount(place, value, len(uniq)).astype(np.int64)
+
+
 class QueryBlock:
-    """Fingerprints of a bounded number of queries, indexed by integer."""
+    """Fingerprints of a bounded number of queries, the runs of all their integers indexed by integer."""
 
     def __init__(self, ids: list[int], fps: list[bytes]):
         self.ids = ids
         self.fps = [np.frombuffer(f, "<u4") for f in fps]
-        keys = np.concatenate([*self.fps, np.zeros(0, np.uint32)])
-        owner = np.repeat(np.arange(len(ids)), [len(f) for f in self.fps])
-        place = np.concatenate([*(np.arange(len(f)) for f in self.fps), np.zeros(0, np.int64)])
-        # a key that stands in one query at many places (a held tone) is kept at its first place
-        order = np.lexsort((place, owner, keys))
-        keys, owner, place = keys[order], owner[order], place[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-        self.keys, self.owner, self.place = keys[first], owner[first], place[first].astype(np.int64)
+        runs = [_runs(f) for f in self.fps]
+        keys = np.concatenate([*(r[0] for r in runs), np.zeros(0, np.uint32)])
+        place, length = (np.concatenate([*(r[c] for r in runs), np.zeros(0, np.int64)]) for c in (1, 2))
+        owner = np.repeat(np.arange(len(ids)), [len(r[0]) for r in runs])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.place, self.length = keys[order], owner[order], place[order].astype(np.int64), length[order].astype(np.int64)
+
+    def votes(self, fp: np.ndarray):
+        """(query, offsets, votes) of the queries that have ``MIN_VOTES`` equal integers at an offset; all places vote.
+
+        Two runs of lengths L and M vote in a trapezoid over L + M - 1 offsets, which is
+        four steps of the second difference, so the work grows with runs and not with frames.
+        """
+        key, at, long = _runs(fp)
+        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        n = hi - lo
+        span, half = 1 << 32, 1 << 31
+        slices, ends = [], np.cumsum(n)
+        # runs of the recording at a time, so that about PAIRS pairs of runs are held
+        for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(ends // PAIRS)) + 1):
+            m = n[rows]
+            pick = np.repeat(lo[rows] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+            mine, theirs = np.repeat(long[rows], m), self.length[pick]
+            first = self.owner[pick].astype(np.int64) * span + half + np.repeat(at[rows], m) - self.place[pick] - theirs + 1
+            one = np.ones(len(pick))
+            slices.append(_summed(np.concatenate([first, first + mine, first + theirs, first + mine + theirs]), np.concatenate([one, -one, -one, one])))
+        point, step = _summed(np.concatenate([s[0] for s in slices]), np.concatenate([s[1] for s in slices])) if len(slices) > 1 else slices[0]
+        if not len(point):
+            return
+        slope, gap = np.cumsum(step), np.diff(np.r_[point, point[-1] + 1])  # both sums are back at 0 where a query ends
+        after = np.cumsum(slope * gap)
+        before = after - slope * gap
+        use = np.flatnonzero(np.maximum(before + slope, after) >= MIN_VOTES)
+        for part in np.split(use, np.flatnonzero(np.diff(point[use] // span)) + 1) if len(use) else ():
+            g = gap[part]
+            t = np.arange(int(g.sum())) - np.repeat(np.cumsum(g) - g, g)
+            votes = np.repeat(before[part], g) + np.repeat(slope[part], g) * (t + 1)
+            offset = np.repeat(point[part] % span - half, g) + t
+            yield int(point[part[0]] // span), offset[votes >= MIN_VOTES], votes[votes >= MIN_VOTES]
 
     def align(self, fp: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(query, offset, votes, frames, unequal bits) of the queries that ``fp`` aligns with."""
-        uniq, at = np.unique(fp, return_index=True)
-        lo, hi = np.searchsorted(self.keys, uniq, "left"), np.searchsorted(self.keys, uniq, "right")
-        n = hi - lo
-        if not n.sum():
-            return []
-        pick = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        owner, offset = self.owner[pick], np.repeat(at, n) - self.place[pick]
-        span = 1 << 32
-        pair, votes = np.unique(owner.astype(np.int64) * span + offset + span // 2, return_counts=True)
-        out, best = [], {}
-        for p, v in zip(pair[votes >= MIN_VOTES].tolist(), votes[votes >= MIN_VOTES].tolist(), strict=True):
-            q, off = divmod(p, span)
-            off -= span // 2
-            if q not in best or (v, -abs(off)) > (best[q][0], -abs(best[q][1])):
-                best[q] = (v, off)
-        for q, (v, off) in best.items():
+        """(query, offset, votes, frames, unequal bits) of the queries that ``fp`` aligns with: of all offsets that pass, the most-voted."""
+        out = []
+        for q, offset, votes in self.votes(fp):
             other = self.fps[q]
-            a, b = max(0, off), min(len(fp), len(other) + off)
-            if b - a >= MIN_FRAMES:
-                bad = int(np.bitwise_count(fp[a:b] ^ other[a - off : b - off]).sum())
-                if bad <= MAX_ERROR * 32 * (b - a):
-                    out.append((self.ids[q], off, v, b - a, bad))
+            a, b = np.maximum(0, offset), np.minimum(len(fp), len(other) + offset)
+            fits = np.flatnonzero(b - a >= MIN_FRAMES)
+            for k in fits[np.lexsort((offset[fits], np.abs(offset[fits]), -votes[fits]))].tolist():
+                bad = int(np.bitwise_count(fp[a[k] : b[k]] ^ other[a[k] - offset[k] : b[k] - offset[k]]).sum())
+                if bad <= MAX_ERROR * 32 * (b[k] - a[k]):
+                    out.append((self.ids[q], int(offset[k]), int(votes[k]), int(b[k] - a[k]), bad))
+                    break
         return out
 
 

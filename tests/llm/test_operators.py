@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -265,6 +266,34 @@ def test_audio_alignment(spark):
     assert got[11, 7].offset == 20 and got[11, 7].bit_errors < 0.05 * 32 * got[11, 7].n_frames and got[11, 11].query_copies == 2
 
 
+def test_audio_alignment_uses_all_places(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    q = word(40)
+    later = np.r_[np.repeat(q[::-1], 2), word(7), q]  # every integer occurred before, elsewhere
+    half = q.copy()
+    half[::2] ^= np.uint32(0xFFFFFFFF)  # 20 votes, but half of the bits differ
+    near = q ^ np.uint32(1)
+    near[5:15] = q[5:15]  # 10 votes and 30 unequal bits
+    rows = [(100, q), (1, later), (2, np.r_[half, near]), (3, word(90))]
+    prints = spark.createDataFrame([(i, bytearray(f.astype("<u4").tobytes())) for i, f in rows], "id long, fp binary")
+    got = {r.match_id: (r.offset, r.votes, r.n_frames, r.bit_errors) for r in audio.align_recordings(prints).collect()}
+    assert got == {100: (0, 40, 40, 0), 1: (87, 40, 40, 0), 2: (40, 10, 40, 30)}
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 5])
+def test_audio_votes_against_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(audio, "PAIRS", pairs)
+    rng = np.random.default_rng(6)
+    for _ in range(30):  # few integers, held for some frames
+        make = lambda: np.repeat(rng.integers(0, 4, rng.integers(0, 30)), rng.integers(1, 5)).astype(np.uint32)
+        fps, fp = [make() for _ in range(4)], make()
+        got = {q: dict(zip(o.tolist(), v.tolist(), strict=True)) for q, o, v in audio.QueryBlock([7, 8, 9, 10], [f.astype("<u4").tobytes() for f in fps]).votes(fp)}
+        for q, f in enumerate(fps):
+            want = Counter(int(i - j) for i in range(len(fp)) for j in range(len(f)) if fp[i] == f[j])
+            assert got.get(q, {}) == {o: v for o, v in want.items() if v >= audio.MIN_VOTES}
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     model = toxicity.fit([], np.array([]), 0.1)
