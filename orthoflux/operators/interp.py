@@ -23,6 +23,8 @@ METHODS = ("idw", "nearest", "kriging_ordinary", "kriging_universal", "rbf", "li
 VARIOGRAMS = ("linear", "power", "gaussian", "spherical", "exponential", "hole-effect")
 #: Points of one block of the variogram.
 VARIOGRAM_BLOCK = 1024
+#: Cells of ``linear`` that are settled over all points at once.
+OPEN_CELLS = 4096
 KERNELS = ("linear", "thin_plate_spline", "cubic", "quintic", "multiquadric", "inverse_multiquadric", "gaussian")
 
 
@@ -199,7 +201,7 @@ def krige_weights(px: np.ndarray, py: np.ndarray, z: np.ndarray, qx: float, qy:
     return float(w @ z)
 
 
-def _local(cells: DataFrame, points: DataFrame, k: int, solve) -> DataFrame:
+def _local(cells: DataFrame, points: DataFrame, k: int, solve, schema: str = "value double") -> DataFrame:
     """``solve(px, py, z, qx, qy)`` on the k nearest of each cell, in Arrow batches after one grouping.
 
     Neighbours are gathered per cell (k of them at most), so a row holds all it needs.
@@ -208,13 +210,17 @@ def _local(cells: DataFrame, points: DataFrame, k: int, solve) -> DataFrame:
     near = knn(cells, pts, k).select("qid", "pid", "z", "rank").join(pts.select("pid", F.col("x").alias("px"), F.col("y").alias("py")), "pid")
     rows = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "px", "py", "z"))).alias("n")).join(cells.select("qid", "x", "y"), "qid")
     flat = rows.select("qid", "x", "y", *[F.col(f"n.{c}").alias(c) for c in ("px", "py", "z")])
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames):
         for pdf in frames:
             out = [solve(np.array(a), np.array(b), np.array(c), x, y) for a, b, c, x, y in zip(pdf.px, pdf.py, pdf.z, pdf.x, pdf.y, strict=True)]
-            yield pd.DataFrame({"qid": pdf.qid, "value": np.array(out, float)})
+            if names == ["value"]:
+                yield pd.DataFrame({"qid": pdf.qid, "value": np.array(out, float)})
+            else:
+                yield pd.DataFrame({"qid": pdf.qid, **{c: pd.Series([v[i] for v in out], index=pdf.index, dtype=object) for i, c in enumerate(names)}})
 
-    return flat.mapInPandas(run, "qid long, value double")
+    return flat.mapInPandas(run, f"qid long, {schema}")
 
 
 def kriging(cells: DataFrame, points: DataFrame, cfg: InterpolationConfig) -> DataFrame:
@@ -280,40 +286,174 @@ def rbf(cells: DataFrame, points: DataFrame, cfg: InterpolationConfig) -> DataFr
 # ---- linear
 
 
-def delaunay_value(px: np.ndarray, py: np.ndarray, z: np.ndarray, qx: float, qy: float) -> float:
-    """Linear value at a cell from the Delaunay triangle that holds it, NaN outside the hull of the neighbours.
-
-    The triangle is found directly: of all triangles over the neighbours that hold the
-    cell, the one whose circle holds no neighbour.
+def _start(px: np.ndarray, py: np.ndarray) -> np.ndarray | None:
+    """Three points whose triangle holds the origin, or None where it is outside their hull."""
+    angle = np.arctan2(py, px)
+    turn = np.sort((angle - angle[0]) % (2 * math.pi))
+    if len(px) < 3 or np.diff(np.r_[turn, 2 * math.pi]).max() > math.pi + 1e-9:
+        return None
+    turn = (angle - angle[0]) % (2 * math.pi)
+    b = int(np.argmax(np.where(turn <= math.pi, turn, -1)))
+    beyond = np.where(turn > math.pi, turn, np.inf)
+    c = int(np.argmin(beyond)) if np.isfinite(beyond).any() else 0
+    pick = [0, b, c]
+    if abs(_area(px, py, pick)) <= 1e-12 * (px[pick] ** 2 + py[pick] ** 2).max():  # the origin is on an edge: any point beside it
+        u, v = (0, b) if np.hypot(px[0] - px[b], py[0] - py[b]) >= np.hypot(px[0] - px[c], py[0] - py[c]) else (0, c)
+        off = np.abs((px[v] - px[u]) * (py - py[u]) - (py[v] - py[u]) * (px - px[u]))
+        w = int(np.argmax(off))
+        if off[w] <= 1e-12 * (px**2 + py**2).max():
+            return None
+        pick = [u, v, w]
+    return np.array(pick)
+
+
+def _area(px, py, t) -> float:
+    a, b, c = t
+    return (px[b] - px[a]) * (py[c] - py[a]) - (py[b] - py[a]) * (px[c] - px[a])
+
+
+def _shares(px, py, t, x: float, y: float) -> np.ndarray:
+    """Barycentric coordinates of (x, y) in the triangle t."""
+    a, b, c = t
+    wb = (x - px[a]) * (py[c] - py[a]) - (y - py[a]) * (px[c] - px[a])
+    wc = (px[b] - px[a]) * (y - py[a]) - (py[b] - py[a]) * (x - px[a])
+    w = np.array([0.0, wb, wc]) / _area(px, py, t)
+    w[0] = 1 - w[1] - w[2]
+    return w
+
+
+def _circle(px, py, t) -> tuple[float, float, float]:
+    """Centre and squared radius of the circle through the triangle t."""
+    a, b, c = t
+    bx, by, cx, cy = px[b] - px[a], py[b] - py[a], px[c] - px[a], py[c] - py[a]
+    d, sb, sc = 2 * (bx * cy - by * cx), bx * bx + by * by, cx * cx + cy * cy
+    ux, uy = (cy * sb - by * sc) / d, (bx * sc - cx * sb) / d
+    return px[a] + ux, py[a] + uy, ux * ux + uy * uy
+
+
+def delaunay_triangle(px: np.ndarray, py: np.ndarray, start=None) -> np.ndarray | None:
+    """The Delaunay triangle of the points that holds the origin, or None outside their hull.
+
+    From any triangle that holds the origin, the point deepest inside its circle takes the
+    place of the corner that keeps the origin inside, until no point is inside the circle.
+    Lifted to x^2 + y^2, the triangle sinks at the origin with every step, so this ends.
     """
+    t = _start(px, py) if start is None else np.array(start)
+    for _ in range(20 * len(px) + 100 if t is not None else 0):
+        ox, oy, r2 = _circle(px, py, t)
+        power = (px - ox) ** 2 + (py - oy) ** 2 - r2
+        power[t] = 0
+        p = int(np.argmin(power))
+        if power[p] >= -1e-9 * r2:
+            break
+        own, other = np.maximum(_shares(px, py, t, 0.0, 0.0), 0), _shares(px, py, t, px[p], py[p])
+        out = int(np.argmin(np.where(other > 1e-12, own / np.where(other > 1e-12, other, 1.0), np.inf)))
+        t[out] = p
+    return t
+
+
+def delaunay_value(px: np.ndarray, py: np.ndarray, z: np.ndarray, qx: float, qy: float) -> float:
+    """Linear value at a cell from the Delaunay triangle that holds it, NaN outside the hull of the points."""
     order = np.argsort(np.hypot(px - qx, py - qy), kind="stable")
     px, py, z = px[order] - qx, py[order] - qy, z[order]
-    hit = np.flatnonzero((px == 0) & (py == 0))
-    if len(hit):
-        return float(z[hit[0]])
-    n = len(z)
-    i, j, k = (np.array(v) for v in zip(*[(a, b, c) for c in range(2, n) for b in range(1, c) for a in range(b)], strict=True)) if n > 2 else (np.zeros(0, int),) * 3
-    cross = lambda a, b: px[a] * py[b] - px[b] * py[a]
-    w0, w1, w2 = cross(j, k), cross(k, i), cross(i, j)
-    area = w0 + w1 + w2
-    eps = 1e-12 * (1 + np.abs(area))
-    inside = (np.abs(area) > 1e-12) & (((w0 >= -eps) & (w1 >= -eps) & (w2 >= -eps)) | ((w0 <= eps) & (w1 <= eps) & (w2 <= eps)))
-    sq = px**2 + py**2
-    for t in np.flatnonzero(inside):
-        a, b, c = i[t], j[t], k[t]
-        d = 2 * (px[a] * (py[b] - py[c]) + px[b] * (py[c] - py[a]) + px[c] * (py[a] - py[b]))
-        ox = (sq[a] * (py[b] - py[c]) + sq[b] * (py[c] - py[a]) + sq[c] * (py[a] - py[b])) / d
-        oy = (sq[a] * (px[c] - px[b]) + sq[b] * (px[a] - px[c]) + sq[c] * (px[b] - px[a])) / d
-        r2 = (px[a] - ox) ** 2 + (py[a] - oy) ** 2
-        if ((px - ox) ** 2 + (py - oy) ** 2 >= r2 * (1 - 1e-9)).all():
-            return float((w0[t] * z[a] + w1[t] * z[b] + w2[t] * z[c]) / area[t])
-    return float("nan")
+    if len(z) and px[0] == 0 and py[0] == 0:
+        return float(z[0])
+    t = delaunay_triangle(px, py)
+    return float("nan") if t is None else float(_shares(px, py, t, 0.0, 0.0) @ z[t])
+
+
+def _hull(p: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of rows (x, y, z)."""
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    both = []
+    for rows in (p, p[::-1]):
+        chain: list = []
+        for r in rows.tolist():
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (r[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (r[0] - chain[-2][0]) <= 0:
+                chain.pop()
+            chain.append(r)
+        both += chain[:-1] if len(chain) > 1 else chain
+    return np.unique(np.array(both).reshape(-1, 3), axis=0)
+
+
+def _hull_of(points: DataFrame) -> np.ndarray:
+    """Corners of the hull of all points; a task sends the corners of its own."""
+
+    def run(frames):
+        kept = np.zeros((0, 3))
+        for pdf in frames:
+            kept = _hull(np.r_[kept, pdf[["x", "y", "z"]].to_numpy(float)])
+        yield pd.DataFrame(kept, columns=["x", "y", "z"])
+
+    return _hull(points.select("x", "y", "z").mapInPandas(run, "x double, y double, z double").toPandas().to_numpy(float).reshape(-1, 3))
+
+
+def _settle(found: dict[int, np.ndarray], cells: dict[int, tuple[float, float]], points: DataFrame) -> dict[int, float]:
+    """Values of the cells whose triangle is not proved, by looking at all points.
+
+    ``found`` has a triangle (rows x, y, z) of each cell.  Every task moves it to the
+    Delaunay triangle of its own points and the given corners; the driver does so with
+    the corners that came back, until no task has a point inside a circle.
+    """
+    done: dict[int, float] = {}
+    while found:
+        held = [(q, *cells[q], c) for q, c in sorted(found.items())]
+
+        def run(frames, held=held):
+            best = {q: c for q, _, _, c in held}
+            for pdf in frames:
+                p = pdf[["x", "y", "z"]].to_numpy(float)
+                for q, x, y, _ in held:
+                    both = np.r_[best[q], p]
+                    best[q] = both[delaunay_triangle(both[:, 0] - x, both[:, 1] - y, (0, 1, 2))]
+            moved = [(q, *row) for q, _, _, c in held if best[q] is not c for row in best[q] if not (c == row).all(1).any()]
+            yield pd.DataFrame(moved, columns=["qid", "x", "y", "z"]).astype({"qid": "int64", "x": float, "y": float, "z": float})
+
+        more = {q: g[["x", "y", "z"]].to_numpy(float) for q, g in points.select("x", "y", "z").mapInPandas(run, "qid long, x double, y double, z double").toPandas().sort_values(["qid", "x", "y"]).groupby("qid")}
+        for q, x, y, c in held:
+            both = np.r_[c, more.get(q, np.zeros((0, 3)))]
+            t = delaunay_triangle(both[:, 0] - x, both[:, 1] - y, (0, 1, 2))
+            found[q] = both[t]
+            if (t < 3).all():  # no point of any task is inside the circle
+                done[q] = float(_shares(c[:, 0] - x, c[:, 1] - y, (0, 1, 2), 0.0, 0.0) @ c[:, 2])
+                del found[q]
+    return done
 
 
 def linear(cells: DataFrame, points: DataFrame, neighbors: int = 24) -> DataFrame:
-    """``(qid, value)``, null outside the hull (or where the holding triangle reaches beyond ``neighbors`` points)."""
-    out = _local(cells, points, neighbors, delaunay_value)
-    return out.select("qid", F.when(~F.isnan("value"), F.col("value")).alias("value"))
+    """``(qid, value)`` on the Delaunay triangles of all points, null outside their hull; of points at one place the least ``pid`` counts.
+
+    A triangle of the nearest ``neighbors`` is proved when its circle reaches no farther
+    than they do.  The other cells inside the hull start from a triangle of neighbours
+    and hull corners and are settled over all points, ``OPEN_CELLS`` at a time.
+    """
+    pts = points.where(usable("z")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min("pid").alias("pid"), F.min_by("z", "pid").alias("z"))
+    pts = materialize(pts.select("pid", "x", "y", "z"), "linear")
+    hull, n = _hull_of(pts), pts.count()
+
+    def solve(px, py, z, qx, qy):
+        p = np.column_stack([px, py, z])
+        if px[0] == qx and py[0] == qy:
+            return float(z[0]), None
+        reach = np.inf if len(z) == n else np.hypot(px - qx, py - qy).max()
+        for rows in (p, np.r_[p, hull]):
+            t = delaunay_triangle(rows[:, 0] - qx, rows[:, 1] - qy)
+            if t is not None:
+                ox, oy, r2 = _circle(rows[:, 0] - qx, rows[:, 1] - qy, t)
+                if math.hypot(ox, oy) + math.sqrt(r2) <= reach:
+                    return float(_shares(rows[:, 0] - qx, rows[:, 1] - qy, t, 0.0, 0.0) @ rows[t, 2]), None
+        return (None, rows[t].ravel().tolist()) if t is not None else (None, None)
+
+    first = materialize(_local(cells, pts, neighbors, solve, "value double, corners array<double>"), "linear-first")
+    out = first.where("corners IS NULL").select("qid", "value")
+    n_open = first.where("corners IS NOT NULL").count()
+    blocks = math.ceil(n_open / OPEN_CELLS)
+    for k in range(blocks):
+        rows = first.where("corners IS NOT NULL").where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).join(cells.select("qid", "x", "y"), "qid").collect()  # about OPEN_CELLS rows
+        found = _settle({r["qid"]: np.array(r["corners"]).reshape(3, 3) for r in rows}, {r["qid"]: (r["x"], r["y"]) for r in rows}, pts)
+        if found:
+            out = out.unionByName(cells.sparkSession.createDataFrame(sorted(found.items()), "qid long, value double"))
+    return out
 
 
 # ---- spline

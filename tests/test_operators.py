@@ -150,6 +150,39 @@ def test_delaunay_square():
     assert math.isnan(I.delaunay_value(x, y, x, 2.0, 2.0))
 
 
+def _brute_delaunay(p, qx, qy):
+    """The value at a cell by trying all triangles."""
+    from itertools import combinations
+
+    x, y, z = p[:, 0] - qx, p[:, 1] - qy, p[:, 2]
+    i, j, k = np.array(list(combinations(range(len(p)), 3))).T
+    w = np.array([x[j] * y[k] - x[k] * y[j], x[k] * y[i] - x[i] * y[k], x[i] * y[j] - x[j] * y[i]])
+    area = w.sum(0)
+    for t in np.flatnonzero((np.abs(area) > 1e-9) & (w / np.where(area == 0, 1, area) >= 0).all(0)):
+        a = np.array([[x[v], y[v], 1.0] for v in (i[t], j[t], k[t])])
+        c = np.linalg.solve(a, (a[:, :2] ** 2).sum(1))
+        if (x**2 + y**2 - c[0] * x - c[1] * y - c[2] >= -1e-7).all():
+            return float((w[:, t] @ z[[i[t], j[t], k[t]]]) / area[t])
+    return math.nan
+
+
+def test_linear_is_delaunay_of_all_points(spark):
+    rng = np.random.default_rng(8)
+    hot = np.c_[50 + rng.random((40, 2)) * 0.5, rng.random(40)]  # more than 24 points at one place, and a gap around
+    p = np.r_[hot, rng.random((30, 3)) * [100, 100, 1], [[0, 0, 1], [100, 0, 2], [0, 100, 3], [100, 100, 4]]]
+    same = [(900 + i, 50.25, 50.25, 9.0 + i) for i in range(30)]
+    pts = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)] + same, "pid long, x double, y double, z double")
+    q = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((60, 2)) * 110 - 5)]
+    got = {r.qid: r.value for r in I.linear(spark.createDataFrame(q, "qid long, x double, y double"), pts).collect()}
+    every = np.r_[p, [[50.25, 50.25, 9.0]]]
+    for i, x, y in q:
+        want = _brute_delaunay(every, x, y)
+        assert (got[i] is None) == math.isnan(want) == (not (0 <= x <= 100 and 0 <= y <= 100))
+        assert got[i] is None or got[i] == pytest.approx(want, abs=1e-9)
+    line = spark.createDataFrame([(i, float(i), float(i), 1.0) for i in range(30)], "pid long, x double, y double, z double")
+    assert all(r.value is None for r in I.linear(spark.createDataFrame(q, "qid long, x double, y double"), line).collect())
+
+
 def test_unknown_options_raise():
     with pytest.raises(ValueError):
         I.InterpolationConfig(method="magic")
