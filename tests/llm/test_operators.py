@@ -254,6 +254,20 @@ def test_toxicity_model(spark, odd):
     assert (toxicity.fit(["a"], np.array([1]), 0.2).score(["b", None]) < 0.3).all()
 
 
+def test_short_items_are_found(spark):
+    w = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, " ".join(w[:8])), (3, " ".join(w[20:30])), (4, "?!"), (5, "one two three four five six seven")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, "who wrote hamlet"), (2, " ".join(["x"] * 30) + " WHO wrote hamlet, " + " ".join(["y"] * 30)), (3, " ".join(w[:8])), (4, "a b " + " ".join(w[:8]) + " c"),
+            (5, " ".join([*w[20:26], "other", *w[27:30]])), (6, "who wrote macbeth"), (7, "one two three four five six eight"), (8, "z one two three four five six seven"), (9, "hamlet"),
+        ],
+        "doc_id long, text string",
+    )
+    got = {(r.doc_id, r.item_id): (r.doc_word, r.n_words, r.n_equal) for r in find_overlaps(docs, items).collect()}
+    assert got == {(1, 1): (0, 3, 3), (2, 1): (30, 3, 3), (3, 2): (0, 8, 8), (4, 2): (2, 8, 8), (5, 3): (0, 10, 9), (8, 5): (1, 7, 7)}
+
+
 def test_audio_alignment(spark):
     rng = np.random.default_rng(0)
     tune = lambda steps: 0.5 * np.sin(2 * np.pi * np.cumsum(np.repeat(440 * 2 ** (steps / 12), 768)) / 4096)
