@@ -67,10 +67,10 @@ query("p20_l6_features", sql("SELECT pid, count(*) AS n, round(avg(r), 6) AS mea
 
 
 def _model(s, d, full=False):
-    """A small forest on pixels labelled by their greenness."""
+    """A forest of the operator's size on pixels labelled by their greenness."""
     names = L.FEATURES14 if full else L.FEATURES7
     rows = _features(s, d, full).withColumn("label", F.when(F.col("ExG") > 0.05, 1).otherwise(0))
-    return L.fit_forest(rows, names, trees=10, depth=8), rows, names
+    return L.fit_forest(rows, names), rows, names
 
 
 @query("l1_l2_l3_forest")
@@ -94,5 +94,5 @@ query("g11_watershed_image")(lambda s, d: S.watershed_image(_flood_input(s, d).w
 query("g11_watershed")(lambda s, d: S.watershed(_flood_input(s, d)))
 query("g8_contours")(lambda s, d: VZ.contours(_bin(s, d), tile=64))
 query("g10_polygons")(lambda s, d: VZ.polygons(_bin(s, d), _meta(s, d), tile=64).select("component", F.size("rings").alias("n_rings"), "area"))
-query("pipeline_a_terrain")(lambda s, d: P.terrain_run(fx.px(s, d), fx.train(s, d), _meta(s, d), P.TerrainConfig(trees=5, depth=6, all_features=False, buffer_m=2.0, confidence=0.5, min_group_px=2, terrain=I.InterpolationConfig(method="idw", resolution=20.0, idw_neighbors=8)))["terrain"])
+query("pipeline_a_terrain")(lambda s, d: P.terrain_run(fx.px(s, d), fx.train(s, d), _meta(s, d), P.TerrainConfig(buffer_m=2.0, confidence=0.5, min_group_px=2, terrain=I.InterpolationConfig(method="idw", resolution=20.0, idw_neighbors=8)))["terrain"])
 query("pipeline_c_crowns")(lambda s, d: P.crowns_run(fx.prob(s, d), fx.train(s, d).where("label = 1"), fx.train(s, d).where("label = 0"), _meta(s, d))["polygons"])

@@ -55,6 +55,22 @@ def test_forest(spark, sf_dir):
     assert i.importance.is_monotonic_decreasing and abs(i.importance.sum() - 1) < 1e-6
 
 
+@pytest.mark.parametrize(("name", "n_features"), [("l1_l2_l3_forest", 7), ("l4_o1_importances", 14), ("pipeline_a_terrain", 14)])
+def test_forests_have_the_size_of_the_operator(spark, sf_dir, monkeypatch, name, n_features):
+    from orthoflux.operators import ml
+
+    class Asked(Exception):
+        pass
+
+    def fit(self, rows):
+        raise Asked(self.getNumTrees(), self.getMaxDepth(), len(rows.select("features").first()[0]))
+
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", fit)
+    with pytest.raises(Asked) as asked:
+        QUERIES[name](spark, sf_dir)
+    assert asked.value.args == (250, 25, n_features)
+
+
 def test_watersheds_cover(spark, sf_dir):
     a = QUERIES["g11_watershed_image"](spark, sf_dir).toPandas()
     b = QUERIES["g11_watershed"](spark, sf_dir).toPandas()
