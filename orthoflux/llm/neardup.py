@@ -14,8 +14,11 @@ are linked when ``100 * |A & B| >= 75 * |A | B|``.
 4. Stars are confirmed on full sets and turned into components; a size ratio and the
    agreement of four-bit sketches, over four standard deviations wide, thin the pairs
    inside the join.  What a star may have missed are links between members of one
-   bucket that are in different components: all members of such buckets are compared
-   block by block inside bounded tasks, from which only links come out.
+   bucket that are in different components.  Buckets with such members are tied into
+   groups, a group is cut into blocks of bounded size, and the sketches and sets of a
+   block are written once into the shared folder.  A task that compares two blocks is
+   dealt their names only; it loads sketches, and sets of the few documents whose
+   sketches agree, and gives the links that join components, fewer than documents.
 5. The components of all confirmed links are returned.
 """
 
@@ -26,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .storage import materialize
+from ..operators.components import graph_components
+from ..skew import own_exchange
+from .storage import attempt, keep, materialize, open_input, scope, scratch, write_atomically
 from .text import U, chunks, mix, words_of
 
 SHINGLE, BINS, ROWS = 5, 256, 6
@@ -35,8 +39,8 @@ BANDS = BINS // ROWS
 #: Of 256 bins, how many must agree (in four bits each) in linked sets of at least SKETCH_MIN shingles: at the threshold
 #: 196 are expected with a deviation of 7 (measured for sets of 12 to 600), so 166 is over four deviations below.
 SKETCH_PLANES, SKETCH_AGREE, SKETCH_MIN = 4, 166, 12
-#: Documents of one block in the second round.
-BLOCK = 512
+#: Documents of one block in the second round, and bytes of sets that one comparison holds.
+BLOCK, HELD_BYTES = 512, 64 << 20
 
 
 def shingle_sets(texts: pa.Array, length: int = SHINGLE):
@@ -150,51 +154,142 @@ def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-_BLOCK_ROW = "a long, b long"
+_PACKED = "g long, blk long, uri string, at long, n_docs long"
 
 
-def _link_blocks(pdf):
-    """Links between the left and the right block of one group, by sketch and size first, then on full sets."""
-    import pandas as pd
+def _pack(folder: str):
+    """Writes blocks (rows in order of group and block) into one file a task and names them.
 
-    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    if not len(right):  # a block against itself
-        right = left
-    sk = [np.array(d.sketch.tolist(), np.int64).reshape(len(d), -1) for d in (left, right)]
-    n, m = left.n.to_numpy()[:, None], right.n.to_numpy()[None]
-    ids, jds = left.id.to_numpy(), right.id.to_numpy()
-    may = (_agreeing(*sk) | (np.minimum(n, m) < SKETCH_MIN)) & (4 * n >= 3 * m) & (4 * m >= 3 * n) & (left.c.to_numpy()[:, None] != right.c.to_numpy()[None])
-    if right is left:
+    A block is four columns of longs (id, size, component, place of the set) and the
+    sketches; the sets, as sorted unsigned longs, stand before it.
+    """
+
+    def run(batches):
+        uri, named = f"{folder}/{attempt()}.sets", []
+
+        def write(out):
+            key, rows, at = None, [], 0
+
+            def close():
+                nonlocal at
+                if rows:
+                    head = np.array([r[:4] for r in rows], "<i8").T.tobytes() + np.array([r[4] for r in rows], "<i8").tobytes()
+                    out.write(head)
+                    named.append((*key, uri, at, len(rows)))
+                    at += len(head)
+                    rows.clear()
+
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    cols = [part.column(c).to_pylist() for c in ("g", "blk", "id", "c", "sketch")]
+                    for (g, blk, doc, c, sketch), own in zip(zip(*cols, strict=True), shingle_sets(part.column("text")), strict=True):
+                        if (g, blk) != key:
+                            close()
+                            key = (g, blk)
+                        out.write(own.astype("<u8").tobytes())
+                        rows.append((doc, len(own), c, at, sketch))
+                        at += 8 * len(own)
+            close()
+
+        write_atomically(uri, write)
+        cols = list(zip(*named, strict=True)) or [()] * 5
+        kinds = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["g", "blk", "uri", "at", "n_docs"])
+
+    return run
+
+
+class _Block:
+    """A block of ``_pack``; sets are loaded one by one and at most ``HELD_BYTES`` of them kept."""
+
+    def __init__(self, uri: str, at: int, n_docs: int):
+        self._in = open_input(uri)
+        self._in.seek(at)
+        longs = np.frombuffer(self._in.read(8 * n_docs * (4 + SKETCH_PLANES * BINS // 64)), "<i8")
+        self.ids, self.n, self.c, self._at = longs[: 4 * n_docs].reshape(4, n_docs)
+        self.sketch = longs[4 * n_docs :].reshape(n_docs, -1)
+        self._sets: dict[int, np.ndarray] = {}
+        self._held = 0
+
+    def set_of(self, i: int) -> np.ndarray:
+        got = self._sets.get(i)
+        if got is None:
+            self._in.seek(int(self._at[i]))
+            got = np.frombuffer(self._in.read(8 * int(self.n[i])), "<u8")
+            if self._held + got.nbytes > HELD_BYTES:
+                self._sets.clear()
+                self._held = 0
+            self._sets[i] = got
+            self._held += got.nbytes
+        return got
+
+    def close(self) -> None:
+        self._in.close()
+
+
+def _links_between(x: _Block, y: _Block) -> list[tuple[int, int]]:
+    """Links between documents of two blocks (or of one) that join components not joined by the links before."""
+    n, m = x.n[:, None], y.n[None]
+    may = (_agreeing(x.sketch, y.sketch) | (np.minimum(n, m) < SKETCH_MIN)) & (4 * n >= 3 * m) & (4 * m >= 3 * n) & (x.c[:, None] != y.c[None])
+    if x is y:
         may = np.triu(may, 1)
-    rows, cols = np.nonzero(may)
-    sets = [dict(zip(k.tolist(), shingle_sets(pa.array(d.text.iloc[k])), strict=True)) for d, k in ((left, np.unique(rows)), (right, np.unique(cols)))]
+    root: dict[int, int] = {}
+
+    def find(k):
+        while k in root:
+            k = root[k]
+        return k
+
     out = []
-    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
-        a, b = sets[0][i], sets[1][j]
+    for i, j in np.argwhere(may).tolist():
+        p, q = find(int(x.c[i])), find(int(y.c[j]))
+        if p == q:
+            continue
+        a, b = x.set_of(i), y.set_of(j)
         both = len(np.intersect1d(a, b, assume_unique=True))
-        if 100 * both >= 75 * (len(a) + len(b) - both) and ids[i] != jds[j]:
-            out.append((max(ids[i], jds[j]), min(ids[i], jds[j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            root[max(p, q)] = min(p, q)
+            out.append((int(max(x.ids[i], y.ids[j])), int(min(x.ids[i], y.ids[j]))))
+    return out
+
+
+def _compare(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            x = _Block(row["uri"], row["at"], row["n_docs"])
+            same = (row["uri"], row["at"]) == (row["uri2"], row["at2"])
+            y = x if same else _Block(row["uri2"], row["at2"], row["n_docs2"])
+            found = _links_between(x, y)
+            x.close()
+            y.close()
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def rest_links(rows: DataFrame, together: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b)``: links among ``rows(id, n, sketch, c)`` with different c that share a bucket, all of them.
+    """``(a, b)``: links that join all components which a link between ``rows(id, n, sketch, c)`` in one bucket joins.
 
-    ``together(bucket, id)`` ties rows into groups.  A group is cut into blocks of
-    ``BLOCK`` and every two blocks meet in one task of bounded size, which compares
-    them in memory; only links come out, so no pair of unlinked texts is ever a row.
-    A row is copied once for each block of its group.
+    ``together(bucket, id)`` ties rows into groups.  A group is cut into blocks of about
+    ``BLOCK`` documents and every two blocks are compared: work that is quadratic in a
+    group of alike texts below the threshold, though in steps of bounded memory, and
+    nothing but the names of blocks is dealt for it.
     """
+    spark = rows.sparkSession
     first = together.groupBy("bucket").agg(F.min("id").alias("root"))
-    ties = together.join(first, "bucket").where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
-    group = connected_components(ties)
-    mine = rows.join(group, rows.id == group.node).drop("node").withColumnRenamed("component", "g")
+    ties = together.join(own_exchange(first, "root"), "bucket").where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
+    group = graph_components(ties)
+    mine = materialize(rows.join(group, rows.id == group.node).drop("node").withColumnRenamed("component", "g"), "grouped")
     sizes = mine.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    at = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    placed = materialize(mine.join(sizes, "g").withColumn("blk", at).join(texts, "id"), "blocks")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    each = placed.withColumn("o", other).select("g", "id", "n", "sketch", "c", "text", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), (F.col("blk") > F.col("o")).cast("int").alias("side"))
-    return each.groupBy("g", "lo", "hi").applyInPandas(_link_blocks, _BLOCK_ROW).distinct()
+    placed = mine.join(own_exchange(sizes, "blocks"), "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(texts, "id")
+    dealt = placed.select("g", "blk", "id", "c", "sketch", "text").repartition("g", "blk").sortWithinPartitions("g", "blk", "id")
+    packed = materialize(dealt.mapInArrow(_pack(scratch(spark, "sets")), _PACKED), "packed")
+    own = packed.join(own_exchange(sizes, "blocks"), "g").select("*", F.explode(F.sequence("blk", F.col("blocks") - 1)).alias("o"))
+    other = packed.select("g", F.col("blk").alias("o"), F.col("uri").alias("uri2"), F.col("at").alias("at2"), F.col("n_docs").alias("n_docs2"))
+    pairs = own.join(other, ["g", "o"]).select("uri", "at", "n_docs", "uri2", "at2", "n_docs2")
+    # about four comparisons of whole blocks a task, or many of small ones
+    work = pairs.agg(F.sum(F.col("n_docs") * F.col("n_docs2") + 8192)).first()[0] or 0
+    tasks = max(1, min(work // (4 * BLOCK * BLOCK) + 1, 1_000_000))
+    return pairs.repartition(tasks, "uri", "at", "uri2", "at2").mapInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,42 +300,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often as they came; of different texts under one id a link of any counts for the
     id.  Other columns are ignored, whatever their names.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(_sign, _SIGNED), "signed")
-    whole = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = whole.groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("rep"))
-    reps = (
-        whole.join(classes, ["n_shingles", "s1", "s2"])
-        .where("id = rep")
-        .select("id", F.col("n_shingles").alias("n"), "bands", "sketch")
-    )
-    # size and least member of each bucket: a partial aggregate of a few longs a bucket
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("center < top").drop("top")
-    members = materialize(entries.join(buckets, "bucket").join(reps.select("id", "n", "sketch"), "id"), "members")
-    # a second centre: the member that shares most buckets with others, as the text does that others were made from
-    degrees = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    hubs = members.join(degrees, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("h")).select("bucket", (-F.col("h.order")).alias("hub"))
-    centers = buckets.select("bucket", F.col("center").alias("c")).unionByName(hubs.select("bucket", F.col("hub").alias("c"))).distinct()
-    c = members.select("bucket", "id", "n", "sketch").join(centers, ["bucket"]).where("id = c").drop("c").alias("c")
-    m = members.alias("m")
-    pair = F.col("m.id"), F.col("c.id")
-    stars = m.join(c, (F.col("m.bucket") == F.col("c.bucket")) & (pair[0] != pair[1]) & _alike("m", "c")).select(F.greatest(*pair).alias("a"), F.least(*pair).alias("b")).distinct()
-    stars = materialize(stars, "stars")
-    wanted = members.select("id").distinct()
-    texts = materialize(base.join(wanted, "id").distinct(), "texts")
-    links = materialize(confirm_links(stars, texts), "links")
-    parts = connected_components(links)
-
-    # round two: members of one bucket that the stars left in different components
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    open_ = materialize(placed.join(split, "bucket").select("bucket", "id", "n", "sketch", "c"), "open")
-    more = materialize(rest_links(open_.drop("bucket").distinct(), open_.select("bucket", "id"), texts), "links")
-    if not more.isEmpty():
-        parts = connected_components(links.unionByName(more))
-
-    found = classes.join(parts, classes.rep == parts.node, "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("c"))
-    out = signed.select("id", "n_shingles", "s1", "s2").join(found, ["n_shingles", "s1", "s2"], "left")
+    with scope(spark) as own:
+        signed = materialize(base.mapInArrow(_sign, _SIGNED), "signed")
+        whole = signed.where("n_shingles > 0 AND id IS NOT NULL")
+        key = ["n_shingles", "s1", "s2"]
+        classes = materialize(whole.groupBy(*key).agg(F.min("id").alias("rep")), "classes")
+        # the rows of a class meet nowhere: only that of its least id is looked up, by its id
+        lead = own_exchange(classes.select(*key, F.col("rep").alias("id")), "s2")
+        one = whole.join(lead, ["id", *key]).groupBy("id", *key).agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        reps = materialize(one.select("id", F.col("n_shingles").alias("n"), "bands", "sketch"), "reps")
+        # size and least member of each bucket: a partial aggregate of a few longs a bucket
+        entries = reps.select("id", F.explode("bands").alias("bucket"))
+        buckets = entries.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("center < top").drop("top")
+        joined = entries.join(own_exchange(buckets, "center"), "bucket")
+        members = materialize(joined.join(reps.select("id", "n", "sketch"), "id"), "members")
+        # a second centre: the member that shares most buckets with others, as the text does that others were made from
+        degrees = members.groupBy("id").agg(F.sum("size").alias("degree"))
+        hubs = members.select("bucket", "id").join(degrees, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("h")).select("bucket", (-F.col("h.order")).alias("hub"))
+        centers = members.select("bucket", F.col("center").alias("id")).unionByName(hubs.select("bucket", F.col("hub").alias("id"))).distinct()
+        c = own_exchange(members.select("bucket", "id", "n", "sketch").join(own_exchange(centers, "id"), ["bucket", "id"]), "id").alias("c")
+        m = members.alias("m")
+        pair = F.col("m.id"), F.col("c.id")
+        stars = m.join(c, (F.col("m.bucket") == F.col("c.bucket")) & (pair[0] != pair[1]) & _alike("m", "c")).select(F.greatest(*pair).alias("a"), F.least(*pair).alias("b")).distinct()
+        stars = materialize(stars, "stars")
+        wanted = members.select("id").distinct()
+        texts = materialize(base.join(wanted, "id").distinct(), "texts")
+        links = materialize(confirm_links(stars, texts), "links")
+        parts = graph_components(links)
+
+        # round two: members of one bucket that the stars left in different components
+        placed = materialize(members.select("bucket", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "placed")
+        split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket", "lo")
+        open_ = materialize(placed.join(own_exchange(split, "lo"), "bucket").select("bucket", "id", "c"), "open")
+        rows = reps.select("id", "n", "sketch").join(open_.select("id", "c").distinct(), "id")
+        more = materialize(rest_links(rows, open_.select("bucket", "id"), texts), "links")
+        if not more.isEmpty():
+            parts = graph_components(links.unionByName(more))
+
+        found = classes.join(parts, classes.rep == parts.node, "left").select(*key, F.coalesce("component", "rep").alias("c"))
+        comp = signed.where("n_shingles > 0").select("id", *key).join(own_exchange(found, "c"), key, "left")
+        # empty sets need no look-up
+        rest = signed.where("n_shingles = 0").select("id", "n_shingles", F.lit(None).cast("long").alias("c"))
+        out = keep(comp.select("id", "n_shingles", "c").unionByName(rest), "near-duplicates", own)
     comp = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))

@@ -1,76 +1,38 @@
-"""Shared-folder helpers: scratch tables and binary files.
+"""Binary files in the shared folder, read and written by executors.
 
-All intermediate tables go to the folder named by ``spark.checkpoint.dir``;
-executors write binary files there through ``pyarrow.fs`` so that any URI the
+Tables go through ``orthoflux.scratch``; files go through ``pyarrow.fs``, so any URI the
 cluster uses (``file:``, ``hdfs:``, ``s3:``) works the same way.
 """
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-KEY = "spark.checkpoint.dir"
-_made: list[str] = []
+from .. import scratch as _scratch
+from ..scratch import drop, free_shuffles, keep, scope, scratch, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; set to a fresh one only where it is unset (tests)."""
-    base = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="orthoflux-")
-        spark.conf.set(KEY, base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """URI of a new folder for one run of one operator."""
-    uri = f"{shared_dir(spark)}/orthoflux/{name}-{uuid.uuid4().hex}"
-    _made.append(uri)
-    return uri
+__all__ = ["attempt", "drop", "free_shuffles", "keep", "materialize", "open_input", "scope", "scratch", "shared_dir", "write_atomically"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends here."""
-    spark = df.sparkSession
-    uri = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(uri)
-    free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(uri)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files that no live plan refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def made() -> list[str]:
-    """Scratch folders of this process, oldest first."""
-    return list(_made)
+    """``scratch.materialize``, after which shuffle files of the written plan may go: texts pass through several shuffles."""
+    out = _scratch.materialize(df, name)
+    free_shuffles(df.sparkSession)
+    return out
 
 
-def drop(spark: SparkSession, uris: list[str]) -> None:
-    """Delete scratch folders; call once nothing that reads them will run again."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for uri in uris:
-        path = jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(conf).delete(path, True)
-        if uri in _made:
-            _made.remove(uri)
+def attempt() -> str:
+    """A name part of the running task attempt: no other attempt, speculative or retried, writes under it.
 
+    A table of the files' names, written by the same task, then lists the files of the
+    attempt that was committed; what lost attempts leave is never read.
+    """
+    from pyspark import TaskContext
 
-@atexit.register
-def _at_exit() -> None:
-    for uri in _made:
-        with contextlib.suppress(Exception):  # the store may be gone by now
-            fs, path = _fs(uri)
-            fs.delete_dir(path)
+    context = TaskContext.get()
+    return f"{context.partitionId():06d}-{context.taskAttemptId()}"
 
 
 def _fs(uri: str):
@@ -80,8 +42,7 @@ def _fs(uri: str):
 
 
 def write_atomically(uri: str, write) -> None:
-    """Call ``write(stream)`` on a private name, then rename: a retried or speculative
-    task replaces the file by equal bytes, and readers never see half a file."""
+    """Call ``write(stream)`` on a private name, then rename: readers never see half a file."""
     fs, path = _fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"

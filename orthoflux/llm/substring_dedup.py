@@ -1,16 +1,19 @@
 """Repeated passages across documents by level-wise doubling.
 
 A window is ``window`` consecutive words of one document; it goes where its word
-sequence also starts in a document with a lesser id.  Level one looks at windows of
-half that length (*seeds*); only those found in two documents or more are extended
-to twice the length.
-
-Seeds are not taken at every position: each full window is represented by the seed
-of least hash inside it, so equal windows always have equal seeds and about two in
-``window / 2 + 2`` positions are shuffled.  Consecutive windows with one seed form a
-*block*, whose content hash settles all its windows at once: a block that an earlier
-document has too goes entirely.  Only where one seed stands in different blocks are
-single windows of full length compared, for the first document of each block.
+sequence also starts in a document with a lesser id.  Each level looks at windows of
+twice the length of the level before, and only at those whose two halves were both
+found in another document; it begins with seeds of half a window and ends when no
+candidate survives, so the last level that a document reaches tells how long its
+longest repeated passage is.
+
+Inside a level windows are not compared one by one.  Each is represented by the *seed*
+(a window of half the length) of least hash inside it, so equal windows always have
+equal seeds and about two in ``length / 2 + 2`` positions are shuffled.  Consecutive
+windows with one seed form a *block*.  Blocks of equal content are one class, counted by
+partial aggregation, and what holds for a class holds for all windows of its blocks.
+Only where a seed stands in classes of different content are single windows compared,
+for one document of each class.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
-from .text import WORD_MUL, chunks, span_hashes, words_of
+from ..skew import own_exchange
+from .storage import keep, materialize, scope
+from .text import WORD_MUL, Words, chunks, span_hashes, words_of
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
@@ -39,50 +43,59 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), values)
 
 
-def _seeds(window: int):
-    half = (window + 1) // 2
+def _marked(words: Words, ranges: pa.Array) -> np.ndarray:
+    """True at the words (of all documents) where one of the document's ranges has a start."""
+    edge = np.zeros(len(words.hashes[0]) + 1, np.int64)
+    flat, doc = ranges.flatten(), np.repeat(np.arange(len(ranges)), ranges.value_lengths().fill_null(0).to_numpy())
+    np.add.at(edge, words.offs[doc] + flat.field("lo").to_numpy(), 1)
+    np.add.at(edge, words.offs[doc] + flat.field("hi").to_numpy() + 1, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _seeds(length: int):
+    """Blocks of the candidate windows of ``length`` words: a document's third column holds where windows of half the
+    length were found in another document (no such column: every window is a candidate)."""
+    half = (length + 1) // 2
 
     def run(batches):
         for batch in batches:
-            for first, last, buf, offs in chunks(batch.column(1)):
+            for first, last, buf, offs in chunks(batch.column("text")):
                 w = words_of(buf, offs, hashes=2)
                 p, h = w.windows(half)
-                a = _least(h, window - half + 1)
+                a = _least(h, length - half + 1)
                 n = np.diff(w.offs)
                 doc = np.repeat(np.arange(last - first), n)[p[: len(a)]]
-                ok = p[: len(a)] + window <= w.offs[1:][doc]
+                ok = p[: len(a)] + length <= w.offs[1:][doc]
+                if "ranges" in batch.schema.names:
+                    found = np.r_[_marked(w, batch.column("ranges").slice(first, last - first)), np.zeros(length, bool)]
+                    ok &= found[p[: len(a)]] & found[p[: len(a)] + length - half]
                 a, doc, p = a[ok], doc[ok], p[: len(ok)][ok]
-                new = np.r_[True, a[1:] != a[:-1]][: len(a)]
+                new = np.r_[True, (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)][: len(a)]
                 k0 = np.flatnonzero(new)
                 k1 = np.r_[k0[1:], len(a)][: len(k0)] - 1
-                body = span_hashes(w.hashes[1], p[k0], p[k1] + window, WORD_MUL[1])
+                body = span_hashes(w.hashes[1], p[k0], p[k1] + length, WORD_MUL[1])
                 counts = np.bincount(doc[k0], minlength=last - first)
                 base = w.offs[:-1][doc[k0]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first).cast(pa.int64()), _lists(h[a[k0]].view(np.int64), counts), _lists(body.view(np.int64), counts), _lists((p[k0] - base).astype(np.int32), counts), _lists((p[k1] - base).astype(np.int32), counts)],
-                    names=["id", "seed", "body", "lo", "hi"],
-                )
+                lists = (h[a[k0]].view(np.int64), body.view(np.int64), (p[k0] - base).astype(np.int32), (p[k1] - base).astype(np.int32))
+                keys = [batch.column(c).slice(first, last - first) for c in ("id", "th")]
+                yield pa.RecordBatch.from_arrays([*keys, *(_lists(v, counts) for v in lists)], names=["id", "th", "seed", "body", "lo", "hi"])
 
     return run
 
 
-def _expand(window: int):
+def _expand(length: int):
     """Full-length hashes (128 bits) of the windows that start in the given ranges."""
 
     def run(batches):
         for batch in batches:
-            for first, last, buf, offs in chunks(batch.column(1)):
+            for first, last, buf, offs in chunks(batch.column("text")):
                 w = words_of(buf, offs, hashes=2)
-                ids, ranges = batch.column(0), batch.column(2)
-                for d in range(last - first):
-                    n = int(w.offs[d + 1] - w.offs[d]) - window + 1
-                    want = np.zeros(max(n, 0), bool)
-                    for r in ranges[first + d].as_py():
-                        want[r["lo"] : r["hi"] + 1] = True
-                    p = np.flatnonzero(want)
-                    own = [h[w.offs[d] : w.offs[d + 1]] for h in w.hashes]
-                    h1, h2 = (span_hashes(h, p, p + window, m).view(np.int64) for h, m in zip(own, WORD_MUL, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), ids[first + d].as_py(), np.int64)), pa.array(p.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["id", "p", "h1", "h2"])
+                p = np.flatnonzero(_marked(w, batch.column("ranges").slice(first, last - first)))
+                doc = np.searchsorted(w.offs, p, side="right") - 1
+                h1, h2 = (span_hashes(h, p, p + length, m).view(np.int64) for h, m in zip(w.hashes, WORD_MUL, strict=True))
+                keys = [batch.column(c).slice(first, last - first).take(pa.array(doc)) for c in ("id", "th")]
+                start = pa.array((p - w.offs[doc]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*keys, start, pa.array(h1), pa.array(h2)], names=["id", "th", "p", "h1", "h2"])
 
     return run
 
@@ -93,7 +106,7 @@ def _cut(batches):
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             n_words, kept, spans = [], [], []
-            for text, found in zip(part.column(1).cast(pa.binary()), part.column(2).to_pylist(), strict=True):
+            for text, found in zip(part.column("text").cast(pa.binary()), part.column("spans").to_pylist(), strict=True):
                 words = (text.as_py() or b"").split()
                 n_words.append(len(words))
                 merged: list[list[int]] = []
@@ -108,36 +121,68 @@ def _cut(batches):
                     to = b
                 kept.append(b" ".join(rest + words[to:] if merged else words))
                 spans.append([{"first": a, "last": b - 1} for a, b in merged])
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "removed", "kept_text"])
+            values = [part.column("id"), pa.array(n_words, pa.int64()), part.column("longest"), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(values, names=["id", "n_words", "longest", "removed", "kept_text"])
+
+
+def _level(texts: DataFrame, length: int, first_level: bool, own: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Windows of ``length`` words that start in two documents or more: (spans to remove, candidate starts) by document.
+
+    ``texts(id, th, text[, ranges])``.  Only the first level tells what goes.
+    """
+    columns = "id long, th long, seed array<long>, body array<long>, lo array<int>, hi array<int>"
+    seeded = materialize(texts.mapInArrow(_seeds(length), columns).where("size(seed) > 0"), "seeds")
+    seeds = seeded.select("id", "th", F.inline(F.arrays_zip("seed", "body", "lo", "hi")))
+    # blocks of equal content are one row from here on
+    classes = materialize(seeds.groupBy("seed", "body").agg(F.min("id").alias("one"), F.max("id").alias("last")), "classes")
+    again = classes.groupBy("seed").agg(F.min("one").alias("a"), F.max("last").alias("z"), F.count(F.lit(1)).alias("n_bodies")).where("a < z")
+    alive = materialize(classes.join(own_exchange(again.drop("a", "z"), "n_bodies"), "seed"), "classes")
+    placed = materialize(seeds.join(own_exchange(alive, "last"), ["seed", "body"]).select("id", "th", "lo", "hi", "one", "last", "n_bodies"), "placed")
+    ranges = F.collect_set(F.struct("lo", "hi"))
+    found = placed.where("one < last").select("id", "th", "lo", "hi")
+    # single windows of classes that share a seed and differ, in the earliest document of each
+    loose = placed.where("id = one AND n_bodies > 1").groupBy("id", "th").agg(ranges.alias("ranges"))
+    windows = materialize(texts.select("id", "th", "text").join(loose, ["id", "th"]).mapInArrow(_expand(length), "id long, th long, p int, h1 long, h2 long"), "windows")
+    earliest = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("top")).where("first < top")
+    single = materialize(windows.join(own_exchange(earliest, "first"), ["h1", "h2"]).select("id", "th", F.col("p").alias("lo"), F.col("p").alias("hi"), "first"), "single")
+    starts = keep(found.unionByName(single.drop("first")).groupBy("id", "th").agg(ranges.alias("ranges")), "starts", own)
+    if not first_level:
+        return None, starts
+    gone = placed.where("id > one").select("id", "th", "lo", "hi").unionByName(single.where("id > first").drop("first"))
+    spans = gone.select("id", "th", "lo", (F.col("hi") + length).alias("hi"))
+    return keep(spans.groupBy("id", "th").agg(ranges.alias("spans")), "spans", own), starts
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """``(id_col, n_words, removed, kept_text)``, one row for each row of ``docs``.
+    """``(id_col, n_words, longest, removed, kept_text)``, one row for each row of ``docs``.
 
     ``removed`` holds the merged spans of words that go (first and last word, from
-    0), ``kept_text`` the other words joined by one space.  Null and blank texts have
-    no words; rows with a null id are neither earlier nor later than any document
-    and stay whole; equal ids are not earlier than each other.  Other columns are
-    ignored.
+    0), ``kept_text`` the other words joined by one space.  ``longest`` is the greatest
+    of ``window``, ``2 * window``, ``4 * window`` and so on such that so many words in a
+    row of this document start in another one too, 0 if none.  Null and blank texts
+    have no words; rows with a null id are neither earlier nor later than any document
+    and stay whole; equal ids are not earlier than each other, and rows of one id with
+    different texts are judged one by one.  Other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     known = base.where("id IS NOT NULL")
-    seeded = materialize(known.mapInArrow(_seeds(window), "id long, seed array<long>, body array<long>, lo array<int>, hi array<int>").where("size(seed) > 0"), "seeds")
-    seeds = seeded.select("id", F.inline(F.arrays_zip("seed", "body", "lo", "hi")))
-    # level one: seeds of two documents or more
-    again = seeds.groupBy("seed").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("seed")
-    alive = materialize(seeds.join(again, "seed"), "blocks")
-    # level two, whole blocks
-    blocks = alive.groupBy("seed", "body").agg(F.min("id").alias("first"))
-    open_ = blocks.groupBy("seed").agg(F.count(F.lit(1)).alias("n_bodies"))
-    placed = materialize(alive.join(blocks.join(open_, "seed"), ["seed", "body"]).select("id", "lo", "hi", "first", "n_bodies"), "placed")
-    spans = placed.where("id > first").select("id", "lo", (F.col("hi") + window).alias("hi"))
-    # level two, single windows of blocks that share a seed and differ
-    loose = placed.where("id = first AND n_bodies > 1").groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    windows = materialize(known.join(loose, "id").mapInArrow(_expand(window), "id long, p int, h1 long, h2 long"), "windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("top")).where("first < top")
-    single = windows.join(earliest, ["h1", "h2"]).where("id > first").select("id", F.col("p").alias("lo"), (F.col("p") + window).alias("hi"))
-    gone = materialize(spans.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    out = base.join(gone, "id", "left").select("id", "text", "spans")
-    done = out.mapInArrow(_cut, "id long, n_words long, removed array<struct<first:int,last:int>>, kept_text string")
+    with scope(spark) as own:
+        with scope(spark) as inner:
+            gone, starts = _level(known, window, True, inner)
+        length, reached = window, starts.select("id", "th", F.lit(window).cast("long").alias("longest"))
+        while True:
+            # a window of twice the length needs starts that are a length apart
+            span = F.array_max("ranges.hi") - F.array_min("ranges.lo")
+            wide = starts.where(span >= length)
+            if wide.isEmpty():
+                break
+            length *= 2
+            with scope(spark) as inner:
+                _, starts = _level(known.join(wide, ["id", "th"]), length, False, inner)
+            reached = reached.unionByName(starts.select("id", "th", F.lit(length).cast("long").alias("longest")))
+        reached = reached.groupBy("id", "th").agg(F.max("longest").alias("longest"))
+        found = keep(reached.join(gone, ["id", "th"], "left"), "found", own)
+    out = base.join(found, ["id", "th"], "left").select("id", F.coalesce("longest", F.lit(0)).alias("longest"), "text", "spans")
+    done = out.mapInArrow(_cut, "id long, n_words long, longest long, removed array<struct<first:int,last:int>>, kept_text string")
     return done.withColumnRenamed("id", id_col)

@@ -1,11 +1,13 @@
 """Token-id files with Elias-Fano document boundaries.
 
-A file holds, little-endian: an 8-byte magic, a header of unsigned 64-bit numbers
-(see ``HEADER``), the id array (2 or 4 bytes an id, by vocabulary), and two
-Elias-Fano sequences: the end of every document in the id array, and the document
-ids less their least.  Lower bits are packed; upper bits are unary with the place of
-every ``SAMPLE``-th one kept in 32 bits a block of 2**32 bits, so ``select`` is a look-up
-and a scan of few words and no table of 64-bit offsets exists.
+A file holds, little-endian: an 8-byte magic, a header of 64-bit numbers (see
+``HEADER``), two Elias-Fano sequences (the end of every document in the id array, and
+the document ids less their least), and the id array (2 or 4 bytes an id, by
+vocabulary).  Lower bits are packed; upper bits are unary.  The file also holds the
+place of every ``SAMPLE``-th one among the upper bits, in 32 bits each, and for every
+2**32 upper bits the number of samples before them.  ``select`` is a look-up and a scan of few
+bytes; readers go through it a block of documents at a time, and no table of all
+offsets is ever made.
 """
 
 from __future__ import annotations
@@ -23,25 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import materialize, open_input, scratch, write_atomically
+from .storage import attempt, materialize, open_input, scratch, write_atomically
 
 MAGIC = b"OFTOKEF1"
 HEADER = ("n_docs", "n_ids", "id_bytes", "n_null", "first_id", "ends_bytes", "docs_bytes")
 SAMPLE = 256
 #: Ids of one file; a longer document makes one longer file.
 FILE_IDS = 1 << 23
+#: Bytes of text in one range of ids, where the session's number of partitions does not make them smaller.
+RANGE_BYTES = 128 << 20
+#: Documents whose bounds a reader holds at once.
+READ_DOCS = 4096
 #: Words and word parts remembered by one worker; beyond that it starts anew.
 CACHE_WORDS = 400_000
 
 
 class EliasFano:
-    """A non-decreasing sequence of non-negative integers in about 2 + log2(u / n) bits each."""
+    """A non-decreasing sequence of non-negative integers in about 2 + log2(u / n) bits each, and 32 / SAMPLE for select."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        ones = np.flatnonzero(bits)
-        self._samples = ones[::SAMPLE].astype(np.uint32 if len(bits) < 1 << 32 else np.uint64)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray, bases: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.samples, self.bases = n, low_bits, low, high, samples, bases
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -50,19 +53,28 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         lows = (values & ((1 << low_bits) - 1)).astype("<u8")
-        low = np.packbits(np.unpackbits(lows.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low_bits].reshape(-1), bitorder="little") if n else np.zeros(0, np.uint8)
-        bits = np.zeros(n + (top >> low_bits) + 1, np.uint8)
-        bits[(values >> low_bits) + np.arange(n)] = 1
-        return cls(n, low_bits, low, np.packbits(bits, bitorder="little"))
+        low = np.zeros(0, np.uint8)
+        if n:
+            low = np.packbits(np.unpackbits(lows.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low_bits].reshape(-1), bitorder="little")
+        place = (values >> low_bits) + np.arange(n)
+        high = np.zeros((n + (top >> low_bits) + 8) >> 3, np.uint8)
+        np.bitwise_or.at(high, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        kept = place[::SAMPLE]
+        bases = np.searchsorted(kept >> 32, np.arange(1, (int(kept[-1]) >> 32) + 1)) if n else np.zeros(0)
+        return cls(n, low_bits, low, high, (kept & 0xFFFFFFFF).astype("<u4"), bases.astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<4Q", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        parts = self.low, self.high, self.samples, self.bases
+        return struct.pack("<6Q", self.n, self.low_bits, *map(len, parts)) + b"".join(p.tobytes() for p in parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, low_bits, n_low, n_high = struct.unpack_from("<4Q", data)
-        raw = np.frombuffer(data, np.uint8, n_low + n_high, 32)
-        return cls(n, low_bits, raw[:n_low], raw[n_low:])
+        n, low_bits, *sizes = struct.unpack_from("<6Q", data)
+        parts, at = [], 48
+        for size, kind in zip(sizes, ("u1", "u1", "<u4", "<u4"), strict=True):
+            parts.append(np.frombuffer(data, kind, size, at))
+            at += size * parts[-1].itemsize
+        return cls(n, low_bits, *parts)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.int64)
@@ -71,34 +83,48 @@ class EliasFano:
             out |= ((self.low[at >> 3] >> (at & 7)) & 1).astype(np.int64) << b
         return out
 
-    def select(self, i: int) -> int:
-        """The i-th value: from the sampled one before it, scan to the one wanted."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self._samples[i // SAMPLE]), i % SAMPLE
-        byte, step = at >> 3, 64
-        skip = at & 7
-        while True:
+    def _places(self, first: int, last: int) -> np.ndarray:
+        """Places of ones number ``first`` to ``last - 1`` among the upper bits: from the sampled one before, scanned piece by piece."""
+        k = first // SAMPLE
+        start = (int(np.searchsorted(self.bases, k, "right")) << 32) + int(self.samples[k])
+        skip, want = first - k * SAMPLE, last - first
+        byte, found, have = start >> 3, [], 0
+        step = 64 + want // 4
+        while have < want:
             bits = np.unpackbits(self.high[byte : byte + step], bitorder="little")
-            bits[:skip] = 0
+            if byte == start >> 3:
+                bits[: start & 7] = 0
             ones = np.flatnonzero(bits)
-            if left < len(ones):
-                place = byte * 8 + int(ones[left])
-                break
-            left, byte, skip = left - len(ones), byte + step, 0
-        return ((place - i) << self.low_bits) | int(self._low(np.array([i]))[0])
+            mine = ones[skip : skip + want - have]
+            skip = max(0, skip - len(ones))
+            found.append(mine + byte * 8)
+            have += len(mine)
+            byte += step
+        return np.concatenate(found)
+
+    def select(self, i: int) -> int:
+        """The i-th value."""
+        return int(self.select_range(i, i + 1)[0])
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        i = np.arange(self.n)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - i) << self.low_bits) | self._low(i)
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """Values ``first`` to ``last - 1``, by one select and a scan from there."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.int64)
+        i = np.arange(first, last)
+        return ((self._places(first, last) - i) << self.low_bits) | self._low(i)
 
 
 def write_file(uri: str, doc_ids: list, counts: list[int], ids: list[bytes], id_bytes: int) -> None:
-    """Documents in ascending id order, null ids last; ``ids`` are their id arrays as bytes."""
+    """Documents in ascending id order, null ids last; ``ids`` are their id arrays as bytes.
+
+    Ids of one file must span less than 2**63.
+    """
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     first = int(known[0]) if len(known) else 0
+    if len(known) and int(known[-1]) - first >= 1 << 63:
+        raise ValueError("ids of one file span 2**63 or more")
     ends = EliasFano.of(np.cumsum(counts)).to_bytes()
     docs = EliasFano.of(known - first).to_bytes()
     head = struct.pack(f"<{len(HEADER)}q", len(counts), int(sum(counts)), id_bytes, len(doc_ids) - len(known), first, len(ends), len(docs))
@@ -124,15 +150,22 @@ class TokenFile:
         self.docs = EliasFano.from_bytes(self._in.read(self.docs_bytes))
         self._at = len(head) + self.ends_bytes + self.docs_bytes
 
-    def doc_ids(self) -> list:
-        return [*(self.docs.values() + self.first_id).tolist(), *[None] * self.n_null]
+    def doc_ids(self, first: int, last: int) -> list:
+        """Ids of documents ``first`` to ``last - 1``; those without id come last."""
+        known = self.docs.select_range(min(first, self.docs.n), min(last, self.docs.n))
+        return [*(known + self.first_id).tolist(), *[None] * (last - first - len(known))]
+
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """Where documents ``first`` to ``last - 1`` begin in the id array, and where the last one ends."""
+        ends = self.ends.select_range(max(0, first - 1), last)
+        return np.r_[0, ends] if first == 0 else ends
 
     def read(self, start: int, end: int) -> np.ndarray:
         self._in.seek(self._at + start * self.id_bytes)
         return np.frombuffer(self._in.read((end - start) * self.id_bytes), "<u2" if self.id_bytes == 2 else "<u4").astype("<u4")
 
     def document(self, i: int) -> np.ndarray:
-        return self.read(self.ends.select(i - 1) if i else 0, self.ends.select(i))
+        return self.read(*self.bounds(i, i + 1).tolist())
 
     def close(self) -> None:
         self._in.close()
@@ -237,14 +270,14 @@ def _writer(folder: str, path: str, end_id: int, file_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part, n = TaskContext.get().partitionId(), 0
+        part, own_name, n = TaskContext.get().partitionId(), attempt(), 0
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         docs, counts, ids, held = [], [], [], 0
 
         def flush():
             nonlocal docs, counts, ids, held, n
-            uri = f"{folder}/{part:06d}-{n:06d}.ids"
+            uri = f"{folder}/{own_name}-{n:06d}.ids"
             write_file(uri, docs, counts, ids, enc.dtype.itemsize)
             row = [[part], [n], [uri], [len(docs)], [held]]
             docs, counts, ids, held, n = [], [], [], 0, n + 1
@@ -271,15 +304,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     """Encode ``docs`` in ascending id order (null ids last, repeated rows kept) and return the
     manifest ``(part, file, uri, n_docs, n_ids, start)`` of the files, ``start`` being the ids before each.
 
-    Null texts count as empty: they hold the end id only.  An empty table gives no
-    file and an empty manifest.
+    Rows of one id, and rows without, come in order of a hash of their texts, which
+    also spreads them over tasks.  Null texts count as empty: they hold the end id only.
+    An empty table gives no file and an empty manifest.  Other columns are ignored.
+    Files are named by task attempt and listed by the attempt that was committed, so
+    a retried or speculative task never replaces what the manifest names.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token-files")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranged = base.repartitionByRange(n, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
-    manifest = materialize(ranged.mapInArrow(_writer(folder, tokenizer, end_id, file_ids), "part int, file int, uri string, n_docs long, n_ids long"), "manifest")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    order = F.col("id").asc_nulls_last(), F.col("th")
+    ranged = base.withColumn("th", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    manifest = materialize(ranged.select("id", "text").mapInArrow(_writer(folder, tokenizer, end_id, file_ids), "part int, file int, uri string, n_docs long, n_ids long"), "manifest")
     ahead = W.orderBy("part", "file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)))
 
@@ -289,24 +327,24 @@ def _reader(digest_block: int):
         for batch in batches:
             for row in batch.to_pylist():
                 f = TokenFile(row["uri"])
-                ends = f.ends.values()
-                starts = np.r_[0, ends[:-1]].astype(np.int64)
-                ids, crcs = f.doc_ids(), []
-                first = 0
-                while first < len(ends):  # documents of about digest_block ids at a time
-                    last = max(first + 1, int(np.searchsorted(ends, starts[first] + digest_block, side="right")))
-                    block = f.read(int(starts[first]), int(ends[last - 1]))
-                    for i in range(first, last):
-                        crcs.append(zlib.crc32(block[starts[i] - starts[first] : ends[i] - starts[first]].data))
-                    first = last
+                for lo in range(0, f.n_docs, READ_DOCS):
+                    hi = min(lo + READ_DOCS, f.n_docs)
+                    at = f.bounds(lo, hi)
+                    crcs, first = [], 0
+                    while first < hi - lo:  # documents of about digest_block ids at a time
+                        last = max(first + 1, int(np.searchsorted(at, at[first] + digest_block, side="right")) - 1)
+                        block = f.read(int(at[first]), int(at[last]))
+                        crcs += [zlib.crc32(block[at[i] - at[first] : at[i + 1] - at[first]].data) for i in range(first, last)]
+                        first = last
+                    values = f.doc_ids(lo, hi), at[:-1] + row["start"], np.diff(at), crcs
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names=["id", "start", "n_tokens", "ids_crc32"])
                 f.close()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + row["start"]), pa.array(ends - starts), pa.array(crcs, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id", block: int = 1 << 20) -> DataFrame:
     """``(id_col, start, n_tokens, ids_crc32)`` of every document, from the files."""
-    n = max(1, min(manifest.count(), 100_000))
+    n = max(1, min(manifest.count(), 1_000_000))
     files = manifest.select("uri", "start").repartition(n, "uri")
     return files.mapInArrow(_reader(block), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from orthoflux.llm import audio, langid, pii, queries, toxicity
-from orthoflux.llm.components import connected_components
+from orthoflux.operators.components import graph_components
 from orthoflux.llm.decontam import drop_contaminated, find_overlaps
 from orthoflux.llm.mixing import mix_sources
 from orthoflux.llm.neardup import near_duplicates
@@ -41,9 +41,9 @@ def rows(df):
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 6), (3, 3), (20, 30), (30, 20)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in graph_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6, 10: 6, 20: 20, 30: 20}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_sets(docs):
@@ -162,10 +162,14 @@ def test_token_files(spark, odd, tmp_path):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("values", [[], [0], [7], [0, 0, 0], [1, 5, 5, 1000, 10**12], list(range(3000)), [3] * 700 + [10**6]])
+@pytest.mark.parametrize("values", [[], [0], [7], [0, 0, 0], [1, 5, 5, 1000, 10**12], list(range(3000)), [3] * 700 + [10**6], [0] * 5000 + [10**9] * 5000])
 def test_elias_fano(values):
     e = EliasFano.from_bytes(EliasFano.of(np.array(values, np.int64)).to_bytes())
-    assert e.values().tolist() == values and [e.select(i) for i in range(len(values))] == values
+    assert e.select_range(0, len(values)).tolist() == values and [e.select(i) for i in range(len(values))] == values
+    assert all(e.select_range(i, min(i + 300, len(values))).tolist() == values[i : i + 300] for i in range(0, len(values), 97))
+    assert e.samples.dtype.itemsize == 4 and len(e.samples) == -(-len(values) // 256)
+    with pytest.raises(IndexError):
+        e.select(len(values))
 
 
 def test_overlaps(spark):
