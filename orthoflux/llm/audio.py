@@ -12,19 +12,21 @@ from __future__ import annotations
 import io
 import math
 import wave
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from ..skew import own_exchange
+from .storage import attempt, materialize, open_input, scratch, write_atomically
 
 FFT, HOP = 1024, 192
 LOW_HZ, HIGH_HZ = 110.0, 1800.0
 #: Equal integers needed at one offset, frames of overlap, and the largest share of unequal bits.
 MIN_VOTES, MIN_FRAMES, MAX_ERROR = 3, 24, 0.25
-#: Query recordings held by a task at once.
+#: Query recordings of one block, of which a task holds one.
 BLOCK = 4096
 #: Pairs of equal runs whose votes are counted at once.
 PAIRS = 1 << 20
@@ -191,42 +193,93 @@ class QueryBlock:
         return out
 
 
+_FOUND = "query_id long, match_id long, offset long, votes long, n_frames long, bit_errors long"
+
+
+def _block_writer(folder: str):
+    """Writes query blocks (rows in order of ``blk``), each as one file, and names them."""
+
+    def run(batches):
+        own, held, blk = attempt(), [], None
+
+        def flush():
+            uri = f"{folder}/{own}-{blk:06d}.queries"
+            data = pa.table({"id": pa.array([h[0] for h in held], pa.int64()), "fp": pa.array([h[1] for h in held], pa.large_binary())})
+
+            def write(out):
+                with pa.ipc.new_file(out, data.schema) as f:
+                    f.write_table(data)
+
+            write_atomically(uri, write)
+            return pa.RecordBatch.from_pydict({"uri": [uri]})
+
+        for batch in batches:
+            for k, own_id, fp in zip(*(batch.column(c).to_pylist() for c in ("blk", "id", "fp")), strict=True):
+                if held and k != blk:
+                    yield flush()
+                    held = []
+                blk = k
+                held.append((own_id, fp))
+        if held:
+            yield flush()
+
+    return run
+
+
+def _load_block(uri: str) -> QueryBlock:
+    with open_input(uri) as f:
+        t = pa.ipc.open_file(f).read_all()
+    return QueryBlock(t.column("id").to_pylist(), t.column("fp").to_pylist())
+
+
 def align_recordings(prints: DataFrame, every: int = 100) -> DataFrame:
     """Align the recordings whose id is divisible by ``every`` with all recordings.
 
-    ``prints(id, fp)`` -> ``(query_id, match_id, offset, votes, n_frames, bit_errors,
-    query_copies, match_copies)``.  Recordings with equal fingerprints are one class
-    named by its least id, and pairs are between classes; a query's class is paired
-    with itself too.  Null ids, recordings without fingerprint, of fewer than
-    ``MIN_FRAMES`` frames, and unaligned pairs give no row.  The queries go by
-    in blocks of ``BLOCK``, each sent to all tasks, so a task holds one block and one
-    batch whatever the number of queries.
+    ``prints(id, fp)`` -> ``(kind, query_id, match_id, offset, votes, n_frames, bit_errors)``.
+    Recordings with equal fingerprints are one class named by its least id.  Rows of kind
+    ``alignment`` are pairs of classes, of which the first holds a query; a query's class
+    is paired with itself too.  Rows of kind ``member``, one for each recording that has
+    a fingerprint, name the class (``query_id``) of a recording (``match_id``), so every
+    pair of recordings can be read off without all pairs of copies being listed.  Null
+    ids, recordings without fingerprint, and alignments of fewer than ``MIN_FRAMES``
+    frames give no alignment; an empty table gives no rows.
+
+    The queries are written in blocks of about ``BLOCK`` into the shared folder.  A task
+    takes the blocks one after the other for each batch of its recordings, so it holds
+    one block and one batch, and the driver holds the names of the blocks only.
     """
     spark = prints.sparkSession
-    known = prints.where("id IS NOT NULL AND octet_length(fp) > 0")
-    classes = materialize(known.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max((F.col("id") % every == 0).cast("int")).alias("is_query")), "prints")
-    queries = classes.where("is_query = 1").select("id", "fp", "copies")
-    schema = "query_id long, match_id long, offset long, votes long, n_frames long, bit_errors long, query_copies long, match_copies long"
+    known = materialize(prints.where("id IS NOT NULL AND octet_length(fp) > 0").select("id", "fp", F.sha2("fp", 256).alias("sha")), "prints")
+    # the members of a class meet in no task: only the hash is grouped, and the fingerprint taken of the least id
+    classes = materialize(known.groupBy("sha").agg(F.min("id").alias("class"), F.max((F.col("id") % every == 0).cast("int")).alias("is_query")), "classes")
+    lead = own_exchange(classes.select("sha", F.col("class").alias("id"), "is_query"), "is_query", "id")
+    firsts = materialize(known.join(lead, ["sha", "id"]).dropDuplicates(["sha", "id"]).select("id", "fp", "is_query"), "firsts")
+    queries = firsts.where("is_query = 1").select("id", "fp")
     n_blocks = max(1, math.ceil(queries.count() / BLOCK))
-    parts = []
-    for k in range(n_blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k).collect()  # about BLOCK rows
-        held = spark.sparkContext.broadcast((QueryBlock([r["id"] for r in rows], [bytes(r["fp"]) for r in rows]), {r["id"]: r["copies"] for r in rows}))
-
-        def run(batches, held=held):
-            block, copies = held.value
-            for batch in batches:
-                out = []
-                for own, fp, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    out += [(q, own, *rest, copies[q], n) for q, *rest in block.align(np.frombuffer(fp, "<u4"))]
-                cols = list(zip(*out, strict=True)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
-
-        parts.append(classes.select("id", "fp", "copies").mapInArrow(run, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    dealt = queries.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).repartition(n_blocks, "blk").sortWithinPartitions("blk", "id")
+    named = materialize(dealt.mapInArrow(_block_writer(scratch(spark, "queries")), "uri string"), "blocks")
+    uris = sorted(r["uri"] for r in named.collect())  # one name for BLOCK queries
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            own = [(i, np.frombuffer(f, "<u4")) for i, f in zip(batch.column("id").to_pylist(), batch.column("fp").to_pylist(), strict=True)]
+            for uri in uris:
+                block = _load_block(uri) if len(uris) > 1 else only_block(uri)
+                out = [(q, i, *rest) for i, fp in own for q, *rest in block.align(fp)]
+                cols = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    pairs = firsts.select("id", "fp").mapInArrow(run, _FOUND).select(F.lit("alignment").alias("kind"), *names)
+    members = known.select("id", "sha").join(own_exchange(classes.select("sha", "class"), "class"), "sha")
+    nothing = [F.lit(None).cast("long").alias(c) for c in names[2:]]
+    return pairs.unionByName(members.select(F.lit("member").alias("kind"), F.col("class").alias("query_id"), F.col("id").alias("match_id"), *nothing))
+
+
+@lru_cache(maxsize=1)
+def only_block(uri: str) -> QueryBlock:
+    """A single block stays in the worker."""
+    return _load_block(uri)
 
 
 def render_melodies(table: DataFrame, id_col: str, vector_col: str, rate: int = 4096, note: int = 192) -> DataFrame:

@@ -88,6 +88,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that overlap an item; rows without id stay."""
+    """``docs`` without those that overlap an item; rows without id stay, and are not dealt to one task for the look-up."""
     found = find_overlaps(docs, items, id_col=id_col, **options).select(F.col(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+    known = docs.where(F.col(id_col).isNotNull()).join(found, id_col, "left_anti")
+    return known.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import with_text
 from .subwords import Tokens, token_chunks
 
 LENGTHS = (5, 4, 3, 2, 1)
@@ -22,6 +23,10 @@ SAMPLE = 1_200
 #: Rows of one table, the most frequent ones.
 TABLE = 200_000
 SMOOTH = 0.1
+#: How often the n-grams of one word count in a language, at most: what words share matters more than the commonest of them.
+GRAM_TIMES = 8
+#: Labelled texts of more characters are not fitted on, so the sample is bounded in bytes too.
+SAMPLE_CHARS = 100_000
 #: Words whose joint evidence makes the score; more words are averaged down to so many.
 EVIDENCE = 10
 UNKNOWN = "und"
@@ -100,13 +105,19 @@ def fit(texts: list[str | None], langs: list[str]) -> LanguageModel:
     at = np.array([number[x] for x in langs], np.int64)
     parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in (0, *LENGTHS)}
     for i in range(len(names)):
-        for _, _, t in token_chunks([texts[d] for d in np.flatnonzero(at == i)], letters_only=True):
-            of = np.bincount(t.index, minlength=len(t.hashes))
+        mine = [texts[d] for d in np.flatnonzero(at == i)]
+        for _, _, t in token_chunks(mine, letters_only=True):
             parts[0].append((t.hashes[t.index], np.full(len(t.index), i)))
+        seen, total = np.unique(np.concatenate([k for k, v in parts[0] if len(v) and v[0] == i] or [np.zeros(0, np.uint64)]), return_counts=True)
+        open_ = np.ones(len(seen), bool)
+        for _, _, t in token_chunks(mine, letters_only=True):
+            # the n-grams of a word count as often as the word is found in the language, GRAM_TIMES times at most
+            place = np.searchsorted(seen, t.hashes)
+            times_of = np.where(open_[place], np.minimum(total[place], GRAM_TIMES), 0)
+            open_[place] = False
             for n in LENGTHS:
                 word, h = t.grams(n)
-                # a word's n-grams count once for each document-independent occurrence, at most eight times
-                times = np.minimum(of[word], 8)
+                times = times_of[word]
                 parts[n].append((np.repeat(h, times), np.full(int(times.sum()), i)))
 
     def table(n):
@@ -118,28 +129,37 @@ def fit(texts: list[str | None], langs: list[str]) -> LanguageModel:
     return LanguageModel(names, table(0), {n: table(n) for n in LENGTHS})
 
 
-def fit_from_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Fit on at most ``sample`` rows with a language, chosen by hash of the id."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
-    rows = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id").limit(2 * sample).toArrow()
-    got = sorted(zip(rows.column("id").to_pylist(), rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
-    return fit([r[2] for r in got], [r[1] for r in got])
+def fit_from_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
+    """Fit on at most ``sample`` rows with id and language and texts of ``sample_chars`` characters at most, chosen by hash of the id.
+
+    Repeated rows count once; rows of one id with other texts or languages count each,
+    in order of a hash of the text.  Null texts teach nothing.  Without such rows the
+    model knows no language and calls every text ``und``.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.length("text") <= sample_chars))
+    # a sorted prefix by a total order: bounded by its parameter, and the same in every run
+    picked = known.select("id", "th", "lang").distinct().orderBy(F.xxhash64("id"), "id", "th", "lang").limit(sample)
+    rows = known.join(F.broadcast(picked), ["id", "th", "lang"]).dropDuplicates(["id", "th", "lang"]).toArrow()
+    got = sorted(zip(*(rows.column(c).to_pylist() for c in ("id", "th", "lang", "text")), strict=True))
+    return fit([r[3] for r in got], [r[2] for r in got])
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """``docs`` with a string and a double column added; null texts and texts without letters are ``und``, score 0.
 
-    Only the text is read by the model; other columns pass through, repeated rows included.
+    Only the text is read by the model, all of it; other columns pass through, repeated
+    rows included, but columns of the two names are replaced.  An empty table gives an empty one.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
+    rows, fields = with_text(docs, text_col, [lang_name, score_name])
+    schema = T.StructType([*fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lang, score = held.value.predict(part.column(batch.schema.get_field_index(text_col)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, lang_name, score_name])
+                lang, score = held.value.predict(part.columns[-1].to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

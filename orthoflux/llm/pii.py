@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .columns import with_text
+
 ROUNDS = 8
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31
 _MAIL = "abcdefghijklmnopqrstuvwxyz"
@@ -252,10 +254,12 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", out_col: s
 
     One pass over the rows, no shuffle.  A null text stays null and an empty one
     empty, with an empty list; repeated rows come back as often as they came; other
-    columns pass through.
+    columns pass through, but columns of these two names are replaced (``out_col`` may
+    name the text itself).  An empty table gives an empty one.
     """
     spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType()), T.StructField("pii", spans)])
+    rows, fields = with_text(docs, text_col, [out_col, "pii"])
+    schema = T.StructType([*fields, T.StructField(out_col, T.StringType()), T.StructField("pii", spans)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches):
@@ -263,7 +267,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", out_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                done = [own.replace(t) for t in part.column(batch.schema.get_field_index(text_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t for t, _ in done], pa.string()), pa.array([f for _, f in done], kind)], names=[*batch.schema.names, out_col, "pii"])
+                done = [own.replace(t) for t in part.columns[-1].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([t for t, _ in done], pa.string()), pa.array([f for _, f in done], kind)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -75,7 +75,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archives(normalize_archives(write_archives(_table(spark, sf_dir, "pages"))))
+    return read_archives(normalize_archives(write_archives(_table(spark, sf_dir, "pages")), keep_source=False))
 
 
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,16 +89,18 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``longest`` follows the digests: the length of the last level that a document reached."""
     out = remove_repeated(_table(spark, sf_dir, "documents"), window=50)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
-    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"), "longest")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without id teach nothing and count as not held out."""
     docs = _table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     model = langid.fit_from_table(docs.where(fold != 1))
-    return langid.predict_languages(docs.select("doc_id", "text"), model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+    return langid.predict_languages(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +110,12 @@ def op9_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without id teach nothing and count as not held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     model = toxicity.fit_from_tables(docs, labels.where(fold != 2))
     scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

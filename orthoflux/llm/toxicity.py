@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import with_text
 from .subwords import Tokens, token_chunks
 from .text import U
 
@@ -26,6 +27,8 @@ BITS, DIM, LENGTHS = 18, 8, (3, 4, 5)
 SEGMENT, LEAST = 20, 8
 #: Labelled rows used for fitting, at most so many of each label (by hash order of the id).
 SAMPLE = {1: 1200, 0: 1800}
+#: Labelled texts of more characters are not fitted on, so the sample is bounded in bytes too.
+SAMPLE_CHARS = 100_000
 EPOCHS, ROUNDS, RATE, DECAY = 18, 3, 0.15, 5e-6
 THRESHOLD = 0.3
 
@@ -203,35 +206,44 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, seed: int = 7
     return model
 
 
-def fit_from_tables(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: dict[int, int] = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``sample[v]`` rows of each label v, chosen by hash of the id."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+def fit_from_tables(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: dict[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel:
+    """Fit on at most ``sample[v]`` documents of each label v, of ``sample_chars`` characters at most, chosen by hash of the id.
+
+    Labels other than 0 and 1 and null ids teach nothing; repeated rows count once; rows
+    of one id with other texts, or with both labels, count each.  Without labelled
+    documents every text gets a score of 0.1.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    text = text.where(F.length(F.coalesce("text", F.lit(""))) <= sample_chars)
+    eligible = text.select("id", "th").distinct().join(known, "id")
     picked = None
     for v, n in sample.items():
-        part = known.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(n)
+        part = eligible.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id", "th").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = text.join(F.broadcast(picked), "id").toArrow()  # the sample is bounded by its parameter
-    got = sorted(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), rows.column("y").to_pylist(), strict=True), key=lambda r: (r[0], r[2], r[1] or ""))
+    rows = text.join(F.broadcast(picked), ["id", "th"]).dropDuplicates(["id", "th", "y"]).toArrow()  # bounded by the parameters
+    got = sorted(zip(*(rows.column(c).to_pylist() for c in ("id", "y", "th", "text")), strict=True), key=lambda r: r[:3])
     total = sum(counts.values())
-    return fit([r[1] for r in got], np.array([r[2] for r in got], int), counts.get(1, 0) / total if total else 0.1)
+    return fit([r[3] for r in got], np.array([r[1] for r in got], int), counts.get(1, 0) / total if total else 0.1)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a double column ``name`` from 0 to 1; the whole text counts.
 
     Null and blank texts get the prior share (below the threshold).  Only the text is
-    read by the model; every other column passes through, repeated rows included.
+    read by the model; every other column passes through, repeated rows included, but a
+    column of that name is replaced.  An empty table gives an empty one.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    rows, fields = with_text(docs, text_col, [name])
+    schema = T.StructType([*fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                s = held.value.score(part.column(batch.schema.get_field_index(text_col)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, name])
+                s = held.value.score(part.columns[-1].to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, open_input, scratch, write_atomically
+from ..skew import own_exchange
+from .storage import attempt, drop, materialize, open_input, scratch, write_atomically
 
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,13 +154,11 @@ def read_index(uri: str) -> list[tuple[int, int, str, str, str]]:
 
 def _writer(folder: str):
     def run(batches):
-        from pyspark import TaskContext
-
-        part, n, held = TaskContext.get().partitionId(), 0, 0
+        own, n, held = attempt(), 0, 0
         rows = (r for b in batches for at in range(0, b.num_rows, 128) for r in zip(*(c.to_pylist() for c in b.slice(at, 128).columns), strict=True))
         row = next(rows, None)
         while row is not None:
-            uri = f"{folder}/raw/{part:06d}-{n:06d}.warc.gz"
+            uri = f"{folder}/raw/{own}-{n:06d}.warc.gz"
             held = 0
 
             def write(out):
@@ -167,7 +166,7 @@ def _writer(folder: str):
                 z = zlib.compressobj(4, zlib.DEFLATED, 31)
                 while row is not None and held < ARCHIVE_BYTES:
                     page_id, url, html, refers_to, is_revisit = row
-                    record = build_record(page_id, url, (html or "").encode(), refers_to, is_revisit, f"{'none' if page_id is None else page_id}:{part}:{n}:{held}")
+                    record = build_record(page_id, url, (html or "").encode(), refers_to, is_revisit, f"{'none' if page_id is None else page_id}:{own}:{n}:{held}")
                     held += len(record)
                     out.write(z.compress(record))
                     row = next(rows, None)
@@ -186,30 +185,47 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     Of rows with equal payloads of at least ``revisit_min_bytes`` that with the least
     id is a response, the others revisit it.  A null payload is empty.  Null ids come
     after all others; where a group has no id, all are responses; repeated rows of the
-    least id are responses both.
+    least id are responses both.  Other columns are ignored; an empty table gives no
+    archive.  Who revisits whom is settled on ids and hashes alone; pages meet only
+    with the verdict on their own id and hash, so a page that very many rows hold is
+    never gathered.  Archives are named by task attempt and listed by the attempt that
+    was committed, whatever order its rows came in: what a lost or slower attempt leaves
+    is not read.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha"))
-    # only payloads that occur twice or more are joined, and they carry no html
-    same = rows.where(F.octet_length("html") >= revisit_min_bytes).groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1 AND least IS NOT NULL").select("sha", "least")
-    is_revisit = F.col("least").isNotNull() & ~F.col("id").eqNullSafe(F.col("least"))
-    joined = rows.join(same, "sha", "left").select("id", "url", "html", F.when(is_revisit, F.col("least")), is_revisit)
-    return materialize(joined.mapInArrow(_writer(folder), "uri string"), "archives")
+    lean = rows.where(F.octet_length("html") >= revisit_min_bytes).select("sha", "id")
+    same = lean.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1 AND least IS NOT NULL").select("sha", "least")
+    verdict = lean.distinct().join(own_exchange(same, "least"), "sha").where("NOT id <=> least")
+    verdict = own_exchange(verdict.select(F.col("sha").alias("vsha"), F.col("id").alias("vid"), "least"), "least")
+    joined = rows.join(verdict, (F.col("sha") == F.col("vsha")) & F.col("id").eqNullSafe(F.col("vid")), "left")
+    is_revisit = F.col("least").isNotNull()
+    # a revisit needs the length of its payload and the digest, which are taken from the page itself
+    records = joined.select("id", "url", "html", "least", is_revisit)
+    return materialize(records.mapInArrow(_writer(folder), "uri string"), "archives")
 
 
 def _normalizer(batches):
     for batch in batches:
         for uri in batch.column(0).to_pylist():
-            target = uri.replace("/raw/", "/members/")
+            target = uri.replace("/raw/", "/members/")  # equal bytes in every attempt: an archive is rewritten as it stands
             n, size = normalize_archive(uri, target)
             yield pa.RecordBatch.from_pydict({"uri": pa.array([target]), "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
 
-def normalize_archives(archives: DataFrame) -> DataFrame:
-    """Normalise every archive; ``(uri, n_records, n_bytes)`` of the new files."""
-    n = max(1, min(archives.count(), 100_000))
-    return materialize(archives.repartition(n, "uri").mapInArrow(_normalizer, "uri string, n_records long, n_bytes long"), "members")
+def normalize_archives(archives: DataFrame, keep_source: bool = True) -> DataFrame:
+    """Normalise every archive; ``(uri, n_records, n_bytes)`` of the new files.
+
+    Without ``keep_source`` the folders that held the archives are deleted once all new files are written.
+    """
+    spark = archives.sparkSession
+    n = max(1, min(archives.count(), 1_000_000))
+    out = materialize(archives.repartition(n, "uri").mapInArrow(_normalizer, "uri string, n_records long, n_bytes long"), "members")
+    if not keep_source:
+        folders = archives.select(F.regexp_replace("uri", "/[^/]*$", "").alias("folder")).distinct().limit(1000).collect()  # one for each call of write_archives
+        drop(spark, [r["folder"] for r in folders])
+    return out
 
 
 def _reader(batches):
@@ -236,5 +252,5 @@ def _reader(batches):
 
 def read_archives(members: DataFrame) -> DataFrame:
     """A row per record, read through the sidecar indexes; lengths and digests are those of the full payload."""
-    n = max(1, min(members.count(), 100_000))
+    n = max(1, min(members.count(), 1_000_000))
     return members.select("uri").repartition(n, "uri").mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

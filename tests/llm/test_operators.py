@@ -107,8 +107,55 @@ def test_remove_repeated(spark, sf_dir, odd, which):
             if i is not None and first[tuple(w[k : k + 50])] < i:
                 gone[k : k + 50] = [True] * 50
         expect.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
-    got = [(r.doc_id, r.n_words, sum(s["last"] - s["first"] + 1 for s in r.removed), r.kept_text) for r in remove_repeated(df).collect()]
+    out = remove_repeated(df).collect()
+    got = [(r.doc_id, r.n_words, sum(s["last"] - s["first"] + 1 for s in r.removed), r.kept_text) for r in out]
     assert sorted(got, key=str) == sorted(expect, key=str)
+    assert sorted(((r.doc_id, r.n_words, r.longest) for r in out), key=str) == sorted(brute_longest(docs), key=str)
+
+
+def brute_longest(docs, window=50):
+    """The greatest doubled window of each document that another document holds too."""
+    longest, length = [0] * len(docs), window
+    while True:
+        owners = {}
+        for i, w in docs:
+            for k in range(len(w) - length + 1):
+                if i is not None:
+                    owners.setdefault(tuple(w[k : k + length]), set()).add(i)
+        shared = {k for k, v in owners.items() if len(v) > 1}
+        for d, (i, w) in enumerate(docs):
+            if i is not None and any(tuple(w[k : k + length]) in shared for k in range(len(w) - length + 1)):
+                longest[d] = length
+        if not shared:
+            return [(i, len(w), n) for (i, w), n in zip(docs, longest, strict=True)]
+        length *= 2
+
+
+def test_remove_repeated_levels(spark):
+    """Passages cut short, doubled, common to many contexts, inside one document only, and under one id."""
+    rnd = random.Random(8)
+    w = lambda n: [f"v{rnd.randint(0, 400)}" for _ in range(n)]
+    common, long = w(60), w(450)
+    docs = [(k, w(rnd.randint(0, 30)) + common + w(rnd.randint(0, 30))) for k in range(20, 60)]
+    docs += [(1, long), (2, long[:430] + w(40)), (3, w(10) + long[100:210]), (4, long[300:349]), (5, w(70) * 2), (6, w(30) + long + long), (7, long[:80]), (7, w(5) + long[:90]), (None, long), (8, [])]
+    rnd.shuffle(docs)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    for window in (50, 7):
+        out = remove_repeated(df, window=window).collect()
+        assert sorted(((r.doc_id, r.n_words, r.longest) for r in out), key=str) == sorted(brute_longest(docs, window), key=str)
+        first = {}
+        for i, t in docs:
+            for k in range(len(t) - window + 1):
+                if i is not None:
+                    first[tuple(t[k : k + window])] = min(i, first.get(tuple(t[k : k + window]), i))
+        expect = []
+        for i, t in docs:
+            gone = [False] * len(t)
+            for k in range(len(t) - window + 1):
+                if i is not None and first[tuple(t[k : k + window])] < i:
+                    gone[k : k + window] = [True] * window
+            expect.append((i, " ".join(x for x, g in zip(t, gone, strict=True) if not g)))
+        assert sorted(((r.doc_id, r.kept_text) for r in out), key=str) == sorted(expect, key=str)
 
 
 def brute_targets(sizes):
@@ -279,9 +326,11 @@ def test_audio_alignment(spark):
     late = np.r_[b[: 192 * 20], a[:20000]] + 0.01 * rng.standard_normal(192 * 20 + 20000)
     wav = lambda x: audio.encode_wav(x, 4096)
     media = spark.createDataFrame([(100, wav(a)), (7, wav(late)), (8, wav(b)), (9, None), (10, b"junk"), (11, wav(a)), (None, wav(a)), (200, wav(a[:500]))], "id long, media binary")
-    got = {(r.query_id, r.match_id): r for r in audio.align_recordings(audio.fingerprint_media(media, "id", "media")).collect()}
+    out = audio.align_recordings(audio.fingerprint_media(media, "id", "media")).collect()
+    got = {(r.query_id, r.match_id): r for r in out if r.kind == "alignment"}
     assert set(got) == {(11, 7), (11, 11)}  # 11 and 100 are one class, named by its least id
-    assert got[11, 7].offset == 20 and got[11, 7].bit_errors < 0.05 * 32 * got[11, 7].n_frames and got[11, 11].query_copies == 2
+    assert got[11, 7].offset == 20 and got[11, 7].bit_errors < 0.05 * 32 * got[11, 7].n_frames
+    assert sorted((r.match_id, r.query_id) for r in out if r.kind == "member") == [(7, 7), (8, 8), (11, 11), (100, 11)]
 
 
 def test_audio_alignment_uses_all_places(spark):
@@ -295,7 +344,8 @@ def test_audio_alignment_uses_all_places(spark):
     near[5:15] = q[5:15]  # 10 votes and 30 unequal bits
     rows = [(100, q), (1, later), (2, np.r_[half, near]), (3, word(90))]
     prints = spark.createDataFrame([(i, bytearray(f.astype("<u4").tobytes())) for i, f in rows], "id long, fp binary")
-    got = {r.match_id: (r.offset, r.votes, r.n_frames, r.bit_errors) for r in audio.align_recordings(prints).collect()}
+    out = audio.align_recordings(prints).where("kind = 'alignment'").collect()
+    got = {r.match_id: (r.offset, r.votes, r.n_frames, r.bit_errors) for r in out}
     assert got == {100: (0, 40, 40, 0), 1: (87, 40, 40, 0), 2: (40, 10, 40, 30)}
 
 
@@ -319,3 +369,265 @@ def test_empty_tables(spark, odd):
     assert read_token_files(write_token_files(none, queries.tokenizer_path())).count() == 0
     assert toxicity.score_documents(none, model).count() == pii.pseudonymize(none, b"k").count() == 0
     assert audio.align_recordings(spark.createDataFrame([], "id long, fp binary")).count() == 0
+
+
+def test_near_duplicates_blocks_of_one_group(spark, monkeypatch):
+    """More documents than a block holds, linked across blocks only by pairs that no star compares."""
+    from orthoflux.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rnd = random.Random(11)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(200)]
+    docs = []
+    for i in range(60):  # a chain: neighbours are alike, ends are not
+        own = list(base)
+        for k in range(i // 2 * 2, i // 2 * 2 + 8):
+            own[(k * 5) % 200] = f"x{i // 2}_{k}"
+        if i % 2:
+            own[3] = f"y{i}"
+        docs.append((i, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = brute_sets(docs)
+    comp = {i: i for i, _ in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[:a]:
+            if 100 * len(s & t) >= 75 * len(s | t):
+                x, y = sorted((find(i), find(j)))
+                comp[y] = x
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {i: find(i) for i in comp}
+
+
+def test_warc_attempts(spark, odd, monkeypatch):
+    """A second attempt at a part, its rows in another order, leaves the archives that the list names as they are."""
+    import pyspark
+
+    from orthoflux.llm import storage, warc
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string")
+    archives = write_archives(pages.repartition(1))
+    before = {r.uri: open(r.uri.removeprefix("file://"), "rb").read() for r in archives.collect()}
+    folder = next(iter(before)).rsplit("/raw/", 1)[0]
+
+    class Again:
+        def partitionId(self):  # noqa: N802
+            return 0
+
+        def taskAttemptId(self):  # noqa: N802
+            return 10**9
+
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pylist([{"id": i, "url": "u", "html": "other", "least": None, "r": False} for i in range(39, -1, -1)])
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: Again()))
+    assert storage.attempt() == "000000-1000000000"
+    list(warc._writer(folder)([rows]))
+    monkeypatch.undo()
+    assert {u: open(u.removeprefix("file://"), "rb").read() for u in before} == before
+    assert sorted(r.page_id for r in read_archives(normalize_archives(archives, keep_source=False)).collect()) == list(range(40))
+
+
+def clashing(spark, names):
+    long = " ".join(["vile words of a long text 4111 1111 1111 1111"] * 120_000)  # over 5 MB
+    rows = [(1, "a plain text, mail a.b@example.com"), (None, "no id"), (2, None), (3, ""), (3, "other text of one id"), (4, long), (4, long)]
+    return spark.createDataFrame([(*r, *["old"] * len(names)) for r in rows], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+
+
+@pytest.mark.parametrize("case", ["pii", "pii in place", "lang", "tox"])
+def test_columns_of_one_name_are_replaced(spark, case):
+    lang = langid.fit(["a plain text", "un texto"], ["en", "es"])
+    tox = toxicity.fit([], np.array([]), 0.1)
+    run, names = {
+        "pii": (lambda d: pii.pseudonymize(d, b"k"), ["PII", "clean_text"]),
+        "pii in place": (lambda d: pii.pseudonymize(d, b"k", out_col="text"), ["pii"]),
+        "lang": (lambda d: langid.predict_languages(d, lang), ["lang_pred", "Score"]),
+        "tox": (lambda d: toxicity.score_documents(d, tox), ["score"]),
+    }[case]
+    df = clashing(spark, names)
+    out = run(df)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and out.count() == 7
+    assert all(r[0] != "old" for r in out.select(names[0]).collect())
+    assert run(df.limit(0)).count() == 0
+    assert run(df.withColumnRenamed("doc_id", "a.b")).select("`a.b`").count() == 7
+
+
+def test_models_learn_the_same_from_odd_tables(spark):
+    rows = [(i, f"the cat {i} and dogs" if i % 2 else f"el gato {i} y perros", "en" if i % 2 else "es") for i in range(30)]
+    odd_rows = [*rows, *rows[:7], (None, "le chat", "fr"), (3, "the cat again", "en"), (40, None, "en"), (41, "x", None)]
+    frames = [spark.createDataFrame(r, "doc_id long, text string, lang string") for r in (odd_rows, odd_rows[::-1])]
+    a, b = (langid.fit_from_table(f.repartition(3), sample=20) for f in frames)
+    assert a.langs == b.langs == ["en", "es"] and (a.words.logs == b.words.logs).all() and (a.grams[3].keys == b.grams[3].keys).all()
+    assert langid.fit_from_table(frames[0].limit(0)).predict(["the cat"])[0] == ["und"]
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(30)), (3, 0), (3, 1), (None, 1), (99, 1), (5, None)], "doc_id long, toxic int")
+    models = [toxicity.fit_from_tables(f.repartition(3), labels, sample={0: 9, 1: 9}) for f in frames]
+    assert (models[0].scores == models[1].scores).all() and models[0].curve == models[1].curve
+    assert (toxicity.fit_from_tables(frames[0].limit(0), labels).score(["a"]) < 0.9).all()
+    assert (toxicity.fit_from_tables(frames[0], labels.limit(0)).score(["a"]) < toxicity.THRESHOLD).all()
+
+
+def test_gram_counts_do_not_depend_on_chunks(monkeypatch):
+    from orthoflux.llm import subwords
+
+    texts = ["der hund und die katze " * 9, "das haus am see " * 4, "hunde katzen haus"]
+    whole = langid.fit(texts, ["de"] * 3)
+    monkeypatch.setattr(subwords, "CHARS", 40)
+    parts = langid.fit(texts, ["de"] * 3)
+    for n in langid.LENGTHS:
+        assert (whole.grams[n].keys == parts.grams[n].keys).all() and (whole.grams[n].logs == parts.grams[n].logs).all()
+
+
+def test_toxicity_held_out(spark, sf_dir):
+    """Quality on rows that taught nothing, on the table with enough labels."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = [r for r in queries.op10_toxicity(spark, sf_dir).collect() if r.held_out and r.doc_id in y]
+    bad, good = ([r.predicted for r in got if y[r.doc_id] == v] for v in (1, 0))
+    assert len(bad) >= 30 and np.mean(bad) >= 0.75 and np.mean(good) <= 0.1
+
+
+def test_pseudonyms_against_brute_force(spark):
+    """Every value planted in a known format is replaced wherever it stands, by one value of its own format; nothing else changes."""
+    import datetime
+
+    rnd = random.Random(9)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    make = {
+        "card": lambda: (lambda b: f"{b[:4]} {b[4:8]} {b[8:12]} {b[12:]}{pii.luhn_digit(b)}")("4" + digits(14)),
+        "ssn": lambda: f"{rnd.randint(100, 600)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}",
+        "ip": lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)),
+        "date": lambda: (datetime.date(1950, 1, 1) + datetime.timedelta(rnd.randint(0, 20_000))).isoformat(),
+        "mail": lambda: f"{rnd.choice('abcd')}{rnd.choice('xyz')}{digits(3)}@host{rnd.randint(1, 9)}.org",
+        "iban": lambda: (lambda b: f"DE{pii.iban_check('DE', b)}{b}")(digits(18)),
+        "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+    }
+    shape = {
+        "card": lambda v: re.fullmatch(r"(\d{4} ){3}\d{4}", v) and pii.luhn_digit(v.replace(" ", "")[:-1]) == int(v[-1]),
+        "ssn": lambda v: re.fullmatch(r"\d{3}-\d{2}-\d{4}", v) and v[:3] != "000",
+        "ip": lambda v: re.fullmatch(r"\d+(\.\d+){3}", v) and all(int(p) < 256 for p in v.split(".")),
+        "date": lambda v: datetime.date.fromisoformat(v),
+        "mail": lambda v: re.fullmatch(r"[a-z]{2}\d{3}@host\d\.org", v),
+        "iban": lambda v: re.fullmatch(r"DE\d{20}", v) and pii.iban_check("DE", v[4:]) == v[2:4],
+        "phone": lambda v: re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", v),
+    }
+    pool = [(k, f()) for k, f in make.items() for _ in range(12)]
+    docs, planted = [], {}
+    for i in range(60):
+        planted[i] = [rnd.choice(pool) for _ in range(rnd.randint(0, 9))]
+        docs.append((i, "".join(f"plain words {rnd.choice(['id 17', 'v2.0', ''])} <{v}>\n" for _, v in planted[i]) + "end."))
+    out = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), b"key").collect()}
+    map_ = {}
+    for i, text in docs:
+        assert [f.kind for f in out[i].pii] == [k for k, _ in planted[i]]
+        at, rebuilt = 0, ""
+        for (kind, value), f in zip(planted[i], out[i].pii, strict=True):
+            new = out[i].clean_text[f.first : f.last]
+            assert new != value and shape[kind](new), (kind, value, new)
+            assert map_.setdefault((kind, value), new) == new
+            rebuilt += out[i].clean_text[at : f.first] + value
+            at = f.last
+        assert rebuilt + out[i].clean_text[at:] == text
+    assert len({(k, n) for (k, _), n in map_.items()}) == len(map_)
+
+
+def brute_overlaps(docs, items, least=12):
+    """Best ungapped alignment of every pair by all shifts: (score, length of the item)."""
+    out = {}
+    for i, d in docs:
+        for j, t in items:
+            best = 0
+            for shift in range(-len(t), len(d)):
+                score = 0
+                for k in range(max(0, -shift), min(len(t), len(d) - shift)):
+                    score = max(score, 0) + (1 if d[k + shift] == t[k] else -1)
+                    best = max(best, score)
+            if best >= min(least, -(-len(t) * 3 // 4)):
+                out[i, j] = best
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 3])
+def test_overlaps_against_brute_force(spark, monkeypatch, broadcast):
+    """What is found is what all shifts of all pairs give, but for few heavily substituted passages."""
+    from orthoflux.llm import decontam
+
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", broadcast)
+    rnd = random.Random(12)
+    w = lambda n: [f"t{rnd.randint(0, 3000)}" for _ in range(n)]
+    items = [(j, w(rnd.randint(15, 50))) for j in range(12)]
+    docs = [(i, w(rnd.randint(0, 60))) for i in range(30)]
+    for i in range(30, 130):
+        _, t = rnd.choice(items)
+        a = rnd.randint(0, len(t) - 13)
+        share = rnd.choice([0, 0.05, 0.1, 0.15])
+        docs.append((i, w(rnd.randint(0, 20)) + [x if rnd.random() >= share else "zz" for x in t[a : a + rnd.randint(13, 50)]] + w(rnd.randint(0, 20))))
+    want = brute_overlaps(docs, items)
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): 2 * r.n_equal - r.n_words for r in find_overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert len(want) > 60 and set(got) <= set(want) and all(want[k] == v for k, v in got.items())
+    assert len(got) >= 0.97 * len(want)
+
+
+def brute_alignment(query, other):
+    """The most-voted offset of all that pass, by comparing every frame at every offset."""
+    best = None
+    for offset in range(-len(query) + 1, len(other)):
+        a, b = max(0, offset), min(len(other), len(query) + offset)
+        x, y = other[a:b], query[a - offset : b - offset]
+        votes, bad = int((x == y).sum()), int(np.bitwise_count(x ^ y).sum())
+        if b - a >= audio.MIN_FRAMES and votes >= audio.MIN_VOTES and bad <= audio.MAX_ERROR * 32 * (b - a):
+            key = (votes, -abs(offset), -offset)
+            if best is None or key > best[0]:
+                best = key, (offset, votes, b - a, bad)
+    return best and best[1]
+
+
+def melody(notes):
+    steps = np.repeat(440 * 2 ** (np.asarray(notes) / 12), 768)
+    phase = 2 * np.pi * np.cumsum(steps) / 4096
+    return 0.5 * np.sin(phase) + 0.1 * np.sin(2 * phase)
+
+
+def test_audio_recall_on_changed_copies(spark):
+    """Noise, another start, a louder copy, an excerpt, a motif played over and over: against all offsets, and in share found."""
+    rng = np.random.default_rng(10)
+    tunes = [rng.integers(-12, 12, 24) for _ in range(8)]
+    tunes[7] = np.tile(tunes[7][:8], 6)  # a loop
+    recordings, truth = [], set()
+    for i, t in enumerate(tunes):
+        x = melody(t)
+        recordings.append((100 * (i + 1), x))
+        changed = {
+            1: x + 0.02 * rng.standard_normal(len(x)),
+            2: 0.3 * x,
+            3: np.r_[melody(rng.integers(-12, 12, 9)), x],
+            4: x[768 * 4 + 100 :],
+            5: np.r_[melody(t[:8]), melody(rng.integers(-12, 12, 43)), x],  # its beginning alone, and then the whole
+        }
+        for k, y in changed.items():
+            recordings.append((1000 + 10 * i + k, y))
+            truth.add((100 * (i + 1), 1000 + 10 * i + k))
+    media = spark.createDataFrame([(i, bytearray(audio.encode_wav(np.clip(x, -1, 1), 4096))) for i, x in recordings], "id long, media binary")
+    prints = audio.fingerprint_media(media, "id", "media")
+    fps = {r.id: np.frombuffer(r.fp, "<u4") for r in prints.collect()}
+    out = audio.align_recordings(prints).collect()
+    own = {r.match_id: r.query_id for r in out if r.kind == "member"}  # a copy that is only less loud has the same fingerprint
+    got = {(r.query_id, r.match_id): (r.offset, r.votes, r.n_frames, r.bit_errors) for r in out if r.kind == "alignment"}
+    want = {(own[q], own[m]): brute_alignment(fps[q], fps[m]) for q in fps if q % 100 == 0 for m in fps}
+    assert got == {k: v for k, v in want.items() if v}
+    assert sum((own[q], own[m]) in got for q, m in truth) >= 0.9 * len(truth)
+
+
+def test_audio_blocks(spark, monkeypatch):
+    """Queries of several blocks give what those of one block give."""
+    rng = np.random.default_rng(3)
+    rows = [(25 * i, bytearray(rng.integers(0, 1 << 32, 30, dtype=np.uint32).tobytes())) for i in range(40)]
+    rows += [(i + 1, fp) for i, fp in rows[:9]]
+    prints = spark.createDataFrame(rows, "id long, fp binary")
+    one = sorted(map(str, audio.align_recordings(prints).collect()))
+    monkeypatch.setattr(audio, "BLOCK", 3)
+    assert sorted(map(str, audio.align_recordings(prints).collect())) == one and len(one) >= 49 + 10
