@@ -7,74 +7,93 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoflux.llm import storage, toxicity
-from orthoflux.llm.decontam import drop_contaminated
+from orthoflux.llm.decontam import find_overlaps
 from orthoflux.llm.mixing import WORD, mix_sources
 from orthoflux.llm.neardup import near_duplicates
 from orthoflux.llm.queries import tokenizer_path
 from orthoflux.llm.token_files import read_token_files, write_token_files
 
-_left: list[str] = []
-
-
-def _stage(f):
-    """Deletes what the stage before left in the shared folder: its result has been written by now."""
 
-    @functools.wraps(f)
-    def run(spark, docs, sf_dir):
-        storage.drop(spark, _left)
-        before = set(storage.made())
-        out = f(spark, docs, sf_dir)
-        _left[:] = [x for x in storage.made() if x not in before]
-        return out
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows of ``ids(doc_id)``; rows without id are not dealt to one task for the look-up, they pass by."""
+    known = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti")
+    return known.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
-    return run
 
-
-@_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model calls toxic go; labels are learned from the training fold only."""
+    """Documents that the model calls toxic go; labels are learned from the training fold only.
+
+    Null and blank texts score the prior, below the threshold, and stay; rows without id
+    teach nothing and are scored like all others; repeated rows share their fate.  An
+    empty table stays empty; without labels nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_from_tables(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    return toxicity.score_documents(docs, model, name="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    scored = toxicity.score_documents(docs, model, name="__score")
+    return scored.where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
 
 
-@_stage
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group stays, of repeated rows one; rows without id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).distinct()
+    """The document of least id of each group stays.
+
+    Of rows with one id and one text (whatever else they hold) one stays; rows of one id
+    with different texts are one document and stay or go together.  Rows without id,
+    null and blank texts are like nothing else and all stay.
+    """
+    with storage.scope(spark) as own:
+        found = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id")
+        ids = found.agg(F.max(~F.col("kept")).alias("__gone"), (F.count(F.lit(1)) > 1).alias("__again"))
+        marked = storage.keep(ids.where("__gone OR __again"), "marked", own)
+    once = _without(docs, marked)
+    again = marked.where("NOT __gone").select("doc_id")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, "doc_id").dropDuplicates(["doc_id", "text"]).select(docs.columns))
 
 
-@_stage
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    """Documents that overlap a benchmark item go.
+
+    Rows without id, null and blank texts overlap nothing and stay; of rows with one id
+    all go where one overlaps.
+    """
+    with storage.scope(spark) as own:
+        found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        gone = storage.keep(found.select("doc_id").distinct(), "contaminated", own)
+    return _without(docs, gone)
 
 
-@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for every time the mix takes a document; the last row at a source's cut holds the words before it.
 
-    Rows that share an id share the greatest number of words taken.
+    Nothing is taken of null and blank texts.  Rows that share an id (or have none)
+    share the greatest number of words taken of one of them.  ``n_chars``, where there
+    is such a column, is counted anew for a document that was cut.
     """
-    mix = mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken")).where("__taken > 0")
+    with storage.scope(spark) as own:
+        sizes = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
+        taken = sizes.agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
+        mix = storage.keep(taken, "mix", own)
     copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
     each = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__k", F.explode(F.sequence(F.lit(1), copies)))
     words = (F.col("__taken") - (F.col("__k") - 1) * F.col("__size")).cast("int")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
     cut = each.withColumn("__whole", words >= F.col("__size")).withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(part))
-    return cut.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(counted))
+    return cut.select(docs.columns)
 
 
-@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back."""
+    """Token files of the mix, read back; they stay in the shared folder until the process ends.
+
+    Null texts hold the end id only; rows of one id, and rows without, come in order of their texts' hashes.
+    """
     return read_token_files(write_token_files(docs, tokenizer_path(), end_id=1))
 
 
