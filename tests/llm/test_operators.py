@@ -578,7 +578,7 @@ def brute_alignment(query, other):
     for offset in range(-len(query) + 1, len(other)):
         a, b = max(0, offset), min(len(other), len(query) + offset)
         x, y = other[a:b], query[a - offset : b - offset]
-        votes, bad = int((x == y).sum()), int(np.bitwise_count(x ^ y).sum())
+        votes, bad = int((x & audio.KEY == y & audio.KEY).sum()), int(np.bitwise_count(x ^ y).sum())
         if b - a >= audio.MIN_FRAMES and votes >= audio.MIN_VOTES and bad <= audio.MAX_ERROR * 32 * (b - a):
             key = (votes, -abs(offset), -offset)
             if best is None or key > best[0]:
