@@ -16,7 +16,7 @@ EIGHT = ((0, 1), (1, 0), (1, 1), (1, -1))
 
 def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
     """Each (u, v) of ``pairs`` with m, the least of u's neighbourhood; a node with very many neighbours may be split."""
-    return pairs.join(own_exchange(least, "m"), "u").select("u", "v", "m")
+    return pairs.join(own_exchange(least, "u"), "u").select("u", "v", "m")
 
 
 def graph_components(edges: DataFrame) -> DataFrame:
