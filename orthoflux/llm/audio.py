@@ -257,7 +257,7 @@ def align_recordings(prints: DataFrame, every: int = 100) -> DataFrame:
     known = materialize(prints.where("id IS NOT NULL AND octet_length(fp) > 0").select("id", "fp", F.sha2("fp", 256).alias("sha")), "prints")
     # the members of a class meet in no task: only the hash is grouped, and the fingerprint taken of the least id
     classes = materialize(known.groupBy("sha").agg(F.min("id").alias("class"), F.max((F.col("id") % every == 0).cast("int")).alias("is_query")), "classes")
-    lead = own_exchange(classes.select("sha", F.col("class").alias("id"), "is_query"), "is_query", "id")
+    lead = own_exchange(classes.select("sha", F.col("class").alias("id"), "is_query"), "sha", "id")
     firsts = materialize(known.join(lead, ["sha", "id"]).dropDuplicates(["sha", "id"]).select("id", "fp", "is_query"), "firsts")
     queries = firsts.where("is_query = 1").select("id", "fp")
     n_blocks = max(1, math.ceil(queries.count() / BLOCK))
@@ -276,7 +276,7 @@ def align_recordings(prints: DataFrame, every: int = 100) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     pairs = firsts.select("id", "fp").mapInArrow(run, _FOUND).select(F.lit("alignment").alias("kind"), *names)
-    members = known.select("id", "sha").join(own_exchange(classes.select("sha", "class"), "class"), "sha")
+    members = known.select("id", "sha").join(own_exchange(classes.select("sha", "class"), "sha"), "sha")
     nothing = [F.lit(None).cast("long").alias(c) for c in names[2:]]
     return pairs.unionByName(members.select(F.lit("member").alias("kind"), F.col("class").alias("query_id"), F.col("id").alias("match_id"), *nothing))
 

@@ -276,14 +276,14 @@ def rest_links(rows: DataFrame, together: DataFrame, texts: DataFrame) -> DataFr
     """
     spark = rows.sparkSession
     first = together.groupBy("bucket").agg(F.min("id").alias("root"))
-    ties = together.join(own_exchange(first, "root"), "bucket").where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
+    ties = together.join(own_exchange(first, "bucket"), "bucket").where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
     group = graph_components(ties)
     mine = materialize(rows.join(group, rows.id == group.node).drop("node").withColumnRenamed("component", "g"), "grouped")
     sizes = mine.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    placed = mine.join(own_exchange(sizes, "blocks"), "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(texts, "id")
+    placed = mine.join(own_exchange(sizes, "g"), "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(texts, "id")
     dealt = placed.select("g", "blk", "id", "c", "sketch", "text").repartition("g", "blk").sortWithinPartitions("g", "blk", "id")
     packed = materialize(dealt.mapInArrow(_pack(scratch(spark, "sets")), _PACKED), "packed")
-    own = packed.join(own_exchange(sizes, "blocks"), "g").select("*", F.explode(F.sequence("blk", F.col("blocks") - 1)).alias("o"))
+    own = packed.join(own_exchange(sizes, "g"), "g").select("*", F.explode(F.sequence("blk", F.col("blocks") - 1)).alias("o"))
     other = packed.select("g", F.col("blk").alias("o"), F.col("uri").alias("uri2"), F.col("at").alias("at2"), F.col("n_docs").alias("n_docs2"))
     pairs = own.join(other, ["g", "o"]).select("uri", "at", "n_docs", "uri2", "at2", "n_docs2")
     # about four comparisons of whole blocks a task, or many of small ones
@@ -308,19 +308,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         key = ["n_shingles", "s1", "s2"]
         classes = materialize(whole.groupBy(*key).agg(F.min("id").alias("rep")), "classes")
         # the rows of a class meet nowhere: only that of its least id is looked up, by its id
-        lead = own_exchange(classes.select(*key, F.col("rep").alias("id")), "s2")
+        lead = own_exchange(classes.select(*key, F.col("rep").alias("id")), "id", *key)
         one = whole.join(lead, ["id", *key]).groupBy("id", *key).agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         reps = materialize(one.select("id", F.col("n_shingles").alias("n"), "bands", "sketch"), "reps")
         # size and least member of each bucket: a partial aggregate of a few longs a bucket
         entries = reps.select("id", F.explode("bands").alias("bucket"))
         buckets = entries.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size")).where("center < top").drop("top")
-        joined = entries.join(own_exchange(buckets, "center"), "bucket")
+        joined = entries.join(own_exchange(buckets, "bucket"), "bucket")
         members = materialize(joined.join(reps.select("id", "n", "sketch"), "id"), "members")
         # a second centre: the member that shares most buckets with others, as the text does that others were made from
         degrees = members.groupBy("id").agg(F.sum("size").alias("degree"))
         hubs = members.select("bucket", "id").join(degrees, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("h")).select("bucket", (-F.col("h.order")).alias("hub"))
         centers = members.select("bucket", F.col("center").alias("id")).unionByName(hubs.select("bucket", F.col("hub").alias("id"))).distinct()
-        c = own_exchange(members.select("bucket", "id", "n", "sketch").join(own_exchange(centers, "id"), ["bucket", "id"]), "id").alias("c")
+        c = own_exchange(members.select("bucket", "id", "n", "sketch").join(own_exchange(centers, "bucket", "id"), ["bucket", "id"]), "bucket", "id").alias("c")
         m = members.alias("m")
         pair = F.col("m.id"), F.col("c.id")
         stars = m.join(c, (F.col("m.bucket") == F.col("c.bucket")) & (pair[0] != pair[1]) & _alike("m", "c")).select(F.greatest(*pair).alias("a"), F.least(*pair).alias("b")).distinct()
@@ -333,14 +333,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # round two: members of one bucket that the stars left in different components
         placed = materialize(members.select("bucket", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "placed")
         split = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket", "lo")
-        open_ = materialize(placed.join(own_exchange(split, "lo"), "bucket").select("bucket", "id", "c"), "open")
+        open_ = materialize(placed.join(own_exchange(split, "bucket"), "bucket").select("bucket", "id", "c"), "open")
         rows = reps.select("id", "n", "sketch").join(open_.select("id", "c").distinct(), "id")
         more = materialize(rest_links(rows, open_.select("bucket", "id"), texts), "links")
         if not more.isEmpty():
             parts = graph_components(links.unionByName(more))
 
         found = classes.join(parts, classes.rep == parts.node, "left").select(*key, F.coalesce("component", "rep").alias("c"))
-        comp = signed.where("n_shingles > 0").select("id", *key).join(own_exchange(found, "c"), key, "left")
+        comp = signed.where("n_shingles > 0").select("id", *key).join(own_exchange(found, *key), key, "left")
         # empty sets need no look-up
         rest = signed.where("n_shingles = 0").select("id", "n_shingles", F.lit(None).cast("long").alias("c"))
         out = keep(comp.select("id", "n_shingles", "c").unionByName(rest), "near-duplicates", own)

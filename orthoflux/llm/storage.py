@@ -6,6 +6,7 @@ cluster uses (``file:``, ``hdfs:``, ``s3:``) works the same way.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,18 @@ from ..scratch import drop, free_shuffles, keep, scope, scratch, shared_dir
 __all__ = ["attempt", "drop", "free_shuffles", "keep", "materialize", "open_input", "scope", "scratch", "shared_dir", "write_atomically"]
 
 
+#: Seconds between two collections.
+FREE_EVERY = 20.0
+_freed = 0.0
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``scratch.materialize``, after which shuffle files of the written plan may go: texts pass through several shuffles."""
+    """``scratch.materialize``, after which, now and then, shuffle files of written plans may go: texts pass through several shuffles."""
+    global _freed
     out = _scratch.materialize(df, name)
-    free_shuffles(df.sparkSession)
+    if time.monotonic() - _freed > FREE_EVERY:
+        free_shuffles(df.sparkSession)
+        _freed = time.monotonic()
     return out
 
 

@@ -3,17 +3,19 @@
 A window is ``window`` consecutive words of one document; it goes where its word
 sequence also starts in a document with a lesser id.  Each level looks at windows of
 twice the length of the level before, and only at those whose two halves were both
-found in another document; it begins with seeds of half a window and ends when no
+found in another text; it begins with seeds of half a window and ends when no
 candidate survives, so the last level that a document reaches tells how long its
 longest repeated passage is.
 
-Inside a level windows are not compared one by one.  Each is represented by the *seed*
-(a window of half the length) of least hash inside it, so equal windows always have
-equal seeds and about two in ``length / 2 + 2`` positions are shuffled.  Consecutive
-windows with one seed form a *block*.  Blocks of equal content are one class, counted by
-partial aggregation, and what holds for a class holds for all windows of its blocks.
-Only where a seed stands in classes of different content are single windows compared,
-for one document of each class.
+Documents of equal text are one text with a least and a greatest id from the start: all
+but the first of them go, if they hold a window, and what holds for the text holds for
+each.  Inside a level windows are not compared one by one.  Each is represented by the
+*seed* (a window of half the length) of least hash inside it, so equal windows always
+have equal seeds and about two in ``length / 2 + 2`` positions are shuffled.
+Consecutive windows with one seed form a *block*.  Blocks of equal content are one
+class, counted by partial aggregation, and what holds for a class holds for all windows
+of its blocks.  Only where a seed stands in classes of different content are single
+windows compared, for the first text of each class.
 """
 
 from __future__ import annotations
@@ -77,8 +79,8 @@ def _seeds(length: int):
                 counts = np.bincount(doc[k0], minlength=last - first)
                 base = w.offs[:-1][doc[k0]]
                 lists = (h[a[k0]].view(np.int64), body.view(np.int64), (p[k0] - base).astype(np.int32), (p[k1] - base).astype(np.int32))
-                keys = [batch.column(c).slice(first, last - first) for c in ("id", "th")]
-                yield pa.RecordBatch.from_arrays([*keys, *(_lists(v, counts) for v in lists)], names=["id", "th", "seed", "body", "lo", "hi"])
+                own = [batch.column(c).slice(first, last - first) for c in _TEXT]
+                yield pa.RecordBatch.from_arrays([*own, *(_lists(v, counts) for v in lists)], names=[*_TEXT, "seed", "body", "lo", "hi"])
 
     return run
 
@@ -93,64 +95,84 @@ def _expand(length: int):
                 p = np.flatnonzero(_marked(w, batch.column("ranges").slice(first, last - first)))
                 doc = np.searchsorted(w.offs, p, side="right") - 1
                 h1, h2 = (span_hashes(h, p, p + length, m).view(np.int64) for h, m in zip(w.hashes, WORD_MUL, strict=True))
-                keys = [batch.column(c).slice(first, last - first).take(pa.array(doc)) for c in ("id", "th")]
+                own = [batch.column(c).slice(first, last - first).take(pa.array(doc)) for c in _TEXT]
                 start = pa.array((p - w.offs[doc]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*keys, start, pa.array(h1), pa.array(h2)], names=["id", "th", "p", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*own, start, pa.array(h1), pa.array(h2)], names=[*_TEXT, "p", "h1", "h2"])
 
     return run
 
 
-def _cut(batches):
+def _cut(window: int):
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            n_words, kept, spans = [], [], []
-            for text, found in zip(part.column("text").cast(pa.binary()), part.column("spans").to_pylist(), strict=True):
-                words = (text.as_py() or b"").split()
-                n_words.append(len(words))
-                merged: list[list[int]] = []
-                for r in sorted((r["lo"], r["hi"]) for r in found or ()):
-                    if merged and r[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r[1])
-                    else:
-                        merged.append([*r])
-                rest, to = [], 0
-                for a, b in merged:
-                    rest += words[to:a]
-                    to = b
-                kept.append(b" ".join(rest + words[to:] if merged else words))
-                spans.append([{"first": a, "last": b - 1} for a, b in merged])
-            values = [part.column("id"), pa.array(n_words, pa.int64()), part.column("longest"), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(values, names=["id", "n_words", "longest", "removed", "kept_text"])
-
-
-def _level(texts: DataFrame, length: int, first_level: bool, own: list[str]) -> tuple[DataFrame | None, DataFrame]:
-    """Windows of ``length`` words that start in two documents or more: (spans to remove, candidate starts) by document.
-
-    ``texts(id, th, text[, ranges])``.  Only the first level tells what goes.
-    """
-    columns = "id long, th long, seed array<long>, body array<long>, lo array<int>, hi array<int>"
-    seeded = materialize(texts.mapInArrow(_seeds(length), columns).where("size(seed) > 0"), "seeds")
-    seeds = seeded.select("id", "th", F.inline(F.arrays_zip("seed", "body", "lo", "hi")))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n_words, longest, kept, spans = [], [], [], []
+                for text, found, reached, copied, later in zip(part.column("text").cast(pa.binary()), *(part.column(c).to_pylist() for c in ("spans", "longest", "copied", "later")), strict=True):
+                    words = (text.as_py() or b"").split()
+                    n_words.append(len(words))
+                    length = window
+                    while copied and length <= len(words):  # the whole text stands elsewhere
+                        reached, length = length, 2 * length
+                    longest.append(reached)
+                    merged: list[list[int]] = [[0, len(words)]] if later and len(words) >= window else []
+                    for r in sorted((r["lo"], r["hi"]) for r in found or ()) if not merged else ():
+                        if merged and r[0] <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], r[1])
+                        else:
+                            merged.append([*r])
+                    rest, to = [], 0
+                    for a, b in merged:
+                        rest += words[to:a]
+                        to = b
+                    kept.append(b" ".join(rest + words[to:] if merged else words))
+                    spans.append([{"first": a, "last": b - 1} for a, b in merged])
+                values = [part.column("id"), pa.array(n_words, pa.int64()), pa.array(longest, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(values, names=["id", "n_words", "longest", "removed", "kept_text"])
+
+    return run
+
+
+#: A text: two hashes of it (96 bits), and the least and greatest id of the documents that have it.
+_TEXT = ["t1", "t2", "first", "last"]
+_TEXT_TYPES = "t1 long, t2 int, first long, last long"
+_KEY = _TEXT[:2]
+
+
+def _placed(seeds: DataFrame) -> DataFrame:
+    """Blocks ``(*_TEXT, lo, hi)`` whose seed stands in two documents or more, with what is known of their class: the least
+    (``one``) and greatest (``top``) id, whether other texts hold it (``shared``), and how many classes have the seed."""
     # blocks of equal content are one row from here on
-    classes = materialize(seeds.groupBy("seed", "body").agg(F.min("id").alias("one"), F.max("id").alias("last")), "classes")
-    again = classes.groupBy("seed").agg(F.min("one").alias("a"), F.max("last").alias("z"), F.count(F.lit(1)).alias("n_bodies")).where("a < z")
-    alive = materialize(classes.join(own_exchange(again.drop("a", "z"), "n_bodies"), "seed"), "classes")
-    placed = materialize(seeds.join(own_exchange(alive, "last"), ["seed", "body"]).select("id", "th", "lo", "hi", "one", "last", "n_bodies"), "placed")
-    ranges = F.collect_set(F.struct("lo", "hi"))
-    found = placed.where("one < last").select("id", "th", "lo", "hi")
-    # single windows of classes that share a seed and differ, in the earliest document of each
-    loose = placed.where("id = one AND n_bodies > 1").groupBy("id", "th").agg(ranges.alias("ranges"))
-    windows = materialize(texts.select("id", "th", "text").join(loose, ["id", "th"]).mapInArrow(_expand(length), "id long, th long, p int, h1 long, h2 long"), "windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("top")).where("first < top")
-    single = materialize(windows.join(own_exchange(earliest, "first"), ["h1", "h2"]).select("id", "th", F.col("p").alias("lo"), F.col("p").alias("hi"), "first"), "single")
-    starts = keep(found.unionByName(single.drop("first")).groupBy("id", "th").agg(ranges.alias("ranges")), "starts", own)
-    if not first_level:
-        return None, starts
-    gone = placed.where("id > one").select("id", "th", "lo", "hi").unionByName(single.where("id > first").drop("first"))
-    spans = gone.select("id", "th", "lo", (F.col("hi") + length).alias("hi"))
-    return keep(spans.groupBy("id", "th").agg(ranges.alias("spans")), "spans", own), starts
+    ends = F.min("first").alias("one"), F.max("last").alias("top"), (F.min("t1") < F.max("t1")).alias("shared")
+    classes = seeds.groupBy("seed", "body").agg(*ends)
+    again = classes.groupBy("seed").agg(F.min("one").alias("a"), F.max("top").alias("z"), F.count(F.lit(1)).alias("n_bodies")).where("a < z")
+    alive = classes.join(own_exchange(again.drop("a", "z"), "seed"), "seed").where("n_bodies > 1 OR (one < top AND shared)")
+    placed = seeds.join(own_exchange(alive, "seed", "body"), ["seed", "body"])
+    return materialize(placed.select(*_TEXT, "lo", "hi", "one", "top", "shared", "n_bodies"), "placed")
+
+
+def _singles(placed: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Single windows ``(*_TEXT, p, one)`` that start in two documents or more, of classes that share a seed and differ:
+    those of the first text of each class."""
+    loose = placed.where("first = one AND n_bodies > 1").groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    chosen = texts.select(*_TEXT, "text").join(loose, _KEY)
+    windows = materialize(chosen.mapInArrow(_expand(length), f"{_TEXT_TYPES}, p int, h1 long, h2 long"), "windows")
+    ends = F.min("first").alias("one"), F.max("last").alias("top"), (F.min("t1") < F.max("t1")).alias("shared")
+    again = windows.groupBy("h1", "h2").agg(*ends).where("one < top AND shared").select("h1", "h2", "one")
+    return windows.join(own_exchange(again, "h1", "h2"), ["h1", "h2"]).select(*_TEXT, "p", "one")
+
+
+def _starts(placed: DataFrame, single: DataFrame) -> DataFrame:
+    """Where windows start that another text of another document holds too: ``(t1, t2, ranges)``."""
+    found = placed.where("one < top AND shared").select(*_KEY, "lo", "hi")
+    both = found.unionByName(single.select(*_KEY, F.col("p").alias("lo"), F.col("p").alias("hi")))
+    return both.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+
+
+_SEEDED = f"{_TEXT_TYPES}, seed array<long>, body array<long>, lo array<int>, hi array<int>"
+_BLOCKS = "inline(arrays_zip(seed, body, lo, hi))"
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -165,24 +187,48 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different texts are judged one by one.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t1"), F.hash(text_col).alias("t2"), F.col(text_col).alias("text"))
     known = base.where("id IS NOT NULL")
     with scope(spark) as own:
         with scope(spark) as inner:
-            gone, starts = _level(known, window, True, inner)
-        length, reached = window, starts.select("id", "th", F.lit(window).cast("long").alias("longest"))
+            every = known.select("t1", "t2", F.col("id").alias("first"), F.col("id").alias("last"), "text")
+            lists = [F.first(c).alias(c) for c in ("seed", "body", "lo", "hi")]
+            seeded = every.mapInArrow(_seeds(window), _SEEDED).where("size(seed) > 0").groupBy(*_KEY).agg(F.min("first").alias("first"), F.max("last").alias("last"), *lists)
+            seeded = materialize(seeded, "seeds")
+            placed = _placed(seeded.select(*_TEXT, F.expr(_BLOCKS)))
+            lead = placed.select(*_TEXT, F.col("first").alias("id")).distinct()
+            # the texts of this level and all above: of each one document's, which is looked up by its id
+            texts = known.join(lead, ["id", *_KEY]).groupBy("id", *_TEXT).agg(F.first("text").alias("text"))
+            texts = keep(texts.drop("id"), "texts", inner)
+            single = materialize(_singles(placed, texts, window), "single")
+            gone = placed.where("first > one").select(*_KEY, "lo", F.col("hi").alias("end"))
+            gone = gone.unionByName(single.where("first > one").select(*_KEY, F.col("p").alias("lo"), F.col("p").alias("end")))
+            spans = F.collect_set(F.struct("lo", (F.col("end") + window).alias("hi"))).alias("spans")
+            gone = keep(gone.groupBy(*_KEY).agg(spans), "spans", inner)
+            copies = keep(seeded.where("first < last").select(*_TEXT), "copies", inner)
+            starts = keep(_starts(placed, single), "starts", inner)
+        length, reached = window, starts.select(*_KEY, F.lit(window).cast("long").alias("longest"))
         while True:
             # a window of twice the length needs starts that are a length apart
-            span = F.array_max("ranges.hi") - F.array_min("ranges.lo")
-            wide = starts.where(span >= length)
+            wide = starts.where(F.array_max("ranges.hi") - F.array_min("ranges.lo") >= length)
             if wide.isEmpty():
                 break
             length *= 2
             with scope(spark) as inner:
-                _, starts = _level(known.join(wide, ["id", "th"]), length, False, inner)
-            reached = reached.unionByName(starts.select("id", "th", F.lit(length).cast("long").alias("longest")))
-        reached = reached.groupBy("id", "th").agg(F.max("longest").alias("longest"))
-        found = keep(reached.join(gone, ["id", "th"], "left"), "found", own)
-    out = base.join(found, ["id", "th"], "left").select("id", F.coalesce("longest", F.lit(0)).alias("longest"), "text", "spans")
-    done = out.mapInArrow(_cut, "id long, n_words long, longest long, removed array<struct<first:int,last:int>>, kept_text string")
+                texts = keep(texts.join(wide, _KEY).select(*_TEXT, "text", "ranges"), "texts", inner)
+                seeded = materialize(texts.mapInArrow(_seeds(length), _SEEDED).where("size(seed) > 0"), "seeds")
+                placed = _placed(seeded.select(*_TEXT, F.expr(_BLOCKS)))
+                starts = keep(_starts(placed, _singles(placed, texts, length)), "starts", inner)
+                texts = texts.drop("ranges")
+            reached = reached.unionByName(starts.select(*_KEY, F.lit(length).cast("long").alias("longest")))
+        reached = reached.groupBy(*_KEY).agg(F.max("longest").alias("longest"))
+        told = reached.join(gone, _KEY, "full").join(copies, _KEY, "full")
+        # what is known of a text goes to its documents by hashes alone; texts then meet only what is said of their own id
+        lean = known.select("id", *_KEY).distinct().join(own_exchange(told, *_KEY), _KEY)
+        later = F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("later")
+        spans = F.when(~later, F.col("spans")).alias("spans")
+        found = keep(lean.select("id", *_KEY, F.col("first").isNotNull().alias("copied"), later, spans, "longest"), "found", own)
+    joined = base.join(own_exchange(found, "id", *_KEY), ["id", *_KEY], "left")
+    out = joined.select("id", "text", "spans", F.coalesce("longest", F.lit(0)).alias("longest"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("copied", "later")))
+    done = out.mapInArrow(_cut(window), "id long, n_words long, longest long, removed array<struct<first:int,last:int>>, kept_text string")
     return done.withColumnRenamed("id", id_col)

@@ -197,8 +197,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha"))
     lean = rows.where(F.octet_length("html") >= revisit_min_bytes).select("sha", "id")
     same = lean.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1 AND least IS NOT NULL").select("sha", "least")
-    verdict = lean.distinct().join(own_exchange(same, "least"), "sha").where("NOT id <=> least")
-    verdict = own_exchange(verdict.select(F.col("sha").alias("vsha"), F.col("id").alias("vid"), "least"), "least")
+    verdict = lean.distinct().join(own_exchange(same, "sha"), "sha").where("NOT id <=> least")
+    verdict = own_exchange(verdict.select(F.col("sha").alias("vsha"), F.col("id").alias("vid"), "least"), "vsha", "vid")
     joined = rows.join(verdict, (F.col("sha") == F.col("vsha")) & F.col("id").eqNullSafe(F.col("vid")), "left")
     is_revisit = F.col("least").isNotNull()
     # a revisit needs the length of its payload and the digest, which are taken from the page itself
