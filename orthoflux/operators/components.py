@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import keep, materialize, scope
 from ..skew import own_exchange
+from .geom import disc_union_area
 
 FOUR = ((0, 1), (1, 0))
 EIGHT = ((0, 1), (1, 0), (1, 1), (1, -1))
@@ -105,19 +106,23 @@ def label_components(pixels: DataFrame, id_col: str, eight: bool = True, value:
     return pixels.join(out.select(F.col("__i").alias(id_col), "component"), id_col)
 
 
-def group_filter(points: DataFrame, min_pixels: int, reach: float = 1.5) -> DataFrame:
-    """Points of pixels whose buffered group has ``min_pixels`` members or more.
+def group_filter(points: DataFrame, min_area_px: float, reach: float = 1.5) -> DataFrame:
+    """Points of pixels whose buffered, dissolved group covers ``min_area_px`` square pixels or more.
 
-    Discs of ``reach`` pixels overlap when their centres are nearer than twice that;
-    on the pixel lattice this is a set of offsets, so the groups are components.
+    Every point becomes a disc of ``reach`` pixels and discs that overlap are one group.
+    Discs overlap when their centres are nearer than twice the reach; on the pixel
+    lattice this is a set of offsets, so groups are components.  The area is that of the
+    union of the discs (``disc_union_area``), not a count of members.  Adds
+    ``component`` and ``area_px``.
     """
     lim = 4 * reach * reach
     span = range(-int(2 * reach) - 1, int(2 * reach) + 2)
     moves = [(a, b) for a in span for b in span if a * a + b * b < lim and (a, b) > (0, 0)]
     m = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in moves]))
     at = points.select("prow", "pcol", F.col("id").cast("long").alias("id"))
-    there = at.select(F.col("id").alias("a"), "prow", "pcol", m.alias("m")).select("a", (F.col("prow") + F.col("m.dr")).alias("prow"), (F.col("pcol") + F.col("m.dc")).alias("pcol"))
+    there = at.select(F.col("id").alias("a"), "prow", "pcol", m.alias("m"))
+    there = there.select("a", (F.col("prow") + F.col("m.dr")).alias("prow"), (F.col("pcol") + F.col("m.dc")).alias("pcol"))
     comp = graph_components(there.join(at.withColumnRenamed("id", "b"), ["prow", "pcol"]).select("a", "b"))
     grouped = points.join(comp, points.id == comp.node, "left").withColumn("component", F.coalesce("component", F.col("id").cast("long"))).drop("node")
-    big = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n_pixels")).where(F.col("n_pixels") >= min_pixels)
-    return grouped.join(big, "component")
+    big = disc_union_area(grouped, reach).where(F.col("area_px") >= min_area_px)
+    return grouped.join(own_exchange(big, "component"), "component")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import GridMeta
+from ..scratch import materialize
 from .masks import in_grid
 
 
@@ -58,22 +59,53 @@ def inside_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(pairs, F.lit(False), lambda acc, s: acc != F.coalesce(crosses(s), F.lit(False)))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, semi: bool = True) -> DataFrame:
-    """Points inside a polygon (outside its holes): cell-bucketed equi-join, then an exact test.
+def _ring_pairs(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of ``near(pid, x, y, gid)`` the pairs with an odd number of edges to the right of the point: plain columns, one row an edge."""
+    met = near.join(edges, "gid").where((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y")))
+    right = F.col("x") < (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
+    return met.where(right).groupBy("pid", "gid").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("pid", "gid")
 
-    ``points(pid, x, y, ...)``, ``polygons(gid, rings)``.  A polygon is copied to the
-    cells of its bounding box only; with ``semi`` every point comes back once, else
-    every (point, polygon) pair.
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None, semi: bool = True) -> DataFrame:
+    """Points inside a polygon (outside its holes): cell-bucketed equi-join of boxes, then an exact even-odd test.
+
+    ``points(pid, x, y, ...)``, ``polygons(gid, rings)``, ids unique.  Only boxes are
+    copied to the cells they touch (of their mean extent, unless ``cell`` is given) and
+    a box test on plain columns precedes the rings, which are met by polygon id, edge by
+    edge.  With ``semi`` every point comes back once: it is first tested against one
+    polygon, whose box holds it deepest, and only what that does not settle meets all
+    the others.  Else every (point, polygon) pair comes back.
     """
     outer = F.col("rings")[0]
     xs, ys = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
-    boxed = polygons.select("gid", "rings", F.explode(cells_of_box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), cell)).alias("k"))
-    keyed = points.withColumns({"cx": F.floor(F.col("x") / cell).cast("long"), "cy": F.floor(F.col("y") / cell).cast("long")})
-    inside = F.aggregate("rings", F.lit(False), lambda acc, ring: acc != inside_ring(ring, F.col("x"), F.col("y")))
-    pairs = keyed.join(boxed.select("gid", "rings", F.col("k.cx").alias("cx"), F.col("k.cy").alias("cy")), ["cx", "cy"]).where(inside)
-    if semi:
-        return points.join(pairs.select("pid").distinct(), "pid", "left_semi")
-    return pairs.drop("cx", "cy", "rings")
+    ends = F.array_min(xs).alias("bx0"), F.array_min(ys).alias("by0"), F.array_max(xs).alias("bx1"), F.array_max(ys).alias("by1")
+    boxes = polygons.select("gid", *ends, (F.size("rings") == 1).alias("plain"))
+    if cell is None:
+        mean = boxes.agg(F.avg(F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")))).first()[0]
+        cell = max(mean or 1.0, 1e-9)
+    in_cells = boxes.withColumn("k", F.explode(cells_of_box(F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), cell)))
+    in_cells = in_cells.select("gid", "bx0", "by0", "bx1", "by1", "plain", F.col("k.cx").alias("cx"), F.col("k.cy").alias("cy"))
+    ring = F.explode("rings").alias("ring")
+    n = F.size("ring") - 1
+    sides = F.arrays_zip(F.slice("ring", F.lit(1), n).alias("p"), F.slice("ring", F.lit(2), n).alias("q"))
+    edges = polygons.select("gid", ring).select("gid", F.explode(sides).alias("s"))
+    edges = edges.select("gid", *(F.col(f"s.{p}.{c}").alias(f"{c}{i}") for i, p in enumerate("pq") for c in "xy"))
+
+    def near(some: DataFrame) -> DataFrame:
+        keyed = some.withColumns({"cx": F.floor(F.col("x") / cell).cast("long"), "cy": F.floor(F.col("y") / cell).cast("long")})
+        boxed = F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1"))
+        return keyed.join(in_cells, ["cx", "cy"]).where(boxed)
+
+    bare = points.select("pid", "x", "y")
+    if not semi:
+        return points.join(_ring_pairs(near(bare).select("pid", "x", "y", "gid"), edges), "pid")
+    depth = F.least(F.col("x") - F.col("bx0"), F.col("bx1") - F.col("x"), F.col("y") - F.col("by0"), F.col("by1") - F.col("y"))
+    best = F.max(F.struct("plain", depth.alias("depth"), "gid", "x", "y")).alias("b")
+    first = materialize(near(bare).groupBy("pid").agg(best).select("pid", "b.x", "b.y", "b.gid"), "nearest-box")
+    hit = materialize(_ring_pairs(first, edges).select("pid"), "hit")
+    rest = first.select("pid", "x", "y").join(hit, "pid", "left_anti")
+    more = _ring_pairs(near(rest).select("pid", "x", "y", "gid"), edges).select("pid").distinct()
+    return points.join(hit.unionByName(more), "pid", "left_semi")
 
 
 def within_radius(points: DataFrame, radius: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import GridMeta
+from .ranks import quantiles
 
 ALPHA_VALID = 250
 
@@ -31,10 +32,11 @@ def by_confidence(df: DataFrame, classes: DataFrame, probs: dict[str, str], mask
     """Pixels of each class whose probability lies below (or at or above) the class's confidence.
 
     Classes without confidence are skipped; ``probs`` maps class to probability
-    column.  The class table is a dimension of a few rows and is broadcast.
+    column.  Of the class table only the classes of ``probs`` take part, so what is
+    broadcast is a row for each of these where it names each class once.
     """
     long = df.where(mask).select("*", F.explode(F.create_map(*[x for k, c in probs.items() for x in (F.lit(k), F.col(c))])).alias("class", "p"))
-    dim = classes.where("confidence IS NOT NULL")
+    dim = classes.where(F.col("confidence").isNotNull() & F.col("class").isin(list(probs)))
     if need_suffix:
         dim = dim.where("las_suffix IS NOT NULL")
     keep = F.col("p") < F.col("confidence") if direction == "below" else F.col("p") >= F.col("confidence")
@@ -68,12 +70,12 @@ def drop_zscore_outliers(df: DataFrame, value: str, limit: float = 3.5, strict:
 
 
 def drop_iqr_outliers(df: DataFrame, value: str, k: float = 2.5) -> DataFrame:
-    """Rows between q1 - k iqr and q3 + k iqr, exact linear quantiles."""
+    """Rows between q1 - k iqr and q3 + k iqr, exact linear quantiles; the limits are plain numbers that reach the scan."""
     clean = df.where(usable(value))
-    stats = clean.agg(F.percentile(value, F.lit(0.25)).alias("__q1"), F.percentile(value, F.lit(0.75)).alias("__q3"))
-    lo = F.col("__q1") - (F.col("__q3") - F.col("__q1")) * k
-    hi = F.col("__q3") + (F.col("__q3") - F.col("__q1")) * k
-    return clean.crossJoin(F.broadcast(stats)).where((F.col(value) >= lo) & (F.col(value) <= hi)).drop("__q1", "__q3")
+    q1, q3 = quantiles(clean, value, (0.25, 0.75))
+    if q1 is None:
+        return clean
+    return clean.where((F.col(value) >= q1 - (q3 - q1) * k) & (F.col(value) <= q3 + (q3 - q1) * k))
 
 
 def in_grid(df: DataFrame, grid: GridMeta, x: str = "x", y: str = "y") -> DataFrame:

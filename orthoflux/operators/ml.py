@@ -13,6 +13,7 @@ from ..grid import GridMeta
 from .joins import training_patch
 from .stencil import gradient, sobel, variance3
 
+# fixed values: the order of the reference's features
 FEATURES7 = ("R", "G", "B", "H", "S", "V", "ExG")
 FEATURES14 = (*FEATURES7, "ExR", "ExB", "ExGR", "Variance", "Sobel", "MDS", "Slope")
 
@@ -45,10 +46,16 @@ def fit_forest(rows: DataFrame, features: tuple[str, ...], label: str = "label",
 
 
 def predict(model: RandomForestClassificationModel, rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """``rows`` with ``p0``, ``p1``, ... (mean leaf shares) and ``prediction``."""
-    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows)
+    """``rows`` with ``p0``, ``p1``, ... (mean leaf shares) and ``prediction``; null where a feature is null or NaN, so no pixel is lost."""
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull() & ~F.isnan(f)
+    filled = rows.withColumn("__whole", whole).withColumns({f"__f{i}": F.when(F.col("__whole"), F.col(f)).otherwise(0.0) for i, f in enumerate(features)})
+    vec = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="features").transform(filled)
     out = model.transform(vec).withColumn("__p", vector_to_array("probability"))
-    return out.select(*rows.columns, *[F.col("__p")[i].alias(f"p{i}") for i in range(model.numClasses)], F.col("prediction").cast("int").alias("prediction"))
+    known = lambda c: F.when(F.col("__whole"), c)
+    probs = [known(F.col("__p")[i]).alias(f"p{i}") for i in range(model.numClasses)]
+    return out.select(*rows.columns, *probs, known(F.col("prediction").cast("int")).alias("prediction"))
 
 
 def importances(model: RandomForestClassificationModel, features: tuple[str, ...], rows: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import values_at
+
 
 def hash_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -27,13 +29,19 @@ def cap_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0) ->
 
 
 def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``split``: the first ceil(test * n) keys in hash order are the test rows.
+    """Adds ``split``: the first ceil(test * n) keys in hash order are the test rows; rows with a null key train.
 
-    The cut is found by an ordered limit over keys alone; rows are then compared with
-    that one hash, so no row is ranked in a single task.
+    The cut is found by counting ranges of the hash's first 52 bits (``ranks``); only
+    keys that agree in all of these are sorted.  Rows are then compared with one
+    constant, so nothing is ranked, joined or shuffled.
     """
-    n = df.count()
-    k = -int(-(n * test) // 1)
     h = hash_order(seed, key)
-    cut = df.select(h.alias("h")).orderBy("h").limit(k).agg(F.max("h").alias("__cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(h <= F.col("__cut"), "test").otherwise("train")).drop("__cut")
+    spot = F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
+    hashed = df.select(h.alias("h"), spot.alias("v")).where("h IS NOT NULL")
+    k = min(-int(-(df.count() * test) // 1), hashed.count())
+    if k < 1:
+        return df.withColumn("split", F.lit("train"))
+    top = values_at(hashed, "v", [k - 1])[0]
+    left = k - hashed.where(F.col("v") < top).count()
+    cut = hashed.where(F.col("v") == top).select("h").orderBy("h").limit(left).agg(F.max("h")).first()[0]
+    return df.withColumn("split", F.when(h <= cut, "test").otherwise("train"))

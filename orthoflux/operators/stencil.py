@@ -3,7 +3,9 @@
 Separable stencils are two window passes: along rows (partitioned by row) and along
 columns (partitioned by column).  A partition is one line of the raster, so tasks stay
 small whatever the raster's size; passes along one direction share one shuffle.
-Missing pixels must have rows (``densify``).
+Missing pixels must have rows (``densify``).  The border of the raster is where a line
+has no further row; a null inside the raster is a gap, and whatever the kernel mixes
+with a gap is null, as NaN would be in an array.
 """
 
 from __future__ import annotations
@@ -32,9 +34,16 @@ def densify(df: DataFrame, grid: GridMeta) -> DataFrame:
     return grid.cells(df.sparkSession).select("prow", "pcol").join(df, ["prow", "pcol"], "left")
 
 
+def _outside(w, i: int) -> Column:
+    """Whether the row ``i`` places on (back, if negative) lies beyond the line's end."""
+    return F.lead(F.lit(True), i).over(w).isNull() if i > 0 else F.lag(F.lit(True), -i).over(w).isNull()
+
+
 def _sum3(v: str, w) -> Column:
     """v and its two neighbours, edge repeated."""
-    return F.coalesce(F.lag(v).over(w), F.col(v)) + F.col(v) + F.coalesce(F.lead(v).over(w), F.col(v))
+    before = F.when(_outside(w, -1), F.col(v)).otherwise(F.lag(v).over(w))
+    after = F.when(_outside(w, 1), F.col(v)).otherwise(F.lead(v).over(w))
+    return before + F.col(v) + after
 
 
 def mean3(df: DataFrame, value: str, out: str, parts: tuple[str, ...] = ()) -> DataFrame:
@@ -55,7 +64,9 @@ def variance3(df: DataFrame, value: str, out: str, parts: tuple[str, ...] = ())
 def _sides(v: str, w) -> tuple[Column, Column]:
     """Neighbours before and after, mirrored without repeating the edge."""
     a, b = F.lag(v).over(w), F.lead(v).over(w)
-    return F.coalesce(a, b, F.col(v)), F.coalesce(b, a, F.col(v))
+    first, last = _outside(w, -1), _outside(w, 1)
+    single = F.when(first & last, F.col(v))
+    return single.when(first, b).otherwise(a), single.when(last, a).otherwise(b)
 
 
 def sobel(df: DataFrame, value: str) -> DataFrame:
@@ -70,8 +81,9 @@ def sobel(df: DataFrame, value: str) -> DataFrame:
 
 def _difference(v: str, w, step: float) -> Column:
     a, b, x = F.lag(v).over(w), F.lead(v).over(w), F.col(v)
+    first, last = _outside(w, -1), _outside(w, 1)
     inner = (b - a) / (2.0 * step)
-    return F.when(a.isNull() & b.isNull(), F.lit(0.0)).when(a.isNull(), (b - x) / step).when(b.isNull(), (x - a) / step).otherwise(inner)
+    return F.when(first & last, F.lit(0.0)).when(first, (b - x) / step).when(last, (x - a) / step).otherwise(inner)
 
 
 def gradient(df: DataFrame, value: str, step: float) -> DataFrame:
@@ -127,7 +139,9 @@ def _smooth(v: str, w, taps: list[float]) -> Column:
     first, last = F.first(v).over(ends), F.last(v).over(ends)
     out = F.col(v) * taps[r]
     for i in range(1, r + 1):
-        out = out + F.coalesce(F.lag(v, i).over(w), first) * taps[r - i] + F.coalesce(F.lead(v, i).over(w), last) * taps[r + i]
+        before = F.when(_outside(w, -i), first).otherwise(F.lag(v, i).over(w))
+        after = F.when(_outside(w, i), last).otherwise(F.lead(v, i).over(w))
+        out = out + before * taps[r - i] + after * taps[r + i]
     return out
 
 

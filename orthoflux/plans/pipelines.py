@@ -30,7 +30,7 @@ class TerrainConfig:
     confidence: float = 0.00005
     direction: str = "below"
     reach_px: float = 1.5
-    min_group_px: int = 50
+    min_group_px: float = 50  # dissolved area in pixels
     open_probability: bool = False
     terrain: InterpolationConfig = field(default_factory=lambda: InterpolationConfig(method="idw", resolution=0.5, idw_neighbors=24, idw_smooth_sigma=1.5))
 

@@ -8,6 +8,7 @@ from ..operators import interp as I
 from ..operators import ml as L
 from ..operators import segment as S
 from ..operators import vectorize as VZ
+from ..scratch import materialize
 from . import fixtures as fx
 from . import pipelines as P
 from .fixtures import sql
@@ -67,10 +68,11 @@ query("p20_l6_features", sql("SELECT pid, count(*) AS n, round(avg(r), 6) AS mea
 
 
 def _model(s, d, full=False):
-    """A forest of the operator's size on pixels labelled by their greenness."""
+    """A forest of the operator's size, fitted on the patches around the training points; pixels are labelled by their greenness."""
     names = L.FEATURES14 if full else L.FEATURES7
-    rows = _features(s, d, full).withColumn("label", F.when(F.col("ExG") > 0.05, 1).otherwise(0))
-    return L.fit_forest(rows, names), rows, names
+    rows = materialize(_features(s, d, full).withColumn("label", F.when(F.col("ExG") > 0.05, 1).otherwise(0)), "features")
+    near = L.training_features(fx.train(s, d).select("x", "y"), rows, _meta(s, d), 2.0).dropDuplicates(["id"])
+    return L.fit_forest(near, names), rows, names
 
 
 @query("l1_l2_l3_forest")

@@ -106,7 +106,7 @@ _SQ = "abs(p.x - q.x) < q.side / 2e0 AND abs(p.y - q.y) < q.side / 2e0"
 _HO = "NOT (q.holes = 1 AND abs(p.x - q.x) < q.side / 4e0 AND abs(p.y - q.y) < q.side / 4e0)"
 # quarter-unit shift: no point lies on an edge
 query("j3_g15_points_in_polygons", sql(f"SELECT DISTINCT p.pid FROM sh p JOIN poly q ON {_SQ} AND {_HO}", "poly", "sh AS (SELECT pid, x + 0.037e0 AS x, y + 0.041e0 AS y FROM pts)"))(
-    lambda s, d: J.points_in_polygons(fx.pts(s, d).select("pid", (F.col("x") + 0.037).alias("x"), (F.col("y") + 0.041).alias("y")), fx.poly(s, d).select("gid", "rings"), 20.0).select("pid")
+    lambda s, d: J.points_in_polygons(fx.pts(s, d).select("pid", (F.col("x") + 0.037).alias("x"), (F.col("y") + 0.041).alias("y")), fx.poly(s, d).select("gid", "rings")).select("pid")
 )
 query("j9_radius_pairs", sql("SELECT a.pid AS a, b.pid AS b FROM pts a JOIN pts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16e0", "pts"))(lambda s, d: J.within_radius(fx.pts(s, d), 4.0).select("a", "b"))
 query("a20_local_outliers", sql("SELECT p.pid FROM pts p JOIN (SELECT a.pid, median(b.z) AS med, stddev_pop(b.z) AS sd FROM pts a JOIN pts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64e0 GROUP BY a.pid) n ON p.pid = n.pid WHERE p.z <= med + sd * 1.5e0", "pts"))(lambda s, d: J.local_outliers(fx.pts(s, d), 8.0).select("pid"))
@@ -146,16 +146,31 @@ def _bin(s, d):
 
 query("g4_components8", _rec("SELECT id, component FROM comp", _C8))(lambda s, d: C.label_components(_bin(s, d), "id", True, tile=64).select("id", "component"))
 query("g10_components4_areas", _rec("SELECT component, count(*) AS n_pixels, round(count(*) * 4e0, 6) AS area FROM comp GROUP BY component", _C4))(lambda s, d: C.label_components(_bin(s, d), "id", False, tile=64).groupBy("component").agg(F.count(F.lit(1)).alias("n_pixels"), (F.count(F.lit(1)) * 4.0).alias("area")))
-_B2 = _BIN.replace("r < 60", "r < 20")
-
-
-def _small(s, d):
-    return fx.px(s, d).where("r < 20").select("id", "prow", "pcol")
-
-
-query("g2_a11_dissolved_groups", _rec("SELECT id, component FROM comp", _CG).replace(_BIN, _B2))(lambda s, d: C.group_filter(_small(s, d), 1).select("id", "component"))
-query("f20_group_filter", _rec("SELECT id FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 5)", _CG).replace(_BIN, _B2))(lambda s, d: C.group_filter(_small(s, d), 5).select("id"))
-query("g3_dissolved_area")(lambda s, d: G.disc_union_area(C.group_filter(_small(s, d), 5), 1.5))
+# groups of overlapping discs: the least id spreads to whatever is near, round by round
+_MOVES = ", ".join(f"({a}, {b})" for a in range(-2, 3) for b in range(-2, 3) if 0 < a * a + b * b < 9)
+_GROUPS = f"""mv(dr, dc) AS (VALUES {_MOVES}),
+near AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM bin p, mv JOIN bin q ON q.prow = p.prow + dr AND q.pcol = p.pcol + dc),
+comp(id, component) USING KEY (id) AS (
+  SELECT id, id FROM bin
+  UNION
+  SELECT n.b, min(c.component) FROM comp c JOIN near n ON n.a = c.id JOIN recurring.comp r ON r.id = n.b WHERE c.component < r.component GROUP BY n.b),
+area AS (
+  SELECT component, count(*) / 64e0 AS area_px FROM (
+    SELECT DISTINCT component, prow * 8 + i.i AS sr, pcol * 8 + j.i AS sc
+    FROM comp JOIN bin USING (id), (SELECT unnest(range(-12, 12)) AS i) i, (SELECT unnest(range(-12, 12)) AS i) j
+    WHERE (i.i + 0.5e0) * (i.i + 0.5e0) + (j.i + 0.5e0) * (j.i + 0.5e0) <= 144e0)
+  GROUP BY component)"""
+
+
+def _grouped(body):
+    return f"WITH RECURSIVE {fx.CTE['px']}, {_BIN}, {_GROUPS} {body}"
+
+
+query("g2_a11_dissolved_groups", _grouped("SELECT id, component FROM comp"))(lambda s, d: C.group_filter(_bin(s, d), 1).select("id", "component"))
+query("f20_group_filter", _grouped("SELECT id FROM comp JOIN area USING (component) WHERE area_px >= 50"))(lambda s, d: C.group_filter(_bin(s, d), 50).select("id"))
+query("g3_dissolved_area", _grouped("SELECT component, area_px FROM area"))(
+    lambda s, d: G.disc_union_area(C.group_filter(_bin(s, d), 0), 1.5).select("component", "area_px")
+)
 query("o2_largest_per_label", sql("SELECT label, gid FROM (SELECT gid % 10 AS label, gid, row_number() OVER (PARTITION BY gid % 10 ORDER BY side * side DESC, gid) AS rn FROM poly) WHERE rn = 1", "poly"))(
     lambda s, d: fx.poly(s, d).select((F.col("gid") % 10).alias("label"), "gid", (F.col("side") * F.col("side")).alias("q")).withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy(F.desc("q"), "gid"))).where("rn = 1").select("label", "gid")
 )

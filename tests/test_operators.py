@@ -25,7 +25,7 @@ def grid_df(spark, rows):
 def as_array(df, col):
     p = df.toPandas()
     out = np.zeros((p.prow.max() + 1, p.pcol.max() + 1))
-    out[p.prow, p.pcol] = p[col]
+    out[p.prow, p.pcol] = p[col].to_numpy(float)
     return out
 
 
@@ -205,3 +205,104 @@ def test_rings_with_hole():
 def test_grid():
     g = GridMeta.over(0, 0, 10.1, 5, 1.0)
     assert (g.width, g.height) == (11, 5) and GridMeta(0.5, 0, -0.5, 0, 1, 1).buffer_px(0.85) == 2
+
+
+def test_stencils_beside_gaps(spark):
+    """A null inside is a gap, not the raster's border: as with NaN in arrays."""
+    line = [0.0, 1.0, 4.0, None, 16.0, 25.0, 36.0]
+    df = spark.createDataFrame([(r, c, v if r == 0 else 1.0) for r in range(3) for c, v in enumerate(line)], "prow long, pcol long, v double")
+    arr = np.array([[np.nan if x is None else x for x in line], [1.0] * 7, [1.0] * 7])
+    got = N.gradient(df, "v", 1.0).toPandas().sort_values(["prow", "pcol"])
+    want = np.gradient(arr)
+    for name, w in zip(("d_row", "d_col"), want, strict=True):
+        assert np.allclose(got[name].to_numpy(float).reshape(3, 7), w, equal_nan=True), name
+    pad = np.pad(arr, 1, mode="edge")
+    mean = sum(pad[i : i + 3, j : j + 7] for i in range(3) for j in range(3)) / 9
+    assert np.allclose(as_array(N.mean3(df, "v", "m"), "m"), mean, equal_nan=True)
+    mirror = np.pad(arr, 1, mode="reflect")
+    gx = sum(k * (mirror[i : i + 3, 2:9] - mirror[i : i + 3, 0:7]) for i, k in ((0, 1), (1, 2), (2, 1)))
+    assert np.allclose(as_array(N.sobel(df, "v"), "gx"), gx, equal_nan=True)
+    ones = spark.createDataFrame([(0, c, None if c == 5 else 1000.0 if c == 0 else 1.0) for c in range(30)], "prow long, pcol long, v double")
+    out = N.gaussian(ones, "v", "g").toPandas().sort_values("pcol").g
+    assert out[:12].isna().all() and np.allclose(out[12:], 1)
+
+
+def test_group_filter_by_area(spark):
+    """Ten points two pixels apart are ten members, but their dissolved discs cover 56 square pixels."""
+    from orthoflux.operators.components import group_filter
+
+    row = [(0, 2 * k, k) for k in range(10)] + [(40, 40, 99), (40, 41, 98)]
+    df = spark.createDataFrame(row, "prow long, pcol long, id long")
+    kept = {r.id: (r.component, r.area_px) for r in group_filter(df, 50).collect()}
+    assert set(kept) == set(range(10)) and {c for c, _ in kept.values()} == {0}
+    cells = {(8 * p + i, 8 * q + j) for p, q, k in row[:10] for i in range(-12, 12) for j in range(-12, 12) if (i + 0.5) ** 2 + (j + 0.5) ** 2 <= 144}
+    assert kept[0][1] == len(cells) / 64 == pytest.approx(56.4, abs=0.4)
+    assert {r.id for r in group_filter(df, 7).collect()} == set(range(10)) | {98, 99} and group_filter(df, 57).count() == 0
+    assert group_filter(df.limit(0), 1).count() == 0
+
+
+@pytest.mark.parametrize("fetch", [10_000, 3])
+def test_ranks_against_numpy(spark, monkeypatch, fetch):
+    from orthoflux.operators import ranks
+
+    monkeypatch.setattr(ranks, "FETCH", fetch)
+    monkeypatch.setattr(ranks, "BUCKETS", 8)
+    rng = np.random.default_rng(5)
+    for v in (rng.normal(size=500), np.r_[np.zeros(300), 1e9, rng.random(50)], np.array([7.0]), np.r_[np.full(9, 2.0), -np.inf, np.inf], rng.integers(0, 4, 200).astype(float)):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+        order = np.sort(v)
+        some = sorted({0, len(v) // 3, len(v) - 1})
+        assert ranks.values_at(df, "v", some) == order[some].tolist()
+        if np.isfinite(v).all():
+            assert np.allclose(ranks.quantiles(df, "v", (0.0, 0.05, 0.5, 0.75, 1.0)), np.quantile(v, (0.0, 0.05, 0.5, 0.75, 1.0)))
+    assert ranks.quantiles(df.limit(0), "v", (0.5,)) == [None]
+
+
+def test_split_plans_no_exchange_of_rows(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    plan = split(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "TakeOrdered" not in plan
+    assert split(df.limit(0), "k").count() == 0 and split(spark.createDataFrame([(None,), (1,)], "k long"), "k").count() == 2
+
+
+def test_points_in_polygons_against_brute_force(spark):
+    """Concave rings, holes and overlaps, as pairs and as a semi-join, with small and large cells."""
+    from orthoflux.operators.joins import points_in_polygons
+
+    rng = np.random.default_rng(7)
+
+    def star(x, y, r, n):
+        a = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        k = r * (0.4 + 0.6 * rng.random(n))
+        p = [(float(x + q * np.cos(t)), float(y + q * np.sin(t))) for q, t in zip(k, a, strict=True)]
+        return [*p, p[0]]
+
+    polys = []
+    for g in range(25):
+        x, y = rng.random(2) * 100
+        polys.append((g, [star(x, y, rng.random() * 25 + 1, 11)] + ([star(x, y, 0.5, 5)] if g % 3 == 0 else [])))
+    pts = [(i, *map(float, rng.random(2) * 120 - 10)) for i in range(400)] + [(400 + g, *ring[0][0]) for g, ring in polys]
+
+    def inside(x, y, rings):
+        odd = False
+        for ring in rings:
+            for (x0, y0), (x1, y1) in zip(ring, ring[1:], strict=False):
+                odd ^= (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0
+        return odd
+
+    want = {(i, g) for i, x, y in pts for g, rings in polys if inside(x, y, rings)}
+    pdf = spark.createDataFrame(pts, "pid long, x double, y double").withColumn("tag", F.col("pid") * 2)
+    gdf = spark.createDataFrame(polys, f"gid long, rings array<{G.RING}>")
+    for cell in (None, 3.0, 500.0):
+        assert {(r.pid, r.gid) for r in points_in_polygons(pdf, gdf, cell, semi=False).collect()} == want
+        assert sorted((r.pid, r.tag) for r in points_in_polygons(pdf, gdf, cell).collect()) == sorted((i, 2 * i) for i in {i for i, _ in want})
+    assert points_in_polygons(pdf, gdf.limit(0)).count() == 0
+
+
+def test_prediction_keeps_pixels_with_gaps(spark):
+    from orthoflux.operators import ml
+
+    rows = spark.createDataFrame([(i, float(i % 10), int(i % 10 > 4)) for i in range(60)] + [(98, None, 0), (99, float("nan"), 1)], "id long, f double, label int")
+    model = ml.fit_forest(rows, ("f",), trees=3, depth=3)
+    out = {r.id: r for r in ml.predict(model, rows, ("f",)).collect()}
+    assert len(out) == 62 and out[98].p0 is None and out[99].prediction is None and all(out[i].prediction == out[i].label for i in range(60))
