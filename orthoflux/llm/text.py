@@ -73,10 +73,10 @@ def _segment(buf: np.ndarray, offs: np.ndarray, muls: tuple[int, ...]):
 
 
 class Words:
-    """Words of several documents: ``offs[d]:offs[d+1]`` are those of document d."""
+    """Words of several documents: ``offs[d]:offs[d+1]`` are those of document d; ``starts`` and ``ends`` are their bytes."""
 
-    def __init__(self, offs: np.ndarray, hashes: list[np.ndarray]):
-        self.offs, self.hashes = offs, hashes
+    def __init__(self, offs: np.ndarray, hashes: list[np.ndarray], starts: np.ndarray, ends: np.ndarray):
+        self.offs, self.hashes, self.starts, self.ends = offs, hashes, starts, ends
 
     def windows(self, length: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Start positions (over all documents) and hashes of all windows inside a document."""
@@ -107,17 +107,18 @@ def words_of(buf: np.ndarray, offs: np.ndarray, hashes: int = 1, lower: bool = F
             at = min(at + CHUNK + int(tail[0]) + 1, int(offs[doc + 1]))
         cuts.append(at)
     cuts.append(len(buf))
-    starts, parts = [], [[] for _ in range(hashes)]
+    starts, ends, parts = [], [], [[] for _ in range(hashes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if a == b:
             continue
         lo, hi = np.searchsorted(offs, [a, b])
-        s, _, hs = _segment(buf[a:b], offs[lo : hi + 1] - a, BYTE_MUL[:hashes])
+        s, e, hs = _segment(buf[a:b], offs[lo : hi + 1] - a, BYTE_MUL[:hashes])
         starts.append(s + a)
+        ends.append(e + a)
         for part, h in zip(parts, hs, strict=True):
             part.append(h)
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return Words(np.searchsorted(start, offs), [np.concatenate(p) if p else np.zeros(0, U) for p in parts])
+    start, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+    return Words(np.searchsorted(start, offs), [np.concatenate(p) if p else np.zeros(0, U) for p in parts], start, end)
 
 
 def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -16,6 +16,7 @@ import array
 import os
 import struct
 import sys
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -26,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import attempt, materialize, open_input, scratch, write_atomically
+from .text import CHUNK, U, chunks, words_of
 
 MAGIC = b"OFTOKEF1"
 HEADER = ("n_docs", "n_ids", "id_bytes", "n_null", "first_id", "ends_bytes", "docs_bytes")
@@ -36,8 +38,8 @@ FILE_IDS = 1 << 23
 RANGE_BYTES = 128 << 20
 #: Documents whose bounds a reader holds at once.
 READ_DOCS = 4096
-#: Words and word parts remembered by one worker; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Words remembered by one worker (about 30 bytes each) and word parts (about 200); beyond that it starts anew.
+CACHE_WORDS, CACHE_PIECES = 1_500_000, 300_000
 
 
 class EliasFano:
@@ -186,10 +188,11 @@ class WordEncoder:
     """Encodes texts word by word with a ``tokenizers`` file whose pre-tokenizer drops white space.
 
     Such a tokenizer never joins what white space parts, so a text's ids are those of
-    its words in order and every distinct word is encoded once.  Where the file has
-    the known form (a removing ``Split`` and ``ByteLevel``), word parts go straight to
-    the library's BPE model; other words, and files of another form, go through
-    ``encode_batch``.
+    its words in order and every distinct word is encoded once.  Words of many texts are
+    hashed and looked up at once in a sorted table of hashes, and their ids gathered
+    from one array.  Where the file has the known form (a removing ``Split`` and
+    ``ByteLevel``), word parts go straight to the library's BPE model; other words, and
+    files of another form, go through the library's ``encode``.
     """
 
     def __init__(self, path: str):
@@ -207,13 +210,20 @@ class WordEncoder:
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["add_prefix_space"]
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec.get("added_tokens", [])) or r"(?!)")
+        self.marked = not any(x["content"].isalpha() for x in spec.get("added_tokens", []))
         if self.by_word:
             self.parts = regex.compile(pre[0]["pattern"]["Regex"])
             self.space = regex.compile(r"\s")
             self.letters = _byte_letters()
             self.model = self.tok.model
-        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words: sorted hashes, a second hash of each to tell chance hits, and where their ids are."""
+        self.keys, self.checks = np.zeros(0, U), np.zeros(0, U)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.dtype)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array.array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
@@ -228,12 +238,18 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if word.isalpha() and self.marked:  # ASCII letters only
+            low = text.lower()
+            return self.pieces.get(low) or self._piece(low)
         if self.special.search(text):
             return self._whole(text)
-        if text.isascii():
+        if text.isascii() or (max(text) < "\u0180" and "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
+            # up to here lower case is a matter of single letters, as in the library
             low = text.lower()
             if low.isalpha():
                 return self.pieces.get(low) or self._piece(low)
+            if self.space.search(low):
+                return self._whole(text)
         else:
             low = self.tok.normalizer.normalize_str(text)
             if self.space.search(low):
@@ -243,22 +259,57 @@ class WordEncoder:
         pieces = self.pieces
         return b"".join([pieces.get(p) or self._piece(p) for p in self.parts.findall(low)])
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian bytes."""
-        if not text:
-            return b""
-        if not self.by_word:
-            return self._whole(text)
-        known, words = self.words, text.encode().split()
-        if len(known) >= CACHE_WORDS or len(self.pieces) >= CACHE_WORDS:
-            known.clear()
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each sorted key among the known words, -1 where unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[bytes]) -> None:
+        own = list(map(self._word, words))
+        size = np.array(list(map(len, own)), np.int32) // self.dtype.itemsize
+        at = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        place = np.searchsorted(self.keys, keys)
+        for name, new in (("keys", keys), ("checks", checks), ("at", at), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(own), self.dtype)])
+
+    def _chunk(self, buf: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        w = words_of(buf, offs, hashes=2)
+        if not len(w.starts):
+            return [b""] * (len(offs) - 1)
+        keys, first, place = np.unique(w.hashes[0], return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > CACHE_WORDS:
+            self._forget()
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        out = list(map(known.get, words))
-        if None in out:
-            for w in {w for w, o in zip(words, out, strict=True) if o is None}:
-                known[w] = self._word(w)
-            out = list(map(known.__getitem__, words))
-        return b"".join(out)
+        new = np.flatnonzero(self._find(keys) < 0)
+        if len(new):
+            raw, own = buf.tobytes(), first[new]
+            self._learn(keys[new], w.hashes[1][own], [raw[a:b] for a, b in zip(w.starts[own].tolist(), w.ends[own].tolist(), strict=True)])
+        row = self._find(keys)[place]
+        if (self.checks[row] != w.hashes[1]).any():  # two words of one hash: each by itself
+            raw = buf.tobytes()
+            return [b"".join(map(self._word, raw[a:b].split())) for a, b in zip(offs.tolist(), offs[1:].tolist(), strict=False)]
+        size = self.size[row]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.ids[np.repeat(self.at[row] - ends + size, size) + np.arange(int(ends[-1]))]
+        cut = np.r_[0, ends][w.offs].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+
+    def encode_all(self, texts: pa.Array):
+        """The ids of every text as little-endian bytes, in order."""
+        if not self.by_word:
+            for text in texts.to_pylist():
+                yield self._whole(text) if text else b""
+            return
+        for _, _, buf, offs in chunks(texts, 4 * CHUNK):
+            yield from self._chunk(buf, offs)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of one text."""
+        return next(iter(self.encode_all(pa.array([text], pa.string()))))
 
 
 @lru_cache(maxsize=2)
@@ -284,13 +335,12 @@ def _writer(folder: str, path: str, end_id: int, file_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file", "uri", "n_docs", "n_ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for d, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    own = enc.encode(text) + end
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
+                for d, own in zip(piece.column(0).to_pylist(), enc.encode_all(piece.column(1)), strict=True):
                     docs.append(d)
-                    ids.append(own)
-                    counts.append(len(own) // enc.dtype.itemsize)
+                    ids += own, end
+                    counts.append(len(own) // enc.dtype.itemsize + 1)
                     held += counts[-1]
                     if held >= file_ids:
                         yield flush()
