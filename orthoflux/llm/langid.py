@@ -152,14 +152,14 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     rows included, but columns of the two names are replaced.  An empty table gives an empty one.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows, fields = with_text(docs, text_col, [lang_name, score_name])
+    rows, fields, place = with_text(docs, text_col, [lang_name, score_name])
     schema = T.StructType([*fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lang, score = held.value.predict(part.columns[-1].to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                lang, score = held.value.predict(part.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

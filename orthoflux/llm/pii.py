@@ -258,7 +258,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", out_col: s
     name the text itself).  An empty table gives an empty one.
     """
     spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
-    rows, fields = with_text(docs, text_col, [out_col, "pii"])
+    rows, fields, place = with_text(docs, text_col, [out_col, "pii"])
     schema = T.StructType([*fields, T.StructField(out_col, T.StringType()), T.StructField("pii", spans)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
 
@@ -267,7 +267,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", out_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                done = [own.replace(t) for t in part.columns[-1].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([t for t, _ in done], pa.string()), pa.array([f for _, f in done], kind)], names=schema.names)
+                done = [own.replace(t) for t in part.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array([t for t, _ in done], pa.string()), pa.array([f for _, f in done], kind)], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -236,14 +236,14 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     column of that name is replaced.  An empty table gives an empty one.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows, fields = with_text(docs, text_col, [name])
+    rows, fields, place = with_text(docs, text_col, [name])
     schema = T.StructType([*fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                s = held.value.score(part.columns[-1].to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=schema.names)
+                s = held.value.score(part.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(s, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
