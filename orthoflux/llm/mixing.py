@@ -60,10 +60,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     before the source's cut (one document per source may be cut inside).  A null
     source is a source of its own, last in order; null and blank texts have size 0 and
     nothing is taken of them; an empty table gives an empty mix.  Documents are
-    ordered by the MD5 of seed and id, then by id and size, so reruns agree; equal
-    rows are interchangeable.  Other columns are ignored.
+    ordered by the MD5 of seed and id, then by id and size, so reruns agree; where the
+    id is null the MD5 of the text stands in for it, so rows without id spread over the
+    ranges too.  Equal rows are interchangeable.  Other columns are ignored.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name))
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     ranges = F.ceil(F.col("n_docs") / F.lit(RANGE_ROWS))

@@ -192,6 +192,23 @@ def test_mix_sources(spark, sf_dir, odd, which):
     assert sorted(map(str, got)) == sorted(map(str, mix_sources(df.repartition(3)).collect()))
 
 
+def test_mix_sources_without_ids(spark, monkeypatch):
+    """Rows without id fall into many ranges, and the mix is that of the SQL."""
+    import duckdb
+
+    from orthoflux.llm import mixing
+
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    rows = [(None if k % 3 else k, "ab"[k % 2], " ".join(["w"] * (k % 7) + [str(k)])) for k in range(200)] + [(None, "a", None), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    documents = df.toArrow()  # noqa: F841
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    want = duckdb.sql(queries.MIX_SQL).fetchdf()[cols]
+    got = mix_sources(df).select(cols).toPandas()
+    order = lambda p: p.astype(float).sort_values(cols).reset_index(drop=True)
+    assert np.allclose(order(got), order(want), equal_nan=True)
+
+
 def test_token_files(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
