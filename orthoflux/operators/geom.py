@@ -46,6 +46,12 @@ def disc(x: Column, y: Column, radius: float, segments: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(segments)), lambda i: F.struct((x + F.cos((i % segments) * step) * radius).alias("x"), (y + F.sin((i % segments) * step) * radius).alias("y")))
 
 
+def buffers(points: DataFrame, radius: float, segments: int = 64) -> DataFrame:
+    """``points`` with ``rings``: a disc of ``radius`` around each (``x, y``); points without coordinates have none and go."""
+    placed = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return placed.withColumn("rings", F.array(disc(F.col("x"), F.col("y"), radius, segments)))
+
+
 def convex_hull(points: Column) -> Column:
     """Closed hull, counter-clockwise from the least point (monotone chain, pure expressions)."""
     pts = F.array_sort(F.array_distinct(points))
@@ -109,7 +115,28 @@ def disc_union_area(groups: DataFrame, radius: float, group: str = "component")
 
 
 _A, _F = 6378137.0, 1 / 298.257222101  # GRS80; differs from WGS84 by under a millimetre here
-_E2 = _F * (2 - _F)
+E2 = _F * (2 - _F)
+_N = _F / (2 - _F)
+#: Scaled radius of the rectifying sphere, and the coefficients of Krueger's series in the third flattening (fixed values).
+RADIUS = 0.9996 * _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+ALPHA = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180,
+    13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    61 * _N**3 / 240 - 103 * _N**4 / 140,
+    49561 * _N**4 / 161280,
+)
+BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+    56 * _N**3 / 15 - 136 * _N**4 / 35,
+    4279 * _N**4 / 630,
+)
 
 
 def utm_zone(epsg: int) -> tuple[float, bool]:
@@ -128,40 +155,31 @@ def utm_zone(epsg: int) -> tuple[float, bool]:
 
 
 def to_utm(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
-    """Easting and northing by the Krueger series to third order (well under a millimetre inside a zone)."""
+    """Easting and northing by the Krueger series to fourth order (a few micrometres inside a zone)."""
     lon0, south = utm_zone(epsg)
-    n = _F / (2 - _F)
-    a = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     phi, lam = F.radians(lat), F.radians(lon - lon0)
-    e = math.sqrt(_E2)
+    e = math.sqrt(E2)
     atanh = lambda v: F.log((F.lit(1.0) + v) / (F.lit(1.0) - v)) / 2.0
     t = F.sinh(atanh(F.sin(phi)) - atanh(F.sin(phi) * e) * e)
     xi, eta = F.atan2(t, F.cos(lam)), atanh(F.sin(lam) / F.sqrt(t * t + 1.0))
     x, y = eta, xi
-    for j, al in enumerate(alpha, 1):
+    for j, al in enumerate(ALPHA, 1):
         x = x + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * al
         y = y + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * al
-    k = 0.9996 * a
-    return x * k + 500000.0, y * k + (1e7 if south else 0.0)
+    return x * RADIUS + 500000.0, y * RADIUS + (1e7 if south else 0.0)
 
 
 def from_utm(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     """Longitude and latitude, the inverse of ``to_utm``."""
     lon0, south = utm_zone(epsg)
-    n = _F / (2 - _F)
-    a = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    k = 0.9996 * a
-    xi, eta = (y - (1e7 if south else 0.0)) / k, (x - 500000.0) / k
+    xi, eta = (y - (1e7 if south else 0.0)) / RADIUS, (x - 500000.0) / RADIUS
     xi1, eta1 = xi, eta
-    for j, b in enumerate(beta, 1):
+    for j, b in enumerate(BETA, 1):
         xi1 = xi1 - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b
         eta1 = eta1 - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
     chi = F.asin(F.sin(xi1) / F.cosh(eta1))
     phi = chi
-    for j, d in enumerate(delta, 1):
+    for j, d in enumerate(DELTA, 1):
         phi = phi + F.sin(chi * (2 * j)) * d
     return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + lon0, F.degrees(phi)
 

@@ -37,24 +37,25 @@ class InterpolationConfig:
     epsg: int = 4326
     nodata_strategy: str = "leave_nan"  # or "nearest", "mean"
     outlier_method: str = "zscore"  # or "iqr", "none"
-    outlier_zscore: float = 3.5
-    outlier_iqr: float = 2.5
-    idw_neighbors: int = 16
+    outlier_zscore_thresh: float = 3.5
+    outlier_iqr_k: float = 2.5
+    idw_k_neighbors: int = 16
     idw_power: float = 2.0
     idw_smooth_sigma: float = 1.0
     kriging_variogram: str = "spherical"
-    kriging_lags: int = 20
+    kriging_nlags: int = 20
     kriging_weight: bool = True
     kriging_max_points: int = 60_000
     kriging_neighbors: int = 32
     rbf_kernel: str = "thin_plate_spline"
     rbf_smoothing: float = 0.0
     rbf_epsilon: float = 1.0
-    rbf_neighbors: int = 50
+    rbf_neighbors: int | None = 50  # None: one system over all (sampled) points
     rbf_max_points: int = 30_000
     spline_kx: int = 3
     spline_ky: int = 3
     spline_knots: int = 16
+    spline_smoothing: float | None = None  # bound on the residual sum of squares; None: as many knots as the data carry
     seed: int = 42
 
     def __post_init__(self):
@@ -153,8 +154,9 @@ def fit_variogram(kind: str, h: np.ndarray, g: np.ndarray, weight: bool = True)
     w = np.ones(len(h))
     if weight and len(h) > 1:
         span = h.max() - h.min()
-        w = 1 / (1 + np.exp(2.1972 / (0.1 * span) * (0.7 * span + h.min() - h))) if span > 0 else w
-        w = 1 - w + 1e-3
+        # a falling logistic of the distance: half at 70 % of the span, 0.9 to 0.1 within 20 % of it (log 9 either way)
+        x = (h - h.min() - 0.7 * span) / (0.1 * span) if span > 0 else np.zeros(len(h))
+        w = 1 / (1 + np.exp(np.log(9) * x)) + 1e-3
 
     def solve(shape):
         a = np.column_stack([shape, np.ones(len(h))]) * np.sqrt(w)[:, None]
@@ -226,7 +228,7 @@ def _local(cells: DataFrame, points: DataFrame, k: int, solve, schema: str = "va
 def kriging(cells: DataFrame, points: DataFrame, cfg: InterpolationConfig) -> DataFrame:
     """``(qid, value)`` from the nearest neighbours under one fitted variogram."""
     pts = sample_n(points.where(usable("z")), "pid", cfg.kriging_max_points, cfg.seed)
-    bins = [r for r in empirical_variogram(pts, cfg.kriging_lags, cfg.kriging_max_points, cfg.seed).collect() if r["n"] > 0]  # one row per lag
+    bins = [r for r in empirical_variogram(pts, cfg.kriging_nlags, cfg.kriging_max_points, cfg.seed).collect() if r["n"] > 0]  # one row per lag
     if not bins:
         return nearest_value(cells, points)
     params = fit_variogram(cfg.kriging_variogram, np.array([r["h"] for r in bins]), np.array([r["gamma"] for r in bins]), cfg.kriging_weight)
@@ -256,14 +258,13 @@ def rbf_kernel(kind: str, rho: np.ndarray) -> np.ndarray:
 DEGREE = {"thin_plate_spline": 1, "cubic": 1, "quintic": 2, "linear": 0, "multiquadric": 0}
 
 
-def rbf_value(px, py, z, qx, qy, kind: str, smoothing: float, epsilon: float) -> float:
-    """Radial-basis value at one cell with the least polynomial the kernel needs."""
+def _rbf_solve(px, py, z, ux, uy, kind: str, smoothing: float, epsilon: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Coefficients of the points, then of the least polynomial the kernel needs (in ``ux, uy``), and its exponents."""
     n, deg = len(z), DEGREE.get(kind, -1)
     while deg >= 0 and (deg + 1) * (deg + 2) // 2 > n:
         deg -= 1
-    scale = max(np.abs(px - qx).max(), np.abs(py - qy).max(), 1e-12)
-    ux, uy = (px - qx) / scale, (py - qy) / scale  # powers of shifted, scaled coordinates: the query is the origin
-    poly = [ux**i * uy**j for i in range(deg + 1) for j in range(deg + 1 - i)]
+    powers = [(i, j) for i in range(deg + 1) for j in range(deg + 1 - i)]
+    poly = [ux**i * uy**j for i, j in powers]
     m = n + len(poly)
     a, b = np.zeros((m, m)), np.zeros(m)
     a[:n, :n] = rbf_kernel(kind, epsilon * np.hypot(px[:, None] - px[None], py[:, None] - py[None])) + smoothing * np.eye(n)
@@ -274,11 +275,47 @@ def rbf_value(px, py, z, qx, qy, kind: str, smoothing: float, epsilon: float) ->
         x = np.linalg.solve(a, b)
     except np.linalg.LinAlgError:
         x = np.linalg.lstsq(a, b, rcond=None)[0]
-    return float(rbf_kernel(kind, epsilon * np.hypot(px - qx, py - qy)) @ x[:n] + (x[n] if poly else 0.0))
+    return x, powers
+
+
+def rbf_value(px, py, z, qx, qy, kind: str, smoothing: float, epsilon: float) -> float:
+    """Radial-basis value at one cell from its neighbours."""
+    scale = max(np.abs(px - qx).max(), np.abs(py - qy).max(), 1e-12)
+    # powers of shifted, scaled coordinates: the query is the origin, where only the constant is left
+    x, powers = _rbf_solve(px, py, z, (px - qx) / scale, (py - qy) / scale, kind, smoothing, epsilon)
+    n = len(z)
+    return float(rbf_kernel(kind, epsilon * np.hypot(px - qx, py - qy)) @ x[:n] + (x[n] if powers else 0.0))
+
+
+def _rbf_global(cells: DataFrame, pts: DataFrame, cfg: InterpolationConfig) -> DataFrame:
+    """One system over all points: ``rbf_max_points`` rows and their square in numbers on the driver, one sum a cell."""
+    kind, eps = cfg.rbf_kernel, cfg.rbf_epsilon
+    p = pts.select("pid", "x", "y", "z").toPandas().sort_values("pid")  # bounded by rbf_max_points
+    if not len(p):
+        return cells.select("qid", F.lit(None).cast("double").alias("value"))
+    px, py, z = (p[c].to_numpy(float) for c in "xyz")
+    cx, cy = px.mean(), py.mean()
+    scale = max(np.abs(px - cx).max(), np.abs(py - cy).max(), 1e-12)
+    coef, powers = _rbf_solve(px, py, z, (px - cx) / scale, (py - cy) / scale, kind, cfg.rbf_smoothing, eps)
+    held = cells.sparkSession.sparkContext.broadcast((px, py, coef))
+
+    def run(frames):
+        ax, ay, c = held.value
+        for pdf in frames:
+            qx, qy = pdf.x.to_numpy(), pdf.y.to_numpy()
+            out = sum((((qx - cx) / scale) ** i * ((qy - cy) / scale) ** j * c[len(ax) + k] for k, (i, j) in enumerate(powers)), np.zeros(len(pdf)))
+            for at in range(0, len(pdf), 64):
+                s = slice(at, at + 64)
+                out[s] += rbf_kernel(kind, eps * np.hypot(qx[s, None] - ax, qy[s, None] - ay)) @ c[: len(ax)]
+            yield pd.DataFrame({"qid": pdf.qid, "value": out})
+
+    return cells.select("qid", "x", "y").mapInPandas(run, "qid long, value double")
 
 
 def rbf(cells: DataFrame, points: DataFrame, cfg: InterpolationConfig) -> DataFrame:
     pts = sample_n(points.where(usable("z")), "pid", cfg.rbf_max_points, cfg.seed)
+    if cfg.rbf_neighbors is None:
+        return _rbf_global(cells, pts, cfg)
     kind, smooth, eps = cfg.rbf_kernel, cfg.rbf_smoothing, cfg.rbf_epsilon
     return _local(cells, pts, cfg.rbf_neighbors, lambda px, py, z, x, y: rbf_value(px, py, z, x, y, kind, smooth, eps))
 
@@ -476,50 +513,71 @@ def _basis(t: np.ndarray, knots: np.ndarray, degree: int) -> np.ndarray:
     return b
 
 
-def spline(cells: DataFrame, points: DataFrame, cfg: InterpolationConfig) -> DataFrame:
-    """Tensor-product B-spline least squares: normal equations are summed on the executors.
+def _fit_spline(pts: DataFrame, tx: np.ndarray, ty: np.ndarray, kx: int, ky: int):
+    """(design, coefficients) on given knots: normal equations are summed on the executors.
 
     A partition reduces to one matrix of (knots x knots)^2 numbers, bounded by the
     configuration; the driver adds them and solves once.
     """
-    pts = points.where(usable("z")).select("x", "y", "z")
-    e = pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    if not e[4]:
-        return cells.select("qid", F.lit(None).cast("double").alias("value"))
-    nx = max(cfg.spline_kx + 1, min(cfg.spline_knots, int(math.sqrt(e[4] / 2)) + 1))
-    ny = max(cfg.spline_ky + 1, min(cfg.spline_knots, int(math.sqrt(e[4] / 2)) + 1))
-
-    def knots(lo, hi, n, d):
-        hi = hi if hi > lo else lo + 1.0
-        return np.r_[[lo] * d, np.linspace(lo, hi, n - d + 1), [hi] * d]
-
-    tx, ty = knots(e[0], e[1], nx, cfg.spline_kx), knots(e[2], e[3], ny, cfg.spline_ky)
-    kx, ky = cfg.spline_kx, cfg.spline_ky
+    m = (len(tx) - kx - 1) * (len(ty) - ky - 1)
 
     def design(x, y):
         return (_basis(x, tx, kx)[:, :, None] * _basis(y, ty, ky)[:, None, :]).reshape(len(x), -1)
 
     def normal(frames):
-        a, b = np.zeros((nx * ny, nx * ny)), np.zeros(nx * ny)
+        a, b = np.zeros((m, m)), np.zeros(m)
         for pdf in frames:
             for at in range(0, len(pdf), 2048):
                 part = pdf.iloc[at : at + 2048]
-                m = design(part.x.to_numpy(), part.y.to_numpy())
-                a += m.T @ m
-                b += m.T @ part.z.to_numpy()
-        yield pd.DataFrame({"i": np.arange(nx * ny), "a": list(a), "b": b})
+                d = design(part.x.to_numpy(), part.y.to_numpy())
+                a += d.T @ d
+                b += d.T @ part.z.to_numpy()
+        yield pd.DataFrame({"i": np.arange(m), "a": list(a), "b": b})
 
     sums = pts.mapInPandas(normal, "i int, a array<double>, b double").select("i", "b", F.posexplode("a").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("b").alias("b"))
-    a, b = np.zeros((nx * ny, nx * ny)), np.zeros(nx * ny)
+    a, b = np.zeros((m, m)), np.zeros(m)
     got = sums.toPandas()  # (knots x knots)^2 rows, whatever the number of points
     a[got.i, got.j], b[got.i] = got.v, got.b
-    coef = np.linalg.solve(a + 1e-8 * np.trace(a) / len(b) * np.eye(len(b)), b)
+    coef = np.linalg.solve(a + 1e-8 * np.trace(a) / m * np.eye(m), b)
+    return design, coef
+
 
+def _evaluate(rows: DataFrame, design, coef: np.ndarray, keep: str) -> DataFrame:
     def run(frames):
         for pdf in frames:
-            yield pd.DataFrame({"qid": pdf.qid, "value": design(pdf.x.to_numpy(), pdf.y.to_numpy()) @ coef})
+            yield pd.DataFrame({keep: pdf[keep], "value": design(pdf.x.to_numpy(), pdf.y.to_numpy()) @ coef})
 
-    return cells.select("qid", "x", "y").mapInPandas(run, "qid long, value double")
+    return rows.select(keep, "x", "y").mapInPandas(run, f"{keep} {dict(rows.dtypes)[keep]}, value double")
+
+
+def spline(cells: DataFrame, points: DataFrame, cfg: InterpolationConfig) -> DataFrame:
+    """Tensor-product B-spline least squares on equal knots.
+
+    With ``spline_smoothing`` the knots grow by half from the fewest, until the residual
+    sum of squares is no more than that or ``spline_knots`` (or what the data carry) is
+    reached; each step is a scan for the equations and one for the residuals.
+    """
+    pts = points.where(usable("z")).select("x", "y", "z")
+    e = pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    if not e[4]:
+        return cells.select("qid", F.lit(None).cast("double").alias("value"))
+    kx, ky = cfg.spline_kx, cfg.spline_ky
+    most = min(cfg.spline_knots, int(math.sqrt(e[4] / 2)) + 1)
+
+    def knots(lo, hi, n, d):
+        hi = hi if hi > lo else lo + 1.0
+        return np.r_[[lo] * d, np.linspace(lo, hi, n - d + 1), [hi] * d]
+
+    n = most if cfg.spline_smoothing is None else min(most, max(kx, ky) + 1)
+    while True:
+        design, coef = _fit_spline(pts, knots(e[0], e[1], max(kx + 1, n), kx), knots(e[2], e[3], max(ky + 1, n), ky), kx, ky)
+        if n >= most:
+            break
+        off = _evaluate(pts, design, coef, "z").agg(F.sum((F.col("z") - F.col("value")) ** 2)).first()[0]
+        if off <= cfg.spline_smoothing:
+            break
+        n = min(most, n + max(1, n // 2))
+    return _evaluate(cells, design, coef, "qid")
 
 
 # ---- the dispatcher
@@ -539,9 +597,9 @@ def fill_nodata(grid: DataFrame, strategy: str) -> DataFrame:
 
 def drop_outliers(points: DataFrame, cfg: InterpolationConfig) -> DataFrame:
     if cfg.outlier_method == "zscore":
-        return drop_zscore_outliers(points, "z", cfg.outlier_zscore)
+        return drop_zscore_outliers(points, "z", cfg.outlier_zscore_thresh)
     if cfg.outlier_method == "iqr":
-        return drop_iqr_outliers(points, "z", cfg.outlier_iqr)
+        return drop_iqr_outliers(points, "z", cfg.outlier_iqr_k)
     return points.where(usable("z"))
 
 
@@ -556,7 +614,7 @@ def interpolate(points: DataFrame, cfg: InterpolationConfig, bounds: tuple[float
     grid = GridMeta.over(*bounds, cfg.resolution, cfg.epsg)
     cells = grid.cells(points.sparkSession).withColumn("qid", F.col("prow") * grid.width + F.col("pcol"))
     if cfg.method == "idw":
-        out = idw(cells, clean, cfg.idw_neighbors, cfg.idw_power)
+        out = idw(cells, clean, cfg.idw_k_neighbors, cfg.idw_power)
     elif cfg.method == "nearest":
         out = nearest_value(cells, clean)
     elif cfg.method == "linear":

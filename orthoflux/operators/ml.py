@@ -40,8 +40,15 @@ def training_features(points: DataFrame, features: DataFrame, grid: GridMeta, bu
 
 
 def fit_forest(rows: DataFrame, features: tuple[str, ...], label: str = "label", trees: int = 250, depth: int = 25, seed: int = 42) -> RandomForestClassificationModel:
-    """A Gini forest with square-root feature choice; 8-bit features get a bin each."""
+    """A Gini forest with square-root feature choice; 8-bit features get a bin each.
+
+    A training table in fewer partitions than there are cores is dealt anew: every level
+    of the trees is a pass over it, and one small file would keep one core busy.
+    """
     vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if vec.rdd.getNumPartitions() < cores:
+        vec = vec.repartition(cores)
     return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, maxBins=256, featureSubsetStrategy="sqrt", seed=seed, subsamplingRate=1.0).fit(vec.select("features", label))
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import geom as G
 from ..operators import interp as I
 from ..operators import ml as L
 from ..operators import segment as S
 from ..operators import vectorize as VZ
-from ..scratch import materialize
+from ..operators.masks import valid_alpha
+from ..runlog import RunLog
+from ..scratch import materialize, scratch
+from ..sources.vector import read_shapefile, write_training_buffers
 from . import fixtures as fx
 from . import pipelines as P
 from .fixtures import sql
@@ -26,7 +30,7 @@ query("i9_nearest", sql("SELECT qid, z AS value FROM nn WHERE rank = 1", "pts",
 _T15 = "tp AS (SELECT i, w / sum(w) OVER () AS w FROM (SELECT i, exp(-(i * i) / 4.5e0) AS w FROM (SELECT unnest(range(-6, 7)) AS i)))"
 _GR = "rs AS (SELECT qid AS id, qid // 20 AS prow, qid % 20 AS pcol, v AS f, 1e0 AS w FROM iw)"
 query("i14_interpolate_idw_smoothed", sql("SELECT a.prow, a.pcol, round(f / w, 6) AS value FROM gf a JOIN gw b ON a.id = b.id", "pts", CELLS, NEAR, _idw(24), _GR, _T15, _DIM.replace("px", "rs"), *_gauss("rs", "f", "gf"), *_gauss("rs", "w", "gw")))(
-    lambda s, d: I.interpolate(fx.pts(s, d), I.InterpolationConfig(method="idw", resolution=10.0, idw_neighbors=24, idw_smooth_sigma=1.5, outlier_method="none"), (0.0, 0.0, 200.0, 210.0)).select("prow", "pcol", r6("value").alias("value"))
+    lambda s, d: I.interpolate(fx.pts(s, d), I.InterpolationConfig(method="idw", resolution=10.0, idw_k_neighbors=24, idw_smooth_sigma=1.5, outlier_method="none"), (0.0, 0.0, 200.0, 210.0)).select("prow", "pcol", r6("value").alias("value"))
 )
 query("i13_bounds_stats", sql("SELECT count(*) AS n, round(min(v), 6) AS lo, round(max(v), 6) AS hi FROM iw", "pts", CELLS, NEAR, _idw(16)))(
     lambda s, d: I.interpolate(fx.pts(s, d), I.InterpolationConfig(method="idw", resolution=10.0, idw_smooth_sigma=0.0, outlier_method="none"), (0.0, 0.0, 200.0, 210.0)).agg(F.count("value").alias("n"), r6(F.min("value")).alias("lo"), r6(F.max("value")).alias("hi"))
@@ -54,7 +58,11 @@ for _m, _name in (("kriging_ordinary", "i4_kriging"), ("kriging_universal", "i5_
 # the same methods over the whole customer table
 for _m, _name in (("kriging_ordinary", "i4_kriging_points"), ("kriging_universal", "i5_kriging_universal_points"), ("rbf", "i7_rbf_points"), ("linear", "i8_linear_points"), ("spline", "i10_spline_points")):
     query(_name)(lambda s, d, m=_m: I.interpolate(fx.pts(s, d), I.InterpolationConfig(method=m, resolution=10.0, outlier_method="none"), (0.0, 0.0, 200.0, 210.0)))
-query("i6_kriging_lags")(lambda s, d: I.empirical_variogram(fx.pts(s, d), 20))
+_PAIRS = "pairs AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS h, (a.z - b.z) * (a.z - b.z) / 2e0 AS g FROM pts a JOIN pts b ON a.pid < b.pid)"
+_LAGS = "lags AS (SELECT least(19, CAST(floor((h - lo) * 20 / (hi - lo)) AS INTEGER)) AS lag, h, g FROM pairs, (SELECT min(h) AS lo, max(h) AS hi FROM pairs))"
+query("i6_kriging_lags", sql("SELECT lag, count(*) AS n, round(avg(h), 6) AS h, round(avg(g), 2) AS gamma FROM lags GROUP BY lag", "pts", _PAIRS, _LAGS))(
+    lambda s, d: I.empirical_variogram(fx.pts(s, d), 20).select("lag", "n", r6("h").alias("h"), F.round("gamma", 2).alias("gamma"))
+)
 query("i6_kriging_t17")(lambda s, d: I.interpolate(fx.pts(s, d), I.InterpolationConfig(method="kriging_ordinary", resolution=10.0, outlier_method="none", kriging_max_points=50_000), (0.0, 0.0, 200.0, 210.0)))
 
 
@@ -96,5 +104,30 @@ query("g11_watershed_image")(lambda s, d: S.watershed_image(_flood_input(s, d).w
 query("g11_watershed")(lambda s, d: S.watershed(_flood_input(s, d)))
 query("g8_contours")(lambda s, d: VZ.contours(_bin(s, d), tile=64))
 query("g10_polygons")(lambda s, d: VZ.polygons(_bin(s, d), _meta(s, d), tile=64).select("component", F.size("rings").alias("n_rings"), "area"))
-query("pipeline_a_terrain")(lambda s, d: P.terrain_run(fx.px(s, d), fx.train(s, d), _meta(s, d), P.TerrainConfig(buffer_m=2.0, confidence=0.5, min_group_px=2, terrain=I.InterpolationConfig(method="idw", resolution=20.0, idw_neighbors=8)))["terrain"])
+_TERRAIN = P.TerrainConfig(buffer_m=2.0, confidence=0.5, min_group_px=2, terrain=I.InterpolationConfig(method="idw", resolution=20.0, idw_k_neighbors=8))
+query("pipeline_a_terrain")(lambda s, d: P.terrain_run(fx.px(s, d), fx.train(s, d), _meta(s, d), _TERRAIN)["terrain"])
+
+
+@query("k8_training_buffers", sql("SELECT class, count(*) AS n, round(count(*) * 32e0 * sin(pi() / 32e0) * 0.7225e0, 3) AS area FROM train GROUP BY class", "train"))
+def _(s, d):
+    """Buffers written as Shapefiles, a folder a class, and read back."""
+    folder, found = scratch(s, "buffers"), []
+    write_training_buffers(fx.train(s, d), folder, 0.85, ("forest", "soil")).agg(F.sum("n")).collect()
+    for c in ("forest", "soil"):
+        back = read_shapefile(s, f"{folder}/val_buffer_{c}/*.shp")
+        found.append(back.agg(F.lit(c).alias("class"), F.count(F.lit(1)).alias("n"), F.round(F.sum(G.polygon_area(F.col("rings"))), 3).alias("area")))
+    return found[0].unionByName(found[1])
+
+
+@query("k9_a19_run_log", sql("SELECT 'all pixels' AS step, count(*) AS rows FROM px UNION ALL SELECT 'usable pixels', count(*) FROM px WHERE a >= 250", "px"))
+def _(s, d):
+    """Rows of two steps as the run log saw them; times and throughput differ from run to run and are left out."""
+    log = RunLog()
+    with log.step("all pixels") as step:
+        px = step.wrote(materialize(fx.px(s, d), "px"))
+    with log.step("usable pixels") as step:
+        step.wrote(materialize(px.where(valid_alpha()), "usable"))
+    return log.table(s).select("step", "rows")
+
+
 query("pipeline_c_crowns")(lambda s, d: P.crowns_run(fx.prob(s, d), fx.train(s, d).where("label = 1"), fx.train(s, d).where("label = 0"), _meta(s, d))["polygons"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,7 +83,15 @@ def _gauss(src, v, name):
 
 _one("n10_gaussian", lambda p: N.gaussian(p, "mds", "v"), "SELECT id, round(mds, 6) AS v FROM gs", "px", _TAPS, _DIM, *_gauss("px", "mds", "gs"))
 _one("n11_gaussian_gaps", lambda p: N.gaussian_with_gaps(p.withColumn("z", F.when(M.valid_alpha(), F.col("mds"))), "z", "v"), "SELECT a.id, CASE WHEN w > 0.01e0 THEN round(f / w, 6) END AS v FROM gf a JOIN gw b ON a.id = b.id", "px", _TAPS, _DIM, "fz AS (SELECT id, prow, pcol, CASE WHEN a >= 250 THEN mds ELSE 0e0 END AS f, CASE WHEN a >= 250 THEN 1e0 ELSE 0e0 END AS w FROM px)", *_gauss("fz", "f", "gf"), *_gauss("fz", "w", "gw"))
-query("n6_bilateral")(lambda s, d: N.bilateral(fx.px(s, d)))
+_SIZE = "size AS (SELECT max(prow) + 1 AS h, max(pcol) + 1 AS w FROM px)"
+_DISC = "disc AS (SELECT dy, dx FROM (SELECT unnest(range(-4, 5)) AS dy), (SELECT unnest(range(-4, 5)) AS dx) WHERE dy * dy + dx * dx <= 16)"
+_SEEN = "seen AS (SELECT p.id, r, g, b, dy * dy + dx * dx AS d2, abs((prow + dy + h - 1) % (2 * (h - 1)) - (h - 1)) AS nr, abs((pcol + dx + w - 1) % (2 * (w - 1)) - (w - 1)) AS nc FROM px p, size, disc)"
+_WEIGHT = """near AS (SELECT s.id, q.r, q.g, q.b, exp(-pow(CAST(abs(q.r - s.r) + abs(q.g - s.g) + abs(q.b - s.b) AS DOUBLE), 2e0) / 11250e0 - d2 / 11250e0) AS wt
+  FROM seen s JOIN px q ON q.prow = s.nr AND q.pcol = s.nc)"""
+_MEANS = ", ".join(f"round(sum(wt * {c}) / sum(wt), 6) AS {c}" for c in "rgb")
+query("n6_bilateral", sql(f"SELECT prow, pcol, n.* EXCLUDE (id) FROM (SELECT id, {_MEANS} FROM near GROUP BY id) n JOIN px USING (id)", "px", _SIZE, _DISC, _SEEN, _WEIGHT))(
+    lambda s, d: N.bilateral(fx.px(s, d)).select("prow", "pcol", *[r6(c).alias(c) for c in "rgb"])
+)
 
 _AT = "onpx AS (SELECT pid, label, class, x, y, z, CAST(floor((f - y) / 2e0) AS BIGINT) AS pr, CAST(floor(x / 2e0) AS BIGINT) AS pc FROM train, grd WHERE x >= 0 AND x < 250 AND y <= f AND y > 0)"
 
@@ -185,7 +195,42 @@ query("a18_holes_removed", sql(f"SELECT CAST(sum(holes - {_KEPT}) AS BIGINT) AS
 query("g9_contour_to_world", sql("SELECT gid, round((x - side / 2e0 + 0.5e0) * 2e0, 6) AS x0 FROM poly", "poly"))(lambda s, d: fx.poly(s, d).select("gid", F.transform(F.col("rings")[0], lambda p: (p["x"] + 0.5) * 2.0).alias("xs")).select("gid", r6(F.col("xs")[0]).alias("x0")))
 query("f26_valid_rings", sql("SELECT gid FROM poly", "poly"))(lambda s, d: fx.poly(s, d).where(G.valid_ring(F.col("rings")[0])).select("gid"))
 query("g14_convex_hull", sql("SELECT gid, round(side * side, 6) AS area FROM poly", "poly"))(lambda s, d: fx.poly(s, d).select("gid", r6(G.ring_area(G.convex_hull(F.flatten("rings")))).alias("area")))
-query("g13_reproject")(lambda s, d: G.reproject(G.reproject(fx.pts(s, d).select("pid", (F.lit(-36.0) + F.col("x") / 100.0).alias("x"), (F.lit(-8.0) + F.col("y") / 100.0).alias("y")), 4326, 31985), 31985, 32725))
+
+
+def _sql_series(coefficients, of_xi: str, of_eta: str) -> str:
+    return " + ".join(f"{c!r} * {of_xi}({2 * j} * xi) * {of_eta}({2 * j} * eta)" for j, c in enumerate(coefficients, 1))
+
+
+def _sql_to_utm(name: str, source: str, lon0: float) -> list[str]:
+    """CTEs: longitude and latitude of ``source`` to a southern UTM zone by the Krueger series."""
+    e = math.sqrt(G.E2)
+    east, north = _sql_series(G.ALPHA, "cos", "sinh"), _sql_series(G.ALPHA, "sin", "cosh")
+    return [
+        f"{name}_t AS (SELECT pid, radians(x - {lon0!r}) AS lam, sinh(atanh(sin(radians(y))) - {e!r} * atanh({e!r} * sin(radians(y)))) AS t FROM {source})",
+        f"{name}_e AS (SELECT pid, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(t * t + 1e0)) AS eta FROM {name}_t)",
+        f"{name} AS (SELECT pid, {G.RADIUS!r} * (eta + {east}) + 500000e0 AS x, {G.RADIUS!r} * (xi + {north}) + 10000000e0 AS y FROM {name}_e)",
+    ]
+
+
+def _sql_from_utm(name: str, source: str, lon0: float) -> list[str]:
+    """CTEs: the inverse of ``_sql_to_utm``."""
+    xi, eta = _sql_series(G.BETA, "sin", "cosh"), _sql_series(G.BETA, "cos", "sinh")
+    lat = " + ".join(f"{c!r} * sin({2 * j} * chi)" for j, c in enumerate(G.DELTA, 1))
+    return [
+        f"{name}_e AS (SELECT pid, (y - 10000000e0) / {G.RADIUS!r} AS xi, (x - 500000e0) / {G.RADIUS!r} AS eta FROM {source})",
+        f"{name}_s AS (SELECT pid, xi - ({xi}) AS xi, eta - ({eta}) AS eta FROM {name}_e)",
+        f"{name}_c AS (SELECT pid, asin(sin(xi) / cosh(eta)) AS chi, degrees(atan2(sinh(eta), cos(xi))) + {lon0!r} AS x FROM {name}_s)",
+        f"{name} AS (SELECT pid, x, degrees(chi + {lat}) AS y FROM {name}_c)",
+    ]
+
+
+_LL = "ll AS (SELECT pid, -36e0 + x / 100e0 AS x, -8e0 + y / 100e0 AS y FROM pts)"
+_UTM = (*_sql_to_utm("u1", "ll", -33.0), *_sql_from_utm("l2", "u1", -33.0), *_sql_to_utm("u2", "l2", -33.0))
+query("g13_reproject", sql("SELECT pid, round(x, 3) AS x, round(y, 3) AS y FROM u2", "pts", _LL, *_UTM))(
+    lambda s, d: G.reproject(G.reproject(fx.pts(s, d).select("pid", (F.lit(-36.0) + F.col("x") / 100.0).alias("x"), (F.lit(-8.0) + F.col("y") / 100.0).alias("y")), 4326, 31985), 31985, 32725).select(
+        "pid", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")
+    )
+)
 
 @query("g12_inversion_swap", sql("SELECT id, round(CASE WHEN (SELECT avg(p_tree) FROM onpx JOIN prob ON prow = pr AND pcol = pc WHERE label = 1) < 0.5e0 THEN p_soil ELSE p_tree END, 6) AS p FROM prob", "train", "grd", "prob", _AT))
 def _(s, d):

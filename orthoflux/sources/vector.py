@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import sqlite3
 import struct
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.geom import buffers
 from .files import binary, write_file
 
 
@@ -117,6 +119,12 @@ def write_shapefile(df: DataFrame, folder: str, value: str | None = None) -> Dat
     return df.select(*cols).mapInPandas(run, "uri string, n long")
 
 
+def write_training_buffers(points: DataFrame, folder: str, radius: float, classes: tuple[str, ...], by: str = "class") -> DataFrame:
+    """Discs around the training points as Shapefiles, a folder ``val_buffer_<class>`` for each of ``classes``; returns ``(class, uri, n)``."""
+    parts = [write_shapefile(buffers(points.where(F.col(by) == c), radius), f"{folder}/val_buffer_{c}").select(F.lit(c).alias("class"), "uri", "n") for c in classes]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _wkb_point(blob: bytes):
     """(x, y, z) of a GeoPackage point."""
     at = 8 + (0, 32, 48, 48, 64)[(blob[3] >> 1) & 7]

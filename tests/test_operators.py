@@ -306,3 +306,79 @@ def test_prediction_keeps_pixels_with_gaps(spark):
     model = ml.fit_forest(rows, ("f",), trees=3, depth=3)
     out = {r.id: r for r in ml.predict(model, rows, ("f",)).collect()}
     assert len(out) == 62 and out[98].p0 is None and out[99].prediction is None and all(out[i].prediction == out[i].label for i in range(60))
+
+
+def test_rbf_over_all_points(spark):
+    """One system over all points meets the points, reproduces a plane, and is what many neighbours give."""
+    rng = np.random.default_rng(3)
+    pts = [(i, float(x), float(y), float(2 * x - y + 7)) for i, (x, y) in enumerate(rng.random((60, 2)) * 100)]
+    df = spark.createDataFrame(pts, "pid long, x double, y double, z double")
+    cells = spark.createDataFrame([(i, p[1], p[2]) for i, p in enumerate(pts)] + [(900, 31.0, 47.0)], "qid long, x double, y double")
+    whole = I.InterpolationConfig(method="rbf", rbf_neighbors=None)
+    got = {r.qid: r.value for r in I.rbf(cells, df, whole).collect()}
+    assert all(got[i] == pytest.approx(p[3], abs=1e-5) for i, p in enumerate(pts)) and got[900] == pytest.approx(22.0, abs=1e-5)
+    bumpy = df.withColumn("z", F.sin(F.col("x") / 9) * F.col("y"))
+    for kernel in I.KERNELS:
+        a, b = (I.rbf(cells.where("qid = 900"), bumpy, I.InterpolationConfig(method="rbf", rbf_kernel=kernel, rbf_epsilon=0.1, rbf_smoothing=1e-6, rbf_neighbors=n)).first()["value"] for n in (None, 60))
+        assert a == pytest.approx(b, rel=1e-3, abs=1e-3), kernel
+    assert I.rbf(cells, df.limit(0), whole).where("value IS NOT NULL").count() == 0
+
+
+def test_spline_smoothing(spark):
+    """A bound on the residuals ends the growth of knots; none, or one that cannot be met, gives the most knots."""
+    rng = np.random.default_rng(4)
+    pts = [(i, float(x), float(y), float(np.sin(x / 10) * 10 + rng.normal() * 0.1)) for i, (x, y) in enumerate(rng.random((800, 2)) * 100)]
+    df = spark.createDataFrame(pts, "pid long, x double, y double, z double")
+    at = df.select(F.col("pid").alias("qid"), "x", "y")
+
+    def residual(bound):
+        got = I.spline(at, df, I.InterpolationConfig(method="spline", spline_smoothing=bound)).toPandas().set_index("qid").value
+        return float(sum((got[p[0]] - p[3]) ** 2 for p in pts))
+
+    best, loose = residual(None), residual(1e9)
+    assert best < 10 and loose > 1000 and residual(0.0) == pytest.approx(best)
+    middle = residual(100.0)
+    assert best <= middle <= 100
+
+
+def test_run_log(spark, tmp_path):
+    from orthoflux.runlog import RunLog, elapsed
+
+    log = RunLog()
+    with log.step("rows") as step:
+        step.wrote(spark.range(70))
+    with log.step("none"):
+        pass
+    with pytest.raises(ValueError), log.step("broken"):
+        raise ValueError
+    got = log.table(spark).collect()
+    assert [(r.step, r.rows) for r in got] == [("rows", 70), ("none", None)] and got[0].rows_per_second > 0 and got[1].rows_per_second is None
+    log.write(str(tmp_path / "run.txt"))
+    lines = (tmp_path / "run.txt").read_text().splitlines()
+    assert len(lines) == 3 and lines[0].startswith("rows: 0:00:0") and lines[2].startswith("total")
+    assert elapsed(3723.9) == "1:02:03"
+
+
+def test_reprojection_there_and_back(spark):
+    """A point 3 degrees from the meridian returns to under a tenth of a micrometre's worth of degrees."""
+    df = spark.createDataFrame([(float(x), float(y)) for x in (-36, -33, -30.5) for y in (-79, -8, 0, 40)], "x double, y double")
+    there = df.select(F.col("x").alias("lon"), F.col("y").alias("lat"), "x", "y")
+    back = G.reproject(G.reproject(there, 4326, 31985), 31985, 4326).toPandas()
+    assert (back.x - back.lon).abs().max() < 1e-10 and (back.y - back.lat).abs().max() < 1e-10
+
+
+def test_terrain_run_reports(spark, sf_dir):
+    """A fifth of the training pixels is judged by the forest of the others, and the log knows every step."""
+    from orthoflux.plans import fixtures as fx
+    from orthoflux.plans import pipelines as P
+    from orthoflux.runlog import RunLog
+
+    log, grid = RunLog(), fx.meta(fx.rows_of(spark, sf_dir))
+    cfg = P.TerrainConfig(buffer_m=2.0, trees=5, depth=4, confidence=0.5, min_group_px=2, terrain=I.InterpolationConfig(method="nearest", resolution=20.0))
+    out = P.terrain_run(fx.px(spark, sf_dir), fx.train(spark, sf_dir), grid, cfg, log=log)
+    rows = {s.name: s.rows for s in log.steps}
+    assert list(rows) == ["features", "training rows", "forest", "probability", "heights"] and rows["features"] == rows["probability"] == 1500
+    report = {r["class"]: r for r in out["report"].collect()}
+    assert set(report) == {"0", "1", "macro", "weighted"} and 0 < report["macro"].support <= 0.4 * rows["training rows"]
+    assert 0 <= out["accuracy"].first()[0] <= 1 and out["importances"].count() == 14
+    assert out["points"].count() == rows["heights"]
