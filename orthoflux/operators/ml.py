@@ -49,7 +49,7 @@ def fit_forest(rows: DataFrame, features: tuple[str, ...], label: str = "label",
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if vec.rdd.getNumPartitions() < cores:
         vec = vec.repartition(cores)
-    return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, maxBins=256, featureSubsetStrategy="sqrt", seed=seed, subsamplingRate=1.0).fit(vec.select("features", label))
+    return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, maxBins=256, featureSubsetStrategy="sqrt", seed=seed, subsamplingRate=1.0, cacheNodeIds=True).fit(vec.select("features", label))
 
 
 def predict(model: RandomForestClassificationModel, rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
