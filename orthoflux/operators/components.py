@@ -103,7 +103,8 @@ def label_components(pixels: DataFrame, id_col: str, eight: bool = True, value:
     edges = there.join(border.withColumnRenamed("__lab", "b"), ["prow", "pcol", "__v"]).select("a", "b").where("a <> b").distinct()
     merged = graph_components(edges)
     out = tiled.join(merged, tiled["__lab"] == merged.node, "left").select("prow", "pcol", F.col("__id").alias("__i"), F.coalesce("component", "__lab").alias("component"))
-    return pixels.join(out.select(F.col("__i").alias(id_col), "component"), id_col)
+    # a row a pixel, in files that may be small enough to look like something to broadcast
+    return pixels.hint("merge").join(out.select(F.col("__i").alias(id_col), "component"), id_col)
 
 
 def group_filter(points: DataFrame, min_area_px: float, reach: float = 1.5) -> DataFrame:

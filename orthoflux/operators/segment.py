@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import GridMeta
-from ..scratch import materialize
+from ..scratch import keep, materialize, scope
 from .joins import raster_at_points
 
 
@@ -56,52 +56,93 @@ def watershed_image(pixels: DataFrame, image: str = "image") -> DataFrame:
     return pixels.select(image, "prow", "pcol", F.col("cost").cast("double").alias("cost"), F.col("marker").cast("long").alias("marker"), F.col("mask").cast("boolean").alias("mask")).groupBy(image).applyInPandas(run, f"{image} long, prow long, pcol long, label long")
 
 
-def _relax(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best (level, steps, label) of every inner pixel of a tile, given its halo: Dijkstra over four neighbours."""
-    state = {(r, c): (lv, st, lb) for r, c, lv, st, lb in zip(pdf.prow, pdf.pcol, pdf.level, pdf.steps, pdf.label, strict=True) if lb > 0}
-    cost = dict(zip(zip(pdf.prow, pdf.pcol, strict=True), pdf.cost, strict=True))
-    inner = pdf[~pdf.halo]
-    mine = set(zip(inner.prow, inner.pcol, strict=True))
-    heap = [(*v, k) for k, v in state.items()]
-    heapq.heapify(heap)
-    while heap:
-        lv, st, lb, (r, c) = heapq.heappop(heap)
-        if state[r, c] != (lv, st, lb):
-            continue
-        for k in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-            if k in mine:
-                level = max(lv, cost[k])
-                new = (level, 0 if level > lv else st + 1, lb)
-                if k not in state or new < state[k]:
-                    state[k] = new
-                    heapq.heappush(heap, (*new, k))
-    got = [state.get(k, (0.0, 0, 0)) for k in zip(inner.prow, inner.pcol, strict=True)]
-    out = inner[["prow", "pcol", "cost"]].copy()
-    out["level"], out["steps"], out["label"] = zip(*got, strict=True) if got else ((), (), ())
-    return out
-
-
-def watershed(pixels: DataFrame, tile: int = 256) -> DataFrame:
+def _relax(border: bool):
+    """Best (level, steps, label) of every inner pixel of a tile ``t``, or of those on its border, given its halo: Dijkstra
+    over four neighbours on the tile's padded grid."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        inner = ~pdf["halo"].to_numpy(bool)
+        r, c = pdf.prow.to_numpy(), pdf.pcol.to_numpy()
+        r0, c0, wide = r.min() - 1, c.min() - 1, int(c.max() - c.min()) + 3
+        at = (r - r0) * wide + (c - c0)
+        size = (int(r.max() - r0) + 2) * wide
+        cost, level, steps, label = np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        cost[at], level[at], steps[at], label[at] = pdf.cost, pdf.level, pdf.steps, pdf.label
+        todo = np.zeros(size, np.uint8)
+        todo[at[inner]] = 1
+        todo, cost, level, steps, label = bytearray(todo.tobytes()), cost.tolist(), level.tolist(), steps.tolist(), label.tolist()
+        heap = [(level[k], steps[k], label[k], k) for k in at.tolist() if label[k] > 0]
+        heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
+        while heap:
+            lv, st, lb, p = pop(heap)
+            if lv != level[p] or st != steps[p] or lb != label[p]:
+                continue
+            todo[p] = 0
+            for k in (p - wide, p - 1, p + 1, p + wide):
+                if todo[k]:
+                    new, far = cost[k], 0
+                    if new <= lv:
+                        new, far = lv, st + 1
+                    was = label[k]
+                    if not was or new < level[k] or (new == level[k] and (far < steps[k] or (far == steps[k] and lb < was))):
+                        level[k], steps[k], label[k] = new, far, lb
+                        push(heap, (new, far, lb, k))
+        if border:
+            rows, cols = r[inner], c[inner]
+            edge = (rows == rows.min()) | (rows == rows.max()) | (cols == cols.min()) | (cols == cols.max())
+            inner[inner] = edge
+        at = at[inner]
+        values = (np.array(v)[at] for v in (level, steps, label))
+        out = pd.DataFrame({"t": pdf.t.to_numpy()[inner], "prow": r[inner], "pcol": c[inner]} | dict(zip(("level", "steps", "label"), values, strict=True)))
+        return out[out.label > 0] if border else out
+
+    return run
+
+
+def watershed(pixels: DataFrame, tile: int = 724) -> DataFrame:
     """``pixels(prow, pcol, cost, marker, mask)`` -> ``(prow, pcol, label)`` for rasters of any size.
 
     Every masked pixel takes the marker reached over the path whose greatest cost is
-    least, then by fewest steps at that level, then least marker.  Tiles are solved
-    on their own with the best of the pixels around them, round by round, until no
-    tile changes; a round is one written table.  Basins agree with the flood wherever
-    that path is unique.
+    least, then by fewest steps at that level, then least marker: the state that follows
+    from the least of its neighbours' states, which does not depend on the tiles.  Tiles
+    hold up to ``tile`` squared pixels (of a narrow raster they are as high as that
+    allows) and are solved on their own with the states just outside them.  Only states
+    on borders are kept from round to round, and a round solves only the tiles next to a
+    state that changed; at the end all are solved once more.  Basins agree with the
+    flood wherever that path is unique.
     """
-    seed = F.col("marker") > 0
-    cur = pixels.where("mask").select("prow", "pcol", F.col("cost").cast("double").alias("cost"), F.when(seed, F.col("cost")).otherwise(0.0).cast("double").alias("level"), F.lit(0).cast("long").alias("steps"), F.when(seed, F.col("marker")).otherwise(0).cast("long").alias("label"))
-    schema, before = "prow long, pcol long, cost double, level double, steps long, label long", None
-    cur = materialize(cur, "ws")
-    at = lambda c, d=0: F.floor((F.col(c) + d) / tile)
-    while True:
-        own = cur.select("*", at("prow").alias("tr"), at("pcol").alias("tc"), F.lit(False).alias("halo"))
-        around = [cur.where((at("prow", a) != at("prow")) | (at("pcol", b) != at("pcol"))).where("label > 0").select("*", at("prow", a).alias("tr"), at("pcol", b).alias("tc"), F.lit(True).alias("halo")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]
-        for x in around:
-            own = own.unionByName(x)
-        cur = materialize(own.groupBy("tr", "tc").applyInPandas(_relax, schema), "ws")
-        now = tuple(cur.agg(F.count_if(F.col("label") > 0), F.sum(F.xxhash64("prow", "pcol", "level", "steps", "label").cast("decimal(38,0)"))).first())
-        if now == before:
-            return cur.select("prow", "pcol", "label")
-        before = now
+    spark = pixels.sparkSession
+    schema = "t long, prow long, pcol long, level double, steps long, label long"
+    with scope(spark) as own:
+        base = pixels.where("mask").select("prow", "pcol", F.col("cost").cast("double").alias("cost"), F.greatest(F.coalesce("marker", F.lit(0)), F.lit(0)).cast("long").alias("marker"))
+        base = materialize(base, "ws")
+        r0, r1, c0, c1 = base.agg(F.min("prow"), F.max("prow"), F.min("pcol"), F.max("pcol")).first()
+        if r0 is None:
+            return keep(base.select("prow", "pcol", F.col("marker").alias("label")), "labels", own)
+        wide = min(tile, c1 - c0 + 1)
+        high, across = max(1, tile * tile // wide), -(-(c1 - c0 + 1) // wide)
+        of = lambda r, c: (F.floor((r - r0) / high) * across + F.floor((c - c0) / wide)).cast("long")
+        tiled = materialize(base.withColumn("t", of(F.col("prow"), F.col("pcol"))).repartitionByRange("t").sortWithinPartitions("t"), "ws-tiles")
+        seed = F.col("marker") > 0
+        start = tiled.select("t", "prow", "pcol", "cost", F.when(seed, F.col("cost")).otherwise(0.0).alias("level"), F.lit(0).cast("long").alias("steps"), F.col("marker").alias("label"), F.lit(False).alias("halo"))
+        moves = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))])).alias("m")
+
+        def seen(edge: DataFrame) -> DataFrame:
+            """States on borders, by the tile that lies next to them."""
+            each = edge.select("*", moves).withColumns({"__r": F.col("prow") + F.col("m.r"), "__c": F.col("pcol") + F.col("m.c")})
+            each = each.where(F.col("__r").between(r0, r1) & F.col("__c").between(c0, c1)).withColumn("__t", of(F.col("__r"), F.col("__c"))).where("__t <> t")
+            return each.select(F.col("__t").alias("t"), "prow", "pcol", F.lit(0.0).alias("cost"), "level", "steps", "label", F.lit(True).alias("halo"))
+
+        def solved(edge: DataFrame, some: list[int] | None, border: bool) -> DataFrame:
+            rows = start.unionByName(seen(edge))
+            rows = rows if some is None else rows.where(F.col("t").isin(some))
+            return rows.groupBy("t").applyInPandas(_relax(border), schema)
+
+        edge, active = spark.createDataFrame([], schema), [x.t for x in tiled.where("marker > 0").select("t").distinct().collect()]
+        while active:
+            new = materialize(solved(edge, active, True), "ws-new")
+            moved = new.join(edge.where(F.col("t").isin(active)), ["t", "prow", "pcol", "level", "steps", "label"], "left_anti")
+            after = [x.t for x in seen(moved).select("t").distinct().collect()]
+            edge, active = materialize(edge.where(~F.col("t").isin(active)).unionByName(new), "ws-edge"), after
+        return keep(solved(edge, None, False).select("prow", "pcol", "label"), "labels", own)

@@ -513,3 +513,41 @@ def test_points_in_many_polygons_make_few_pairs(spark, monkeypatch):
     polys = spark.createDataFrame([(i, square(40.0 + i / 10)) for i in range(100)], f"gid long, rings array<{G.RING}>")
     assert J.points_in_polygons(pts, polys).count() == 300
     assert made and sum(made) <= 300 * 10
+
+
+def test_watershed_does_not_depend_on_tiles(spark, monkeypatch):
+    """Ties in plenty: the result is the state that follows from the least neighbour's, whatever the tiles."""
+    from orthoflux.operators import segment as S
+
+    rng = np.random.default_rng(5)
+    h, w = 23, 14
+    cost, mask = rng.integers(0, 4, (h, w)) / 4, rng.random((h, w)) < 0.9
+    marker = np.where(rng.random((h, w)) < 0.04, rng.permutation(h * w).reshape(h, w) + 1, 0)
+    state, heap = {}, [(cost[r, c], 0, int(marker[r, c]), r, c) for r, c in np.argwhere(mask & (marker > 0)).tolist()]
+    while heap:
+        lv, st, lb, r, c = min(heap)
+        heap.remove((lv, st, lb, r, c))
+        if (r, c) in state:
+            continue
+        state[r, c] = lb
+        for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+            if 0 <= y < h and 0 <= x < w and mask[y, x] and (y, x) not in state:
+                heap.append((cost[y, x], 0, lb, y, x) if cost[y, x] > lv else (lv, st + 1, lb, y, x))
+    df = spark.createDataFrame([(r, c, float(cost[r, c]), int(marker[r, c]), bool(mask[r, c])) for r in range(h) for c in range(w)], "prow long, pcol long, cost double, marker long, mask boolean")
+    for tile in (4, 9, 100):
+        got = {(r.prow, r.pcol): r.label for r in S.watershed(df, tile).collect()}
+        assert got == {(r, c): state.get((r, c), 0) for r, c in np.argwhere(mask).tolist()}
+    assert S.watershed(df.where("cost < 0")).count() == 0
+
+
+def test_watershed_rounds_of_a_narrow_raster(spark, monkeypatch):
+    """One marker at the end of 4,000 rows of 3 columns: a tile is as high as its size allows."""
+    from orthoflux.operators import segment as S
+
+    names = []
+    real = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: names.append(name) or real(df, name))
+    at = F.col("id")
+    df = spark.range(12_000).select(F.floor(at / 3).alias("prow"), (at % 3).alias("pcol"), (at * 37 % 101 / 101).alias("cost"), F.when(at == 0, 7).otherwise(0).alias("marker"), F.lit(True).alias("mask"))
+    assert {r.label for r in S.watershed(df, tile=64).select("label").distinct().collect()} == {7}
+    assert len(names) <= 14
