@@ -6,10 +6,9 @@ cluster uses (``file:``, ``hdfs:``, ``s3:``) works the same way.
 
 from __future__ import annotations
 
-import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import scratch as _scratch
 from ..scratch import drop, free_shuffles, keep, scope, scratch, shared_dir
@@ -17,18 +16,25 @@ from ..scratch import drop, free_shuffles, keep, scope, scratch, shared_dir
 __all__ = ["attempt", "drop", "free_shuffles", "keep", "materialize", "open_input", "scope", "scratch", "shared_dir", "write_atomically"]
 
 
-#: Seconds between two collections.
-FREE_EVERY = 20.0
-_freed = 0.0
+#: Bytes shuffled between two collections: what old plans leave on disk depends on the data, not on the machine's pace.
+FREE_BYTES = 128 << 20
+_freed = 0
+
+
+def _shuffled(spark: SparkSession) -> int:
+    """Bytes that the executors have written for shuffles so far."""
+    told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``scratch.materialize``, after which, now and then, shuffle files of written plans may go: texts pass through several shuffles."""
+    """``scratch.materialize``, after which shuffle files of written plans may go, if much was shuffled: texts pass through several shuffles."""
     global _freed
     out = _scratch.materialize(df, name)
-    if time.monotonic() - _freed > FREE_EVERY:
+    now = _shuffled(df.sparkSession)
+    if not _freed <= now < _freed + FREE_BYTES:  # less: another session
         free_shuffles(df.sparkSession)
-        _freed = time.monotonic()
+        _freed = now
     return out
 
 

@@ -648,3 +648,18 @@ def test_audio_blocks(spark, monkeypatch):
     one = sorted(map(str, audio.align_recordings(prints).collect()))
     monkeypatch.setattr(audio, "BLOCK", 3)
     assert sorted(map(str, audio.align_recordings(prints).collect())) == one and len(one) >= 49 + 10
+
+
+def test_shuffles_are_freed_by_volume(spark, monkeypatch):
+    """After so many shuffled bytes, however little time has passed; not before."""
+    from orthoflux.llm import storage
+
+    calls = []
+    monkeypatch.setattr(storage, "free_shuffles", calls.append)
+    monkeypatch.setattr(storage, "_freed", storage._shuffled(spark))
+    rows = spark.range(2000).selectExpr("id", "sha2(string(id), 256) AS v").repartition(3, "id")
+    storage.materialize(rows, "freed")
+    assert storage._shuffled(spark) > storage._freed and not calls
+    monkeypatch.setattr(storage, "FREE_BYTES", 10_000)
+    storage.materialize(rows, "freed")
+    assert len(calls) == 1 and storage._freed == storage._shuffled(spark)
