@@ -396,11 +396,14 @@ def explained(df):
 
 
 @pytest.mark.parametrize("shift", [False, True])
-def test_patch_pixels_are_looked_up_once_a_pixel(spark, shift):
+def test_patch_pixels_are_looked_up_once_a_pixel(spark, tmp_path, shift):
     """Offsets are exploded over distinct pixels, and neither they nor the points are broadcast."""
     from orthoflux.operators import joins as J
 
     pts, px, grid = crowd(spark)
+    pts.write.parquet(f"{tmp_path}/points")  # files, so that a size is known
+    px.write.parquet(f"{tmp_path}/pixels")
+    pts, px = spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/pixels")
     found = J.patch_pixels(pts, px, grid, -2, 1, shift)
     assert "BroadcastHashJoin" not in explained(found)
     got = sorted((r.pid, r.prow, r.pcol) for r in found.collect())
