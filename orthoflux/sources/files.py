@@ -22,3 +22,12 @@ def write_file(uri: str, data: bytes) -> None:
     with fs.open_output_stream(own) as out:
         out.write(data)
     fs.move(own, path)
+
+
+def read_file(uri: str) -> bytes:
+    """The whole file."""
+    from pyarrow.fs import FileSystem
+
+    fs, path = FileSystem.from_uri(uri if ":" in uri.split("/", 1)[0] else f"file://{uri}")
+    with fs.open_input_file(path) as file:
+        return file.read()

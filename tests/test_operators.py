@@ -308,6 +308,56 @@ def test_prediction_keeps_pixels_with_gaps(spark):
     assert len(out) == 62 and out[98].p0 is None and out[99].prediction is None and all(out[i].prediction == out[i].label for i in range(60))
 
 
+def test_trees_are_grown_whole(spark):
+    """Labels that do not part make deep trees: few jobs all the same, equal forests whatever the partitions, rows learned by heart."""
+    from orthoflux.operators import ml
+
+    rng = np.random.default_rng(1)
+    pts = [(i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(rng.integers(0, 256, 3000), rng.random(3000), rng.integers(0, 2, 3000), strict=True))]
+    rows = spark.createDataFrame(pts, "id long, f double, g double, label int")
+    sc = spark.sparkContext
+    sc.setJobGroup("forest", "whole trees")
+    model = ml.fit_forest(rows, ("f", "g"), trees=30, depth=25)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("forest")) <= 6
+    got = {r.id: (r.p0, r.p1, r.prediction) for r in ml.predict(model, rows, ("f", "g")).collect()}
+    assert len(got) == 3000 and np.mean([got[i][2] == y for i, _, _, y in pts]) > 0.9
+    assert all(p0 + p1 == pytest.approx(1) and best == (p1 > p0) for p0, p1, best in got.values())
+    # bins of one value each depend on no partition
+    coarse = rows.withColumn("g", F.floor(F.col("g") * 50).cast("double"))
+    one, other = (ml.predict(ml.fit_forest(d, ("f", "g"), trees=5, depth=8), coarse, ("f", "g")).orderBy("id").collect() for d in (coarse, coarse.orderBy(F.desc("g")).repartition(7)))
+    assert one == other
+
+
+def test_trees_take_the_best_splits():
+    """Every node of a tree over all features, against all splits tried one by one."""
+    from orthoflux.operators import forest
+
+    rng = np.random.default_rng(2)
+    x, y = forest.in_order(rng.integers(0, 6, (300, 3)).astype(np.uint8), rng.integers(0, 3, 300).astype(np.uint8))
+    depth, seed = 6, (5, 1)
+    nodes, leaves, share = forest.grow(x, y, 3, depth, 3, seed)
+    copies = np.random.default_rng(seed).poisson(1.0, 300)
+    leaf = np.cumsum((nodes & 255) == forest.LEAF) - 1
+
+    def worth(rows):
+        n = np.bincount(y[rows], copies[rows], 3)
+        return (n**2).sum() / n.sum() if n.sum() else 0.0
+
+    def walk(k, rows, level):
+        tried = [worth(rows[x[rows, f] <= b]) + worth(rows[x[rows, f] > b]) for f in range(3) for b in range(5)]
+        at, f, b = nodes[k] >> 16, (nodes[k] >> 8) & 255, nodes[k] & 255
+        if b == forest.LEAF:
+            assert level == depth or max(tried) <= worth(rows) + 1e-6
+            assert leaves[leaf[k]].tolist() == np.bincount(y[rows], copies[rows], 3).tolist()
+            return 1
+        left, right = rows[x[rows, f] <= b], rows[x[rows, f] > b]
+        assert worth(left) + worth(right) == pytest.approx(max(tried))
+        return walk(at, left, level + 1) + walk(at + 1, right, level + 1)
+
+    assert walk(0, np.flatnonzero(copies), 0) == len(leaves) and share.sum() == pytest.approx(1)
+
+
 def test_rbf_over_all_points(spark):
     """One system over all points meets the points, reproduces a plane, and is what many neighbours give."""
     rng = np.random.default_rng(3)
