@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orthoflux.llm import storage, toxicity
 from orthoflux.llm.decontam import find_overlaps
-from orthoflux.llm.mixing import WORD, mix_sources
+from orthoflux.llm.mixing import WORD, mix_rules, order_key
 from orthoflux.llm.neardup import near_duplicates
 from orthoflux.llm.queries import tokenizer_path
 from orthoflux.llm.token_files import read_token_files, write_token_files
@@ -75,14 +75,19 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is such a column, is counted anew for a document that was cut.
     """
     with storage.scope(spark) as own:
-        sizes = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
-        taken = sizes.agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-        mix = storage.keep(taken, "mix", own)
-    copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    each = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__k", F.explode(F.sequence(F.lit(1), copies)))
-    words = (F.col("__taken") - (F.col("__k") - 1) * F.col("__size")).cast("int")
+        cuts, shared = mix_rules(docs)
+        cuts, shared = storage.keep(cuts, "cuts", own), storage.keep(shared, "shared", own)
+    # a document is judged by its own key and its source's cut: what meets the texts is small and broadcast, texts stay where they are
+    met = docs.join(cuts, F.col("source").eqNullSafe(F.col("__source")), "left").join(shared, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    several, key = F.col("__taken").isNotNull(), order_key()
+    more = F.when(key < F.col("__at"), 1).when((key == F.col("__at")) & (F.col("__part") > 0), 1).otherwise(0)
+    single = F.when(F.col("text").rlike(WORD), F.col("__passes") + more)
+    copies = F.when(several, F.ceil(F.col("__taken") / F.col("__size"))).otherwise(single).cast("int")
+    each = met.withColumn("__copies", copies).where("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    words = F.when(several, F.col("__taken") - (F.col("__k") - 1) * F.col("__size")).otherwise(F.col("__part")).cast("int")
+    whole = F.when(several, words >= F.col("__size")).otherwise((F.col("__k") <= F.col("__passes")) | (key < F.col("__at")))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
-    cut = each.withColumn("__whole", words >= F.col("__size")).withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(part))
+    cut = each.withColumn("__whole", whole).withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         counted = F.length("text").cast(docs.schema["n_chars"].dataType)
         cut = cut.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(counted))

@@ -52,20 +52,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return level.withColumn("target", target).drop("weight", "cap", "level", "source_rank")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """``(id_col, source, size, source_size, target, taken)``, one row for each row of ``docs``.
-
-    ``taken`` counts the words that the mix takes of the document, repeats counted:
-    ``size`` for every whole pass over its source and, in the last pass, what lies
-    before the source's cut (one document per source may be cut inside).  A null
-    source is a source of its own, last in order; null and blank texts have size 0 and
-    nothing is taken of them; an empty table gives an empty mix.  Documents are
-    ordered by the MD5 of seed and id, then by id and size, so reruns agree; where the
-    id is null the MD5 of the text stands in for it, so rows without id spread over the
-    ranges too.  Equal rows are interchangeable.  Other columns are ignored.
-    """
+def order_key(id_col: str = "doc_id", text_col: str = "text", seed: str = "mix") -> F.Column:
+    """What orders documents inside a source: the MD5 of seed and id, of seed and the text's MD5 where the id is null."""
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), name))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
+
+
+def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:
+    """Documents with ``size``, ``before`` (words ahead of them in their source), ``passes`` and ``rest`` of the source, and ``taken``."""
+    key = order_key(id_col, text_col, seed)
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     ranges = F.ceil(F.col("n_docs") / F.lit(RANGE_ROWS))
@@ -83,4 +78,37 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     inside = W.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.col("offset") + F.sum("size").over(inside) - F.col("size")
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", F.col("target"), taken.cast("long").alias("taken"))
+    return placed.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "key", "passes", "rest", before.alias("before"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """``(id_col, source, size, source_size, target, taken)``, one row for each row of ``docs``.
+
+    ``taken`` counts the words that the mix takes of the document, repeats counted:
+    ``size`` for every whole pass over its source and, in the last pass, what lies
+    before the source's cut (one document per source may be cut inside).  A null
+    source is a source of its own, last in order; null and blank texts have size 0 and
+    nothing is taken of them; an empty table gives an empty mix.  Documents are
+    ordered by the MD5 of seed and id, then by id and size, so reruns agree; where the
+    id is null the MD5 of the text stands in for it, so rows without id spread over the
+    ranges too.  Equal rows are interchangeable.  Other columns are ignored.
+    """
+    placed = _placed(docs, id_col, source_col, text_col, weights, share, most, seed)
+    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
+
+
+def mix_rules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``mix_sources`` takes, told by few rows, so that texts need no shuffle to meet it: ``(cuts, shared)``.
+
+    ``cuts(__source, __passes, __at, __part)`` has a row for each source with words: documents whose ``order_key`` is
+    less than ``__at`` are taken once more than ``__passes`` times, and ``__part`` words of the one at it.  The rows of
+    an id that has several, or of the null id, stand in ``shared(__id, __size, __taken)`` with the greatest of what is
+    taken of one of them instead.
+    """
+    placed = _placed(docs, "doc_id", "source", "text", WEIGHTS, 1.5, 2.0, "mix")
+    cut = (F.col("size") > 0) & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size"))
+    known = [F.when(cut, F.col("key")).alias("at"), F.when(cut, F.col("rest") - F.col("before")).alias("part")]
+    placed = materialize(placed.select("id", "source", "size", "taken", "passes", *known), "placed")
+    cuts = placed.where("at IS NOT NULL").select(F.col("source").alias("__source"), F.col("passes").alias("__passes"), F.col("at").alias("__at"), F.col("part").alias("__part"))
+    ids = placed.groupBy(F.col("id").alias("__id")).agg(F.max(F.when(F.col("taken") > 0, F.col("size"))).alias("__size"), F.max("taken").alias("__taken"), F.count(F.lit(1)).alias("n"))
+    return cuts, ids.where("n > 1 OR __id IS NULL").drop("n")

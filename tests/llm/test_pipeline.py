@@ -56,6 +56,38 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert [r.start for r in out[1:]] == [r.start + r.n_tokens for r in out[:-1]]
 
 
+def test_mix_takes_what_the_mix_says_and_moves_no_text(spark, tmp_path):
+    """Every row as often and as long as ``mix_sources`` says, also with shared ids, null ids and blank texts, by a plan
+    whose texts are not shuffled where the mix itself is too large to be sent."""
+    from collections import Counter
+
+    from orthoflux.llm.mixing import mix_sources
+
+    rows = [(("a", "b", "c", None)[i * i % 7 % 4], " ".join(f"w{i}_{k}" for k in range(1 + i * 37 % 23)), i if i % 5 else i // 50) for i in range(3000)]
+    rows += [("a", f"no id {i}", None) for i in range(5)] + [("b", "", 9001), ("b", None, 9002), ("c", " \t", 0), ("d", "", 9003)]
+    spark.createDataFrame([(*r, 1, {"k": 1}) for r in rows], ODD).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    size, taken = {}, {}
+    for r in mix_sources(df).where("taken > 0").collect():
+        size[r.doc_id], taken[r.doc_id] = max(size.get(r.doc_id, 0), r["size"]), max(taken.get(r.doc_id, 0), r.taken)
+    want = Counter()
+    for _, text, i in rows:
+        left = taken.get(i, 0)
+        while left > 0:
+            want[i, text if left >= size[i] else " ".join((text or "").split()[:left])] += 1
+            left -= size[i]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")
+    try:
+        mixed = C.source_mix(spark, df, "")
+        assert Counter((r.doc_id, r.text) for r in mixed.collect()) == want and len(want) > 2000
+        own = df.where("doc_id % 5 != 0").dropDuplicates(["doc_id"]).coalesce(1)
+        own.write.parquet(f"{tmp_path}/own")
+        plan = C.source_mix(spark, spark.read.parquet(f"{tmp_path}/own"), "")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     df = odd(spark).limit(0)
     sf_dir = tables(spark, tmp_path, [])
