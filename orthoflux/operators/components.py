@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .geom import disc_union_area
 
 FOUR = ((0, 1), (1, 0))
 EIGHT = ((0, 1), (1, 0), (1, 1), (1, -1))
+#: Edges that one task solves (about 100 bytes each there); a graph of more goes through star rounds.
+TASK_EDGES = 1 << 20
 
 
 def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
@@ -20,11 +23,30 @@ def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
     return pairs.join(own_exchange(least, "u"), "u").select("u", "v", "m")
 
 
+def _solve(batches):
+    """(node, component) of all edges of one task: roots hook on the least root next to them until no edge is open."""
+    ends = [[batch.column(c).to_numpy() for batch in batches] for c in (0, 1)] if (batches := list(batches)) else [[], []]
+    if not sum(map(len, ends[0])):
+        return
+    nodes, at = np.unique(np.concatenate([x for side in ends for x in side]), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while ((up := root[root]) != root).any():
+            root = up
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
 def graph_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``: component is the least node reachable.
 
     Nodes that occur in no edge are not returned; self loops, repeated edges and null
-    ends are harmless; an empty edge table gives an empty result.  Alternating large and
+    ends are harmless; an empty edge table gives an empty result.  Up to ``TASK_EDGES``
+    edges are solved in one task, without a shuffle: star rounds would cost ten stages
+    each, however small the graph.  Beyond, alternating large and
     small star contractions: each round is two aggregations with map-side minima and two
     equi-joins, written to the shared folder, and only three sums that tell whether the
     round changed anything reach the driver.  The number of rounds grows with the
@@ -32,8 +54,10 @@ def graph_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     with scope(spark) as own:
-        ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        cur = materialize(ends.where("u <> v").distinct(), "cc")
+        ends = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+        cur = materialize(ends.where("u <> v"), "cc")
+        if cur.count() <= TASK_EDGES:
+            return keep(cur.coalesce(1).mapInArrow(_solve, "node long, component long"), "components", own)
         before = None
         while True:
             # large star: every neighbour above u moves to the least of u's neighbourhood

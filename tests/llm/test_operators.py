@@ -46,6 +46,27 @@ def test_components(spark):
     assert graph_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_one_task_and_by_stars(spark, tmp_path, monkeypatch):
+    """Both ways agree on paths, stars and random graphs; a graph that a task can hold needs no shuffle."""
+    from orthoflux.operators import components
+
+    rnd = random.Random(8)
+    path = rnd.sample(range(-300, 0), 300)
+    edges = [*zip(path, path[1:]), *((5000, i) for i in range(4000, 4100)), *((rnd.randint(0, 999), rnd.randint(0, 999)) for _ in range(600)), (7, None), (None, None), (2000, 2000), (-5, -5)]
+    spark.createDataFrame(edges, "a long, b long").write.parquet(f"{tmp_path}/edges")
+    df = spark.read.parquet(f"{tmp_path}/edges")
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    found = set(tracker.keySet().toString()[4:-1].split(", "))
+    got = sorted(graph_components(df).collect())
+    added = set(tracker.keySet().toString()[4:-1].split(", ")) - found
+    assert len(added) <= 1  # the count's
+    monkeypatch.setattr(components, "TASK_EDGES", 0)
+    assert sorted(graph_components(df).collect()) == got
+    comp = {r.node: r.component for r in got}
+    assert all(comp[a] == comp[b] for a, b in edges if a is not None and b is not None and a != b)
+    assert {comp[i] for i in path} == {-300} and {comp[i] for i in range(4000, 4100)} == {4000} and 2000 not in comp
+
+
 def brute_sets(docs):
     out = []
     for i, t in docs:
