@@ -20,7 +20,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 20  # bytes hashed at a time
+#: Bytes hashed at a time: hashing holds some 70 bytes a byte, and tables of powers as long stay in the worker.
+CHUNK = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

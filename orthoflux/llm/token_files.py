@@ -38,8 +38,9 @@ FILE_IDS = 1 << 23
 RANGE_BYTES = 128 << 20
 #: Documents whose bounds a reader holds at once.
 READ_DOCS = 4096
-#: Words remembered by one worker (about 30 bytes each) and word parts (about 200); beyond that it starts anew.
-CACHE_WORDS, CACHE_PIECES = 1_500_000, 300_000
+#: Words remembered by one worker (about 36 bytes each, and as much again while new ones go in) and word parts (about
+#: 200); beyond that it starts anew.  Workers are reused, so what they remember stays while other stages run.
+CACHE_WORDS, CACHE_PIECES = 1 << 19, 1 << 16
 
 
 class EliasFano:
@@ -304,7 +305,7 @@ class WordEncoder:
             for text in texts.to_pylist():
                 yield self._whole(text) if text else b""
             return
-        for _, _, buf, offs in chunks(texts, CHUNK):  # hashing holds some 70 bytes a byte of the chunk
+        for _, _, buf, offs in chunks(texts, CHUNK):
             yield from self._chunk(buf, offs)
 
     def encode(self, text: str | None) -> bytes:

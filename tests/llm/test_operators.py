@@ -400,6 +400,27 @@ def test_audio_votes_against_brute_force(monkeypatch, pairs):
             assert got.get(q, {}) == {o: v for o, v in want.items() if v >= audio.MIN_VOTES}
 
 
+def test_encoder_holds_little_beside_its_tables(monkeypatch):
+    """Two megabytes of text in one batch: what hashing holds is bounded by the chunk, whatever a batch holds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from orthoflux.llm import text
+
+    monkeypatch.setattr(text, "_powers", {})
+    enc = WordEncoder(queries.tokenizer_path())
+    texts = pa.array([" ".join(f"w{(i * k) % 997}" for k in range(400)) for i in range(1000)])
+    assert sum(len(t.as_py()) for t in texts) > 1_800_000
+    tracemalloc.start()
+    try:
+        n = sum(len(own) for own in enc.encode_all(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 0 and peak < 48 << 20
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     model = toxicity.fit([], np.array([]), 0.1)
